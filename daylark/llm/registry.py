@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from daylark.llm import exact_dedup, quality, secrets, simhash, sptok
+from daylark.llm import exact_dedup, mixing, quality, secrets, simhash, sptok, warc
 from daylark.llm.common import table
 
 
@@ -16,6 +16,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("digest", F.lower(F.hex("digest"))).withColumnRenamed("digest", "text_sha256")
 
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS first FROM p GROUP BY h),
+x AS (SELECT h, first, sha1(h) AS hex FROM g),
+b AS (
+  SELECT h, first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1), '' ORDER BY k) AS digest
+  FROM (
+    SELECT h, first, k, list_sum([
+      (('0x' || substr(hex, 1 + (5 * k + j) // 4, 1))::INT >> (3 - (5 * k + j) % 4) & 1) * (16 >> j) FOR j IN range(5)
+    ])::INT AS v
+    FROM x, range(32) AS r(k)
+  ) GROUP BY h, first
+)
+SELECT p.page_id, octet_length(encode(p.h)) AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN p.page_id IS NOT DISTINCT FROM b.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM b.first THEN b.first END AS refers_to
+FROM p JOIN b USING (h)
+"""
+
+
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -26,6 +46,21 @@ FROM d JOIN g USING (t)
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payload, measured anew; revisits by their headers alone."""
+    path = warc.archive_pages(table(spark, sf_dir, "pages"))
+    heads = "record_id string, record_type string, refers_to string"
+    full = warc.read_records(spark, path, f"{heads}, payload_length long, payload_sha1 string")
+    bare = warc.read_records(spark, path, f"{heads}, http_length long, payload_digest string")
+    both = (
+        full.where("record_type = 'response'")
+        .toDF("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
+        .unionAll(bare.where("record_type = 'revisit'"))
+    )
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
+    return both.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -44,9 +79,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled"
+    )
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op5_quality_rules, op7_secret_scan, op8_sentencepiece, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_warc, op5_quality_rules, op7_secret_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_source_mixing)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL}
