@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from daylark.llm import exact_dedup, mixing, quality, secrets, simhash, sptok, warc
-from daylark.llm.common import table
+from daylark.llm import exact_dedup, langid, lmscore, mixing, quality, secrets, simhash, sptok, toxicity, warc
+from daylark.llm.common import crc_bucket, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,17 @@ FROM d JOIN g USING (t)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, ["doc_id"], langid.train(docs))
+    held_out = crc_bucket("doc_id", langid.FOLDS) == langid.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are read with their payload, measured anew; revisits by their headers alone."""
     path = warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -65,6 +76,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -86,7 +101,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op4_warc, op5_quality_rules, op7_secret_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_language_id, op4_warc, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_source_mixing)}
 
 
 def oracle_sql():
