@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from daylark.plans import relational
+
 
 def queries():
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(relational.ORACLES)
