@@ -1,8 +1,60 @@
-"""Corpus pipeline: quality rules, exact dedup, near dedup, source mixing, tokenising."""
+"""Corpus pipeline: quality rules, exact dedup, near dedup, mixing to target weights, tokenising.
 
-STAGES = []
+Each stage works on all rows that the stage before kept and returns their columns unchanged; the last
+one returns the encoding per document. Nulls, empty texts, ties, repeated rows and empty tables are
+defined by the stages' operators.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from daylark.llm import exact_dedup, mixing, quality, simhash, sptok
+from daylark.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a rule of the cascade rejects go."""
+    return quality.keep_good(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that sources, languages and kinds of text meet their target weights."""
+    return mixing.sample_mixture(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document that is left, as count and digests."""
+    return sptok.encode_texts(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("near dedup", near_duplicates),
+    ("mixing", mixture),
+    ("sentencepiece", tokens),
+]
+
+#: Fingerprints, raking and tokenising are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if stage is not tokens:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
