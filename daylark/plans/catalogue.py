@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from daylark.plans import relational
+from daylark.plans import modelling, relational
 
 
 def queries():
+    assert modelling
     return dict(relational.QUERIES)
 
 
