@@ -540,10 +540,10 @@ def asof_nearest_60d(spark, d):
 @query(f"""SELECT query_id, id, {r('distance', 4)} AS distance, rank::INT AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS id,
   list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY
   list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), p.vec_id) AS rank FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id
-  WHERE q.vec_id % 25 = 0) WHERE rank <= 5""")
+  WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
 def knn_top5(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = matching.top_k(points, points.where("id % 25 = 0"))
+    found = matching.top_k(points, points.where("id % 50 = 0"))
     return found.select("query_id", "id", half_up(F.col("distance"), 4).alias("distance"), "rank")
 
 
@@ -621,13 +621,13 @@ def biomarker_name_match(spark, d):
     return panels.select("l_orderkey", first_named(F.col("b"), "luteinizing", "lh").alias("lh"), first_named(F.col("b"), "estradiol", "estrogen", "e2").alias("e2"))
 
 
-_SHARE = "SELECT CASE WHEN participant_id % 4 = 1 THEN 'anonymous' ELSE 'P' || participant_id END AS alias, {} AS date, phase, {} AS notes FROM diary WHERE participant_id % 3 <> 0"
+_SHARE = "SELECT CASE WHEN participant_id % 4 = 1 THEN 'anonymous' ELSE 'P' || participant_id END AS alias, {} AS date, phase, {} AS notes FROM diary WHERE cycle_length >= 28"
 
 
 def _shared(spark, d, strict):
     p = F.col("participant_id")
     alias = F.when(p % 4 != 1, F.concat(F.lit("P"), p.cast("string"))).otherwise(F.lit(""))
-    return personal.export_packet(lens.diary(spark, d), alias, p % 3 != 0, strict).select("alias", "date", "phase", "notes")
+    return personal.export_packet(lens.diary(spark, d), alias, F.col("cycle_length") >= 28, strict).select("alias", "date", "phase", "notes")
 
 
 @query(_SHARE.format("date", "notes"), "diary")
