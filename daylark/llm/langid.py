@@ -16,7 +16,7 @@ An empty table gives an empty result. Columns other than those named are not rea
 
 from __future__ import annotations
 
-import math
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,7 +59,11 @@ def script_of(char: str) -> str | None:
 
 def letters(word: bytes) -> str:
     """The word in lower case without what is not a letter."""
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
+    text = word.decode("utf-8", "replace").lower()
+    text = text if text.isalpha() else text.strip(string.punctuation)
+    if text.isalpha():
+        return text
+    return "".join(filter(str.isalpha, text))
 
 
 def grams(word: str) -> list[str]:
@@ -76,21 +80,48 @@ class Model:
     unseen: np.ndarray
     scripts: dict[str, np.ndarray]  #: per script, whether each language is written in it
 
-    def describe(self, word: bytes) -> list[float]:
-        """Scores of the languages, 0 for the best and ``FLOOR`` at least, and the number of letters."""
-        text = letters(word)
-        if not text or not self.languages:
-            return [0.0] * (len(self.languages) + 1)
-        raw = self.words.get(text)
-        if raw is None:
-            parts = grams(text)
-            raw = sum((self.grams.get(g, self.unseen) for g in parts), np.zeros(len(self.languages)))
-        score = np.maximum(raw - raw.max(), FLOOR)
-        allowed = self.scripts.get(script_of(text[0]) or "")
-        if allowed is not None and allowed.any():
-            score = np.where(allowed, score, RULED_OUT)
-            score -= score.max()
-        return [*score, float(min(len(text), MOST_LETTERS))]
+    def describe(self, words: list[bytes]) -> np.ndarray:
+        """Per word the scores of the languages, 0 for the best and ``FLOOR`` at least, and the number of letters."""
+        states = len(self.languages)
+        out = np.zeros((len(words), states + 1), np.float32)
+        if not states:
+            return out
+        texts = [letters(w) for w in words]
+        number, table = self._gram_rows()
+        raw = np.zeros((len(words), states))
+        at, ids, sizes, scripts = [], [], [], {}
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            out[k, states] = min(len(text), MOST_LETTERS)
+            if not text[0].isascii():
+                scripts.setdefault(script_of(text[0]), []).append(k)
+            known = self.words.get(text)
+            if known is not None:
+                raw[k] = known
+            else:
+                parts = grams(text)
+                at.append(k)
+                sizes.append(len(parts))
+                ids += [number.get(g, -1) for g in parts]
+        if at:
+            starts = np.cumsum([0, *sizes[:-1]])
+            raw[at] = np.add.reduceat(table[ids], starts, axis=0)
+        score = np.maximum(raw - raw.max(axis=1, keepdims=True), FLOOR)
+        ascii_rows = [k for k, text in enumerate(texts) if text and text[0].isascii()]
+        for script, rows in [("Latin", ascii_rows), *scripts.items()]:
+            allowed = self.scripts.get(script or "")
+            if allowed is not None and allowed.any() and not allowed.all():
+                narrowed = np.where(allowed, score[rows], RULED_OUT)
+                score[rows] = narrowed - narrowed.max(axis=1, keepdims=True)
+        out[:, :states] = np.where(out[:, states :] > 0, score, 0)
+        return out
+
+    def _gram_rows(self) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of the trigrams and their scores; the last row is for others."""
+        if not hasattr(self, "_rows"):
+            self._rows = {g: k for k, g in enumerate(self.grams)}, np.array([*self.grams.values(), self.unseen])
+        return self._rows
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = TRAIN_DOCS) -> Model:
@@ -223,8 +254,7 @@ def identify(docs: DataFrame, keys: list[str], model: Model, text_col: str = "te
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                table.trim()
-                rows = [table.index((t or "").encode("utf-8", "surrogatepass").split()) for t in part.column(len(keys)).to_pylist()]
+                rows = table.index([(t or "").encode("utf-8", "surrogatepass").split() for t in part.column(len(keys)).to_pylist()])
                 paths = label_words(rows, table.data, states) if states else [np.zeros(0, np.int64)] * len(rows)
                 out = []
                 for row, path in zip(rows, paths):

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 
 class WordTable:
-    """Rows of numbers per distinct word, computed once by ``describe`` and kept up to ``most`` words."""
+    """Rows of numbers per distinct word, computed once by ``describe`` and kept up to ``most`` words.
 
-    def __init__(self, describe: Callable[[bytes], Iterable[float]], width: int, most: int = 250_000):
+    ``describe`` takes a list of words and gives an array (words, width).
+    """
+
+    def __init__(self, describe: Callable[[list[bytes]], np.ndarray], width: int, most: int = 250_000):
         self.describe, self.width, self.most = describe, width, most
         self._clear()
 
@@ -20,22 +24,19 @@ class WordTable:
         self.rows: dict[bytes, int] = {}
         self.data = np.zeros((4096, self.width), np.float32)
 
-    def trim(self) -> None:
-        """Start anew if the table is full; call between batches, as it renumbers the rows."""
+    def index(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The row numbers of each text's words. A full table starts anew, which renumbers its rows."""
         if len(self.rows) > self.most:
             self._clear()
-
-    def index(self, words: list[bytes]) -> np.ndarray:
-        """The row number of each word; new words get a row."""
         rows = self.rows
-        for word in set(words):
-            if word not in rows:
-                at = len(rows)
-                if at == len(self.data):
-                    self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-                self.data[at] = self.describe(word)
-                rows[word] = at
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        new = list(set(chain.from_iterable(texts)) - rows.keys())
+        if new:
+            start, end = len(rows), len(rows) + len(new)
+            if end > len(self.data):
+                self.data = np.concatenate([self.data, np.zeros((max(len(self.data), end - len(self.data)), self.width), np.float32)])
+            self.data[start:end] = self.describe(new)
+            rows.update(zip(new, range(start, end)))
+        return [np.fromiter(map(rows.__getitem__, words), np.int64, len(words)) for words in texts]
 
 
 def counted(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.RecordBatch], Iterator[tuple[str, Iterable[bytes]]]], most: int = 300_000) -> Iterator[tuple[list[str], list[bytes], list[int]]]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,25 +61,32 @@ def plain(word: str) -> str:
 
 def revealed(word: str) -> set[str]:
     """What an obfuscated word may stand for: letters for look-alikes, nothing for marks, runs shortened."""
-    low = word.lower()
-    stem = _INNER.sub("", low.translate(LEET))
-    bare = _INNER.sub("", low)
-    return {_LONG.sub(r"\1", stem), _LONG.sub(r"\1\1", stem), _LONG.sub(r"\1", bare)} - {plain(word)}
+    own, found = plain(word), set()
+    for low in (word.lower(), own):
+        for text in (_INNER.sub("", low.translate(LEET)), _INNER.sub("", low)):
+            found |= {_LONG.sub(r"\1", text), _LONG.sub(r"\1\1", text)}
+    return found - {own}
 
 
 @dataclass
 class Lexicon:
     weights: dict[str, float]
 
-    def describe(self, raw: bytes) -> tuple[float, float, float, float]:
+    def of_word(self, raw: bytes) -> tuple[float, float, float, float]:
         """Weight of the word, whether obfuscated, weight of what it hides, whether second person."""
         word = raw.decode("utf-8", "replace")
+        own = word.lower().strip(string.punctuation)
+        if own.isalpha() and not _LONG.search(own):
+            return self.weights.get(own, 0.0), 0.0, 0.0, float(own in SECOND_PERSON)
         own = plain(word)
         weight = self.weights.get(own, 0.0)
         hides = bool(_HIDES.search(own)) and any(c.isalpha() for c in own)
         hidden = 0.0 if weight else max((self.weights.get(w, 0.0) for w in revealed(word)), default=0.0)
         return weight, float(hides or hidden > 0), hidden, float(own in SECOND_PERSON)
 
+    def describe(self, words: list[bytes]) -> np.ndarray:
+        return np.array([self.of_word(w) for w in words], np.float32).reshape(-1, 4)
+
 
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -124,12 +132,10 @@ def featurize(docs: DataFrame, lexicon: Lexicon, keys: list[str], text_col: str
         table = WordTable(shared.value.describe, 4)
         for batch in batches:
             out = []
-            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
-                if k % 500 == 0:
-                    table.trim()
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                rows = table.index(raw.split())
-                out.append(features_of(raw, rows, table.data))
+            for at in range(0, batch.num_rows, 1000):
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(len(keys)).slice(at, 1000).to_pylist()]
+                for raw, rows in zip(raws, table.index([raw.split() for raw in raws])):
+                    out.append(features_of(raw, rows, table.data))
             made = [pa.array(list(c), pa.float64()) for c in (zip(*out) if out else [()] * len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], names=[*keys, *FEATURES])
 
