@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the working tables that this process has made; call it when their results have been written."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,10 +54,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_uri_local(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
