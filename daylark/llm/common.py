@@ -54,6 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a number per row, and the number's column, whose name no column of ``docs`` has.
+
+    Ids may be null or repeated; a verdict per row needs a key that is neither.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = "__row"
+    while name in taken:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,8 +8,9 @@ byte, grouped after partial aggregation so that a hot group leaves each task as
 
 Defined cases: a null text counts as empty; empty texts are equal to each other. A null id never
 becomes the representative unless all ids of the group are null. Rows that share both id and text
-are one document: all get the same result and ``group_size`` counts each. Extra columns of the
-input are ignored whatever their names. An empty table gives an empty result.
+are one document: all get the same result and ``group_size`` counts each; ``drop_duplicates`` keeps
+exactly one row of each group. Extra columns of the input are ignored whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import ascii_lower, new_path, small_side, stored
+from daylark.llm.common import ascii_lower, new_path, numbered, small_side, stored
 
 #: Bits in one bucket of the hit filter (Spark's bitmap functions fix it) and the largest number of buckets: 64 MB.
 FILTER_BITS, MOST_BUCKETS = 32_768, 16_384
@@ -145,7 +146,16 @@ def exact_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("__gone"))
-    gone = stored(gone, "dropped")
-    return docs.join(small_side(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each group of equal texts, with all its columns: that of the ``keep`` id.
+
+    Null ids come last; of rows that share both id and text the first read stays.
+    """
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep is 'largest' or 'smallest'")
+    rows, row = numbered(docs)
+    own = F.col(id_col)
+    rank = F.struct(own.isNull().alias("no_id"), (own if keep == "smallest" else -own).alias("rank"), F.col(row).alias("row"))
+    ranked = rows.select(rank.alias("id"), F.col(text_col).alias("text"))
+    found = exact_duplicates(ranked, "id", "text", "smallest")
+    gone = stored(found.where("not kept").select(F.col("id.row").alias(row)), "dropped")
+    return rows.join(small_side(gone), row, "left_anti").drop(row)

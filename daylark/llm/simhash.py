@@ -13,8 +13,9 @@ bits shares one, and a task writes a spanning forest of the links it finds, not
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other. Null ids
 are fingerprinted; a component's id is its smallest non-null doc_id, null if there is none. Repeated
-rows get the same result. Whole texts are hashed, whatever their length. An empty table gives an
-empty result. Columns other than the id and the text are not read.
+rows get the same result; ``drop_near_duplicates`` keeps one row of each component. Whole texts are
+hashed, whatever their length. An empty table gives an empty result. Columns other than the id and
+the text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import small_side, stored
+from daylark.llm.common import numbered, small_side, stored
 from daylark.llm.components import connected_components
 
 SHINGLE_WORDS, LINK_BITS, SEED = 4, 4, 42
@@ -192,7 +193,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's id, or whose component has no id, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, bits)
-    gone = stored(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")), "dropped")
-    return docs.join(small_side(gone), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each component, with all its columns: that of the smallest id.
+
+    Null ids come last; of a component's rows with equal ids the first read stays.
+    """
+    rows, row = numbered(docs)
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = near_duplicates(rows.select(rank.alias("id"), F.col(text_col).alias("text")), "id", "text", bits)
+    gone = stored(found.where(F.col("id") != F.col("component_id")).select(F.col("id.row").alias(row)), "dropped")
+    return rows.join(small_side(gone), row, "left_anti").drop(row)

@@ -78,6 +78,21 @@ def test_exact_keeps_smallest_and_drops_the_rest(docs):
     assert {lower(r.text) for r in kept.collect()} == {lower(r.text) for r in docs.collect()}
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_drop_keeps_one_row_of_each_text(spark, docs, keep):
+    texts = ["same", "same", "alone one", "alone two", "same", "again", "again", "nobody", "nobody", "Same"]
+    ids = [None, 5, None, 5, 7, 8, 8, None, None, 9]
+    for rows in (docs, frame(spark, texts, ids)):
+        groups = {}
+        for r in rows.collect():
+            groups.setdefault(lower(r.text), []).append(r.doc_id)
+        pick = max if keep == "largest" else min
+        want = Counter((t, pick((i for i in own if i is not None), default=None)) for t, own in groups.items())
+        got = exact_dedup.drop_duplicates(rows, keep=keep)
+        assert got.columns == rows.columns
+        assert Counter((lower(r.text), r.doc_id) for r in got.collect()) == want
+
+
 def test_exact_oracle(same_as_oracle):
     same_as_oracle(registry.queries()["op1_exact_dedup"], registry.oracle_sql()["op1_exact_dedup"])
 
@@ -374,6 +389,27 @@ def test_near_duplicates_against_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_drop_keeps_one_row_of_each_component(spark, docs, empty):
+    texts = ["same words here", "same words here", "quite another text", "a third one of these", "Same words HERE", "twice read", "twice read", "no id", "no id"]
+    ids = [None, 5, None, 5, 7, 8, 8, None, None]
+    for rows in (docs, frame(spark, texts, ids)):
+        all_rows = rows.collect()
+        component = dict(zip(sorted({brute_print(r.text) for r in all_rows}), itertools.count()))
+        prints = list(component)
+        for a, b in itertools.combinations(prints, 2):
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                old, new = component[b], component[a]
+                component = {p: new if c == old else c for p, c in component.items()}
+        groups = {}
+        for r in all_rows:
+            groups.setdefault(component[brute_print(r.text)], []).append(r.doc_id)
+        want = Counter((g, min((i for i in own if i is not None), default=None)) for g, own in groups.items())
+        got = simhash.drop_near_duplicates(rows)
+        assert got.columns == rows.columns
+        assert Counter((component[brute_print(r.text)], r.doc_id) for r in got.collect()) == want
+    assert simhash.drop_near_duplicates(empty).count() == 0 and exact_dedup.drop_duplicates(empty).count() == 0
+
+
 def test_dense_grid_points_lose_no_link():
     rng = np.random.default_rng(11)
     start = int(rng.integers(0, 2**63))
