@@ -3,7 +3,9 @@
 Candidates are runs of 20 or more of ``A-Za-z0-9+/_=.-``. A window slides over each; the counts of
 its characters change by one in and one out, and the entropy sum follows by difference. A candidate
 is a secret where a window of its character class (hex, alphanumeric, base64) reaches the class's
-threshold, unless the allow list knows it or a pattern has already taken part of it.
+threshold, unless the allow list knows it. What a pattern has taken is cut out of a run first. A run
+that is no secret as a whole is cut into its alphanumeric runs, and these into their hex runs; each
+is judged by its own class, and the allow list holds for that part alone.
 
 Defined cases: a null text counts as empty and gives counts of 0, the digest of the empty string and
 an empty span list. Null ids pass through; repeated rows are scanned each. Texts of any length are
@@ -40,7 +42,7 @@ CANDIDATE_LEAST = 20
 
 @dataclass(frozen=True)
 class CharClass:
-    """Strings of ``chars`` only are of this class; ``bits`` is the entropy a window of ``window`` must reach."""
+    """Strings of ``chars`` only are of this class; ``bits`` is the entropy a window of ``window`` must reach; shorter strings are one window, with bits in proportion."""
 
     name: str
     pattern: re.Pattern
@@ -52,12 +54,13 @@ class CharClass:
 CLASSES = (
     CharClass("hex", re.compile(r"[0-9a-fA-F]+"), 20, 3.0, 1),
     CharClass("alphanumeric", re.compile(r"[A-Za-z0-9]+"), 20, 3.6, 2),
-    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=.-]+"), 24, 3.9, 3),
+    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=.-]+"), 24, 3.9, 2),
 )
-#: Not secrets: UUIDs, dotted or dashed words, dates and numbers, file and host names, placeholders.
+#: Not secrets: UUIDs, dotted or dashed words (numbered ones too), dates and numbers, file and host names, placeholders.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z]{1,15}(?:[-_./=+][A-Za-z]{0,15})*"),
+    re.compile(r"(?:[A-Z]?[a-z]{0,14}|[A-Z]{1,15})[0-9]{0,4}(?:[-_./=+](?:[A-Z]?[a-z]{0,14}|[A-Z]{1,15})[0-9]{0,4})*"),
     re.compile(r"[0-9]+(?:[-_./=+][0-9]*)*"),
     re.compile(r".*\.(?:com|org|net|html?|php|png|jpe?g|gif|css|js|py|pdf|txt|json|xml)", re.IGNORECASE),
     re.compile(r".*(?:example|placeholder|changeme|dummy|xxxx|0000|1234567|abcdef).*", re.IGNORECASE),
@@ -94,7 +97,33 @@ def is_random(candidate: str) -> bool:
     if any(rule.fullmatch(candidate) for rule in ALLOWED):
         return False
     kind = next(c for c in CLASSES if c.pattern.fullmatch(candidate))
-    return len(candidate) >= kind.window and windows_peak(candidate, kind.window, kind.mixed) >= kind.bits
+    window = min(kind.window, len(candidate))
+    bits = kind.bits * math.log2(window) / math.log2(kind.window) if window > 1 else kind.bits
+    return len(candidate) >= CANDIDATE_LEAST and windows_peak(candidate, window, kind.mixed) >= bits
+
+
+def random_parts(run: str) -> list[tuple[int, int]]:
+    """Spans of the secrets in ``run``: the run itself, or else the random ones of its runs of the narrower classes."""
+    found, rest = [], [(0, len(run))]
+    for kind in reversed(CLASSES):
+        left = []
+        for a, b in rest:
+            for m in kind.pattern.finditer(run, a, b):
+                if m.end() - m.start() >= CANDIDATE_LEAST:
+                    (found if is_random(m[0]) else left).append(m.span())
+        rest = left
+    return sorted(found)
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that no span of ``taken`` (sorted) holds."""
+    for a, b, _ in taken:
+        if a < end and b > start:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
 
 
 def _class_of(chars: str) -> np.ndarray:
@@ -141,7 +170,7 @@ def in_code_points(text: str, raw: bytes, spans: list[tuple[int, int]]) -> list[
 
 
 def scan_batch(texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """Per text: base spans, and entropy spans that touch none of them."""
+    """Per text: base spans, and entropy spans of what they leave."""
     texts = [t or "" for t in texts]
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) + 1 for r in raws], np.int64)
@@ -155,10 +184,10 @@ def scan_batch(texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]]
             by_doc[d].setdefault(kind, []).append((x, y))
     out = []
     for text, raw, own in zip(texts, raws, by_doc):
-        base = base_spans(text, raw, own.get(2, []))
-        random = [(a, b) for a, b in own.get(3, []) if is_random(raw[a:b].decode())]
-        more = [(a, b, 3) for a, b in in_code_points(text, raw, random) if not any(a < y and x < b for x, y, _ in base)]
-        out.append((sorted(base), more))
+        base = sorted(base_spans(text, raw, own.get(2, [])))
+        free = [part for a, b in in_code_points(text, raw, own.get(3, [])) for part in outside(a, b, base)]
+        more = [(a + x, a + y, 3) for a, b in free if b - a >= CANDIDATE_LEAST for x, y in random_parts(text[a:b])]
+        out.append((base, more))
     return out
 
 

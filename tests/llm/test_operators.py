@@ -321,6 +321,21 @@ def test_random_strings_and_allow_list(spark, docs, empty):
     assert secrets.find_secrets(docs, ["doc_id"]).count() == len(TEXTS) and secrets.find_secrets(empty, ["doc_id"]).count() == 0
 
 
+def test_tokens_with_prefix_or_in_a_path(spark):
+    token, mixed = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "q7Zr2LmX9vKd4TbW8nHs3PfY"
+    planted = {
+        f"key-{token}": f"key-{token}", f"see https://a.b/hook/{token} now": token, f"{token}.json": token, f"0000-{token}": token,
+        f"token={'a' * 8}:{mixed}": mixed, f"AKIA{'B1' * 10}/{mixed}": mixed, "x k3v-9q2z_7m4t/1w8p5b x": "k3v-9q2z_7m4t/1w8p5b",
+        f"http://example.com/{mixed}/index.html": mixed,
+    }
+    for (text, secret), (base, more) in zip(planted.items(), secrets.scan_batch(list(planted))):
+        at = text.index(secret)
+        assert any(a <= at and at + len(secret) <= b for a, b, _ in more), text
+        assert not any(a < y and x < b for a, b, _ in more for x, y, _ in base)
+    plain = ["/usr/lib/python3.13/site-packages/pyspark", "docs/2024-01-15-meeting-notes-q3.html", "release-notes-v2.3.1-2024-01-15-final", "token=q7Zr2LmX9vKd4TbW8nHs3PfY"]
+    assert all(not more for _, more in secrets.scan_batch(plain))
+
+
 # ---- 8 SentencePiece
 
 
