@@ -1,8 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell (source, language, topic). The cells' weights are raked in turn to
-each margin's target shares until all margins fit; the ratio of raked to actual tokens, times one
-factor that meets the token budget, is the sampling probability of the cell's documents, at most 1.
+each margin's target shares until all margins fit; the ratio of raked to actual tokens, times the
+token budget, is the sampling probability of the cell's documents. A cell can give no more than it
+has: cells at probability 1 are held there and the others raked to what is left of the margins. A
+value that asks for more tokens than it has gives all of them, and the others of its margin share
+the rest in proportion to their targets; ``reached_margins`` shows asked and reached shares.
 A document is sampled when a hash of its id falls below its probability, so repeated runs agree.
 
 Targets are shares per value. A margin without given targets gets its own token shares raised to
@@ -80,24 +83,45 @@ def target_shares(cells: DataFrame, margin: str, given: Mapping[str, float] | No
     return stored(raw.select(margin, (F.col("raw") / F.lit(total)).alias("share")), "targets")
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (margins, tokens > 0) with ``share``, whose margins fit the targets."""
+def within_reach(cells: DataFrame, margin: str, target: DataFrame, budget: float) -> DataFrame:
+    """(margin, share): ``target`` where a value has the tokens it asks for; else all it has, and the others share the rest."""
+    own = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).join(target, margin)
+    total = own.agg(F.sum("tokens")).first()[0] or 1
+    asked = stored(own.withColumn("ratio", F.col("share") * F.lit(float(total)) / F.col("tokens")), "asked")
+    kept = F.least(F.lit(1.0), F.col("ratio") * F.lit(budget_factor(asked, budget)))
+    return stored(asked.select(margin, (kept * F.col("tokens") / F.lit(budget * total)).alias("share")), "targets")
+
+
+def rake(
+    cells: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE, budget: float | None = None
+) -> DataFrame:
+    """``cells`` (margins, tokens > 0) with ``share``, whose margins fit the targets.
+
+    With a ``budget`` a cell gives at most its tokens: the margins of ``share`` or, if less, of all the
+    cell has, fit the targets. In each step the full cells are held and the others fill the margin.
+    """
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
         return cells.withColumn("share", F.lit(0.0))
     sides = {m: (small_side(t), t.count() <= BROADCAST_ROWS) for m, t in targets.items()}
     now = cells.withColumn("share", F.col("tokens") / F.lit(total))
+    most = F.col("tokens") / F.lit(total * budget) if budget else F.lit(float("inf"))
+    given, full = F.least("share", most), F.col("share") >= most
     for _ in range(most_sweeps):
         for margin, (target, small) in sides.items():
-            sums = now.groupBy(margin).agg(F.sum("share").alias("sum"))
-            scale = sums.join(target.withColumnRenamed("share", "want"), margin).select(
-                margin, (F.col("want") / F.nullif("sum", F.lit(0.0))).alias("scale")
+            sums = now.groupBy(margin).agg(
+                F.sum(given).alias("sum"), F.sum(F.when(full, most).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("share"))).alias("free")
             )
+            plain = F.col("want") / F.nullif("sum", F.lit(0.0))
+            filled = (F.col("want") - F.col("held")) / F.nullif("free", F.lit(0.0))
+            # the margin is concave in its scale: filling never passes the goal, but from far above it may fall to nothing
+            fit = F.when(F.col("free") <= 1e-12 * F.col("sum"), F.least(F.lit(1.0), plain)).when(filled >= plain / 2, filled).otherwise(plain)
+            scale = sums.join(target.withColumnRenamed("share", "want"), margin).select(margin, fit.alias("scale"))
             now = now.join(F.broadcast(scale) if small else scale, margin)
             now = now.withColumn("share", F.col("share") * F.coalesce("scale", F.lit(0.0))).drop("scale")
         now = stored(now, "raked")
         gaps = [
-            now.groupBy(m).agg(F.sum("share").alias("sum")).join(t.withColumnRenamed("share", "want"), m)
+            now.groupBy(m).agg(F.sum(given).alias("sum")).join(t.withColumnRenamed("share", "want"), m)
             .agg(F.max(F.abs(F.col("sum") - F.col("want"))).alias("gap"))
             for m, (t, _) in sides.items()
         ]
@@ -107,18 +131,34 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int =
     return now
 
 
-def budget_factor(cells: DataFrame, budget: float, rounds: int = 4, points: int = 48) -> float:
-    """The factor f with sum(tokens * min(1, f * ratio)) = budget * sum(tokens), by narrowing a geometric grid."""
-    total, most = cells.agg(F.sum("tokens"), F.max("ratio")).first()
-    if not total or not most:
+def budget_factor(cells: DataFrame, budget: float, most_steps: int = 60) -> float:
+    """The factor f with sum(tokens * min(1, f * ratio)) = budget * sum(tokens), by Newton steps from below."""
+    total, asked, least = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("ratio")), F.min(F.when(F.col("ratio") > 0, F.col("ratio")))).first()
+    if not total or not asked:
         return 1.0
-    low, high = 1e-9 / most, 1e12
-    for _ in range(rounds):
-        grid = [low * (high / low) ** (k / (points - 1)) for k in range(points)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.lit(f))).alias(f"s{k}") for k, f in enumerate(grid)]).first()
-        above = next((k for k in range(points) if sums[k] >= budget * total), points - 1)
-        low, high = grid[max(0, above - 1)], grid[above]
-    return high
+    if budget >= 1:
+        return 1 / least
+    factor = budget * total / asked
+    for _ in range(most_steps):
+        full = F.col("ratio") * F.lit(factor) >= 1
+        held, free = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio")))).first()
+        if not free or (budget * total - held) / free <= factor * (1 + 1e-12):
+            break
+        factor = (budget * total - held) / free
+    return factor
+
+
+def reached_margins(rows: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """(margin, value, asked, reached): shares of the tokens that ``mixture``'s rows keep in expectation."""
+    kept = F.col("n_tokens") * F.col("probability")
+    cells = stored(rows.groupBy(*MARGINS).agg(F.sum(kept).alias("kept")), "reached")
+    total = cells.agg(F.sum("kept")).first()[0] or 1.0
+    parts = [
+        target.join(cells.groupBy(m).agg((F.sum("kept") / F.lit(total)).alias("reached")), m, "left")
+        .select(F.lit(m).alias("margin"), F.col(m).alias("value"), F.col("share").alias("asked"), F.coalesce("reached", F.lit(0.0)).alias("reached"))
+        for m, target in targets.items()
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 def mixture(
@@ -134,19 +174,19 @@ def mixture(
 ) -> DataFrame:
     """Each row as ``row`` with its margins, tokens, ``weight``, ``probability`` and ``sampled``.
 
-    ``weight`` is the target share of tokens of the row's cell over its actual share.
+    ``weight`` is the target share of tokens of the row's cell over its actual share, at most 1 / ``budget``.
     """
     known = described(docs, id_col, text_col, source_col, lang_col, topic_col)
     cells = stored(known.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     full = cells.where("tokens > 0")
     shares = {m: target_shares(full, m, (targets or {}).get(m), temperature) for m in MARGINS}
-    raked = rake(full, shares)
+    raked = rake(full, {m: within_reach(full, m, t, budget) for m, t in shares.items()}, budget=budget)
     total = full.agg(F.sum("tokens")).first()[0] or 1
     ratio = F.when(F.col("tokens") > 0, F.col("share") * F.lit(float(total)) / F.col("tokens"))
     rated = stored(cells.join(raked.select(*MARGINS, "share"), list(MARGINS), "left").withColumn("ratio", F.coalesce(ratio, F.lit(1.0))), "rated")
     factor = budget_factor(rated.where("tokens > 0"), budget)
     rates = rated.select(
-        *MARGINS, F.col("ratio").alias("weight"), F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("probability")
+        *MARGINS, F.least(F.col("ratio"), F.lit(1.0 / budget)).alias("weight"), F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("probability")
     )
     return known.join(small_side(rates), list(MARGINS)).withColumn("sampled", F.col("u") < F.col("probability"))
 

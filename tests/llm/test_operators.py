@@ -502,6 +502,30 @@ def test_mixture_meets_targets_and_budget(spark):
     assert sum(r.n_tokens for r in rows if r.sampled) == pytest.approx(expected, rel=0.15)
 
 
+def test_full_cells_leave_the_margins_whole(spark):
+    words = {"big": 400, "small": 60, "tiny": 12}
+    rows = [(s, l, t, n) for k, s in enumerate(words) for j, l in enumerate(("x", "y")) for i, t in enumerate(("t", "u")) for n in [words[s] * (9, 2)[j] * (5, 1 + k)[i]]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    total, budget = sum(r[3] for r in rows), mixing.BUDGET
+    asked = {m: mixing.target_shares(cells, m, None, mixing.TEMPERATURE) for m in mixing.MARGINS}
+    reach = {m: mixing.within_reach(cells, m, t, budget) for m, t in asked.items()}
+    got = mixing.rake(cells, reach, budget=budget).collect()
+    given = {r: min(r.share, r.tokens / total / budget) for r in got}
+    assert any(r.share > r.tokens / total / budget for r in got)
+    for axis, m in enumerate(mixing.MARGINS):
+        want = {r[m]: r.share for r in asked[m].collect()}
+        held = set()  # by hand: values that ask for more than they have are held, the others share the rest
+        own = {v: sum(r[3] for r in rows if r[axis] == v) / total / budget for v in want}
+        while True:
+            rest = (1 - sum(own[v] for v in held)) / sum(w for v, w in want.items() if v not in held)
+            more = {v for v in want if v not in held and want[v] * rest > own[v]}
+            if not more:
+                break
+            held |= more
+        for v in want:
+            assert sum(g for r, g in given.items() if r[m] == v) == pytest.approx(own[v] if v in held else want[v] * rest, abs=1e-5)
+
+
 def test_mixture_takes_any_row(docs, empty):
     rows = mixing.mixture(docs).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.probability <= 1 for r in rows)
