@@ -12,6 +12,9 @@ Targets are shares per value. A margin without given targets gets its own token
 ``temperature`` and normalised, which lifts small values over large ones. Values that a given target
 leaves out share what it leaves over in proportion to their tokens.
 
+The table of cells is counted first. Up to ``CELLS`` of them (a few MB; the driver holds nothing else) are
+raked as arrays in the driver, more by ``rake`` and its companions in Spark jobs; both give the same shares.
+
 Defined cases: null source, language or topic count as the value "". A null text counts as empty: it
 has 0 tokens. Documents of cells without tokens get the plain rate. Null ids are hashed by text.
 Repeated rows are decided alike. An empty table gives an empty result. Extra columns pass through
@@ -23,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from daylark.llm.common import BROADCAST_ROWS, small_side, stored
 TEMPERATURE, BUDGET, SEED = 0.7, 0.6, 17
 MOST_SWEEPS, TOLERANCE = 40, 1e-6
 MARGINS = ("source", "lang", "topic")
+#: Most cells that are raked as arrays.
+CELLS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -161,6 +168,77 @@ def reached_margins(rows: DataFrame, targets: Mapping[str, DataFrame]) -> DataFr
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def small_rates(cells: pa.Table, targets: Mapping[str, Mapping[str, float]], temperature: float, budget: float) -> pa.Table:
+    """(margins, weight, probability) of at most ``CELLS`` cells, by the same steps as ``large_rates``."""
+    tokens = cells["tokens"].to_numpy().astype(np.float64)
+    full = np.flatnonzero(tokens > 0)
+    own, total = tokens[full], tokens.sum()
+    codes, wants = [], []
+    for m in MARGINS:
+        values, code = np.unique(np.array(cells[m].to_pylist(), object)[full], return_inverse=True)
+        have = np.bincount(code, own, len(values))
+        given = targets.get(m)
+        if given is None:
+            asked = have**temperature
+        else:
+            fixed = np.array([given.get(v, np.nan) for v in values], np.float64)
+            rest = have[np.isnan(fixed)].sum()
+            asked = np.where(np.isnan(fixed), have * (max(0.0, 1.0 - sum(given.values())) / rest if rest else 0.0), fixed)
+        ratio = asked / (asked.sum() or 1.0) * total / np.maximum(have, 1)
+        codes.append(code)
+        wants.append(np.minimum(1.0, ratio * array_factor(have, ratio, budget)) * have / (budget * total or 1.0))
+    share, most = own / (total or 1.0), own / (total * budget or 1.0)
+    for _ in range(MOST_SWEEPS if len(full) else 0):
+        for code, want in zip(codes, wants):
+            held = share >= most
+            fixed = np.bincount(code, np.where(held, most, 0.0), len(want))
+            free = np.bincount(code, np.where(held, 0.0, share), len(want))
+            sums = fixed + free
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plain, filled = want / sums, (want - fixed) / free
+            fit = np.where(free <= 1e-12 * sums, np.minimum(1.0, plain), np.where(filled >= plain / 2, filled, plain))
+            share = share * np.where(sums > 0, fit, 0.0)[code]
+        given = np.minimum(share, most)
+        if max(np.abs(np.bincount(c, given, len(w)) - w).max() for c, w in zip(codes, wants)) <= TOLERANCE:
+            break
+    ratio = np.ones(len(tokens))
+    ratio[full] = share * total / own
+    factor = array_factor(own, ratio[full], budget)
+    made = [pa.array(np.minimum(ratio, 1.0 / budget)), pa.array(np.minimum(1.0, ratio * factor))]
+    return pa.Table.from_arrays([*(cells[m] for m in MARGINS), *made], names=[*MARGINS, "weight", "probability"])
+
+
+def array_factor(tokens: np.ndarray, ratio: np.ndarray, budget: float, most_steps: int = 60) -> float:
+    """``budget_factor`` of arrays."""
+    total, asked = tokens.sum(), (tokens * ratio).sum()
+    if not total or not asked:
+        return 1.0
+    if budget >= 1:
+        return 1 / ratio[ratio > 0].min()
+    factor = budget * total / asked
+    for _ in range(most_steps):
+        full = ratio * factor >= 1
+        held, free = tokens[full].sum(), (tokens * ratio)[~full].sum()
+        if not free or (budget * total - held) / free <= factor * (1 + 1e-12):
+            break
+        factor = (budget * total - held) / free
+    return factor
+
+
+def large_rates(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], temperature: float, budget: float) -> DataFrame:
+    """(margins, weight, probability) of any number of cells."""
+    full = cells.where("tokens > 0")
+    shares = {m: target_shares(full, m, targets.get(m), temperature) for m in MARGINS}
+    raked = rake(full, {m: within_reach(full, m, t, budget) for m, t in shares.items()}, budget=budget)
+    total = full.agg(F.sum("tokens")).first()[0] or 1
+    ratio = F.when(F.col("tokens") > 0, F.col("share") * F.lit(float(total)) / F.col("tokens"))
+    rated = stored(cells.join(raked.select(*MARGINS, "share"), list(MARGINS), "left").withColumn("ratio", F.coalesce(ratio, F.lit(1.0))), "rated")
+    factor = budget_factor(rated.where("tokens > 0"), budget)
+    return rated.select(
+        *MARGINS, F.least(F.col("ratio"), F.lit(1.0 / budget)).alias("weight"), F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("probability")
+    )
+
+
 def mixture(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -178,17 +256,11 @@ def mixture(
     """
     known = described(docs, id_col, text_col, source_col, lang_col, topic_col)
     cells = stored(known.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    full = cells.where("tokens > 0")
-    shares = {m: target_shares(full, m, (targets or {}).get(m), temperature) for m in MARGINS}
-    raked = rake(full, {m: within_reach(full, m, t, budget) for m, t in shares.items()}, budget=budget)
-    total = full.agg(F.sum("tokens")).first()[0] or 1
-    ratio = F.when(F.col("tokens") > 0, F.col("share") * F.lit(float(total)) / F.col("tokens"))
-    rated = stored(cells.join(raked.select(*MARGINS, "share"), list(MARGINS), "left").withColumn("ratio", F.coalesce(ratio, F.lit(1.0))), "rated")
-    factor = budget_factor(rated.where("tokens > 0"), budget)
-    rates = rated.select(
-        *MARGINS, F.least(F.col("ratio"), F.lit(1.0 / budget)).alias("weight"), F.least(F.lit(1.0), F.col("ratio") * F.lit(factor)).alias("probability")
-    )
-    return known.join(small_side(rates), list(MARGINS)).withColumn("sampled", F.col("u") < F.col("probability"))
+    if cells.count() <= CELLS:
+        rates = F.broadcast(docs.sparkSession.createDataFrame(small_rates(cells.toArrow(), targets or {}, temperature, budget)))
+    else:
+        rates = small_side(large_rates(cells, targets or {}, temperature, budget))
+    return known.join(rates, list(MARGINS)).withColumn("sampled", F.col("u") < F.col("probability"))
 
 
 def sample_mixture(docs: DataFrame, **options) -> DataFrame:

@@ -502,6 +502,35 @@ def test_mixture_meets_targets_and_budget(spark):
     assert sum(r.n_tokens for r in rows if r.sampled) == pytest.approx(expected, rel=0.15)
 
 
+def test_cells_in_arrays_and_in_spark_agree(spark):
+    rng = np.random.default_rng(14)
+    rows = [(s, l, t, int(n)) for s in "abcd" for l in ("x", "", "z") for t in "tuv" for n in [rng.choice([0, 3, 40, 700, 9000])]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    for targets, budget in (({"source": {"a": 0.6, "d": 0.1}}, 0.6),):
+        small = {tuple(r[m] for m in mixing.MARGINS): r for r in mixing.small_rates(cells.toArrow(), targets, 0.7, budget).to_pylist()}
+        large = mixing.large_rates(cells, targets, 0.7, budget).collect()
+        assert len(small) == len(large) == len(rows)
+        for r in large:
+            own = small[r.source, r.lang, r.topic]
+            assert own["probability"] == pytest.approx(r.probability, abs=1e-6) and own["weight"] == pytest.approx(r.weight, abs=1e-6)
+    whole = mixing.small_rates(cells.toArrow(), {"lang": {"x": 0.5}, "topic": {}}, 0.7, 1.0).to_pylist()
+    assert all(r["probability"] == pytest.approx(1) for r, n in zip(whole, (c.tokens for c in cells.collect())) if n)
+
+
+def test_sampling_by_hash_against_brute_force(docs):
+    """Every row: its cell's tokens counted again, and the draw made again from the hash of its id or text."""
+    rows = mixing.mixture(docs, budget=0.5).collect()
+    tokens = Counter()
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.row.text or "")
+        assert r.n_tokens == len(words) and r.topic == ("note" if len(words) < 100 else "long")
+        assert r.sampled == (r.u < r.probability) and 0 <= r.u < 1
+        tokens[r.source, r.lang, r.topic] += len(words)
+    assert len({(r.row.doc_id, r.u) for r in rows if r.row.doc_id is not None}) == len({r.row.doc_id for r in rows if r.row.doc_id is not None})
+    expected = sum(r.n_tokens * r.probability for r in rows)
+    assert expected == pytest.approx(0.5 * sum(tokens.values()), rel=1e-6)
+
+
 def test_full_cells_leave_the_margins_whole(spark):
     words = {"big": 400, "small": 60, "tiny": 12}
     rows = [(s, l, t, n) for k, s in enumerate(words) for j, l in enumerate(("x", "y")) for i, t in enumerate(("t", "u")) for n in [words[s] * (9, 2)[j] * (5, 1 + k)[i]]]
