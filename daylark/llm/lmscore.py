@@ -1,26 +1,33 @@
 """Language-model scores by logistic context mixing over the bits of a text.
 
-Words are coded byte by byte, each byte as eight binary decisions. For each decision several
-predictors look up counts of ones and zeros under a hashed context: the last 1, 2, 3, 4 and 6 bytes
-of the word and its whole beginning. Their log odds are combined by weights that a gate selects (the
-bit's place and how often the word's beginning has been seen), learned online by gradient steps; the
-result is refined by an adaptive table over it and the bits of the byte so far. White space between
-words and the choice of a word's first byte are coded from their own contexts, so that the score is
-the log probability of the whole (lower-cased) text and its end.
-
-What is gathered: counts of every word of all training documents, by a shuffle on the word. Counters
-and weights are fitted on that table, over all its rows, and are of fixed size. Each distinct word is
-scored once; words among the ``HEAD_WORDS`` most frequent are looked up in the task, others by a join.
+A lower-cased text and its end are coded byte by byte in order, each byte as eight binary decisions.
+For each decision four predictors look up log odds under a hashed context: the last 2, 3 and 5 bytes,
+across words, and the beginning of the current word. They are combined by weights that a gate selects
+by the bit's place in its byte. After each bit the weights take a gradient step, and an adaptive table over the mixed odds and the
+bit's place, which refines the probability, moves towards the bit. The score is the log probability of
+the whole text and its end; ``bits_per_byte`` follows.
+
+A text is coded in blocks of ``BLOCK`` bytes. Each block sees the bytes before it, starts from the
+fitted weights and refining table, and takes its first byte as a word's beginning; so blocks of all
+texts of a batch are coded side by side, and a score depends on nothing but the text and the model.
+
+What is gathered: counts of every word of all training documents, by a shuffle on the word (for the
+base score), and counts of every byte in its four contexts over all training documents, in hashed
+tables of 2^``MOST_BITS`` rows at most, smaller where the training text is. All but a sixteenth of the
+training documents fill the tables first; that sixteenth (by a hash of the id, so it grows with the
+input) then sets the weights and the refining table, and is added to the tables. Sums are of integers,
+so that no result depends on how rows are dealt to tasks.
 
 Defined cases: a null text counts as empty, and an empty text is its end alone. Null ids pass through
-and are in the fold of the empty text. Repeated rows are scored each. Words may be of any length. An
-empty table gives an empty result; without training rows all counts are 0 and the model knows
-nothing but its priors. Columns other than the id and the text are not read.
+and are in the fold of the empty text. Repeated rows are scored each. Words and texts may be of any
+length. An empty table gives an empty result; without training rows all counts are 0 and the model
+knows nothing but its priors. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,240 +42,259 @@ from pyspark.sql import functions as F
 from daylark.llm.common import SPACES, crc_bucket, stored
 
 FOLDS, HELD_OUT = 7, 2
-ORDERS = (1, 2, 3, 4, 6)
-PREDICTORS = len(ORDERS) + 1
-#: Slots of each predictor's table, as powers of two; the last one is for whole beginnings of words.
-TABLE_BITS = (16, 18, 18, 19, 19, 20)
-STARTS = tuple(sum(1 << b for b in TABLE_BITS[:k]) for k in range(PREDICTORS + 1))
-SLOTS, BLOCK = STARTS[-1], 1 << 12
-#: Beginnings are counted for words that are among so many most frequent ones, so that their table isn't drowned.
-BEGINNINGS = 50_000
-#: The gate: the bit's place, and how often the word's beginning has been seen.
-LEVELS = np.array([1, 8, 64, 512, 4096], np.float32)
-SETS = 8 * (len(LEVELS) + 1)
-STEPS = 33  #: buckets of the refining table over log odds from -8 to 8
-HEAD_WORDS = 200_000
-REFINE_BLOCKS = 16
-#: Words that a fitting task reads at least: its tables are of fixed size, so few words would make them dear.
-WORDS_PER_TASK = 300_000
+#: One in so many training documents sets the mixing weights.
+MIXING_SHARE = 16
+ORDERS = (2, 3, 5)
+BACK, PREDICTORS = max(ORDERS), len(ORDERS) + 1
+#: Rows of each predictor's table as powers of two, at most; the last one is for beginnings of words.
+MOST_BITS = (16, 18, 19, 20)
+BLOCK, LANES, LANE_STEP = 2048, 1536, 128
+STEPS = 17  #: buckets of the refining table over log odds from -8 to 8
 PRIOR = 0.4
-CALM = 50.0  #: added to a step's number of rows, so that few rows move the weights little
-#: Weight of the beginnings' predictor before learning, per gate level; the others share the rest.
-FIRST_WEIGHTS = (0.05, 0.2, 0.45, 0.65, 0.85, 0.95)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_SALT = np.arange(1, PREDICTORS + 1, dtype=np.uint64) * _Q
-_END = 0xFF  # no byte of UTF-8; stands for the end of the text
-_KIND = b" \n"  # first bytes of the keys of first-byte and separator counts; words hold no white space
-
+#: Log odds are kept as whole numbers of this part.
+UNIT = 16
+FIT_RATE, RATE, REFINE_RATE = 0.02, 0.005, 0.02
+SLICE = 1 << 16  #: table entries in one row of a table of counts
+HEAD_WORDS = 200_000
+_C = np.uint32(0x9E3779B1)
+_END = b"\xff"  # no byte of UTF-8; stands for the end of the text
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
-#: Class of a word's last byte: 1 sentence end, 2 other punctuation, 3 the rest.
-_CLASS = np.full(256, 3, np.int64)
-_CLASS[list(b",;:)]}\"'")] = 2
-_CLASS[list(b".!?")] = 1
-
-
-def layout(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Codes of separators (16) and of first bytes (1024) of a text, and the bytes in odd separators."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    left = np.concatenate([[0], ends])
-    size = np.concatenate([starts, [len(data)]]) - left
-    padded = np.append(data, 0)
-    single = padded[left]
-    kind = np.where(size == 0, 3, np.where((size == 1) & (single == 32), 0, np.where((size == 1) & (single == 10), 1, 2)))
-    prev = np.concatenate([[0], _CLASS[data[ends - 1]]]) if len(ends) else np.zeros(1, np.int64)
-    gate = np.where(kind == 0, np.where(prev == 1, 2, 1), 3)
-    gate[0] = 0
-    first = np.concatenate([data[starts], [_END]]).astype(np.int64)
-    goes_on = np.ones(len(kind), bool)
-    goes_on[-1] = size[-1] > 0 or len(kind) == 1
-    return prev * 4 + kind, (gate * 256 + first)[goes_on], int(size[kind == 2].sum())
-
-
-def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its bytes after the first and a closing space: contexts per predictor, bytes, word numbers."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - starts[number]
-    inner = np.flatnonzero(place > 0)
-    place = place[inner]
-    wide = data.astype(np.uint64)
-    contexts = np.empty((PREDICTORS, len(inner)), np.uint64)
-    mix = np.zeros(len(inner), np.uint64)
-    have = 0
-    for k, order in enumerate(ORDERS):
-        for back in range(have + 1, order + 1):
-            byte = np.where(place >= back, wide[np.maximum(inner - back, 0)], np.uint64(256))
-            mix = (mix + byte + np.uint64(1)) * _P
-        have = order
-        contexts[k] = mix ^ _SALT[k]
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _P, np.uint64)]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((wide + np.uint64(1)) * power[np.arange(len(data)) - starts[number]])])
-    contexts[-1] = (sums[inner] - sums[starts[number[inner]]]) * _P + place.astype(np.uint64)
-    return contexts, data[inner], number[inner]
-
-
-def first_contexts(gates: np.ndarray) -> np.ndarray:
-    """Contexts of the first bytes of words: the gate alone, for every predictor."""
-    return (gates.astype(np.uint64) + np.uint64(1000)) * _P ^ _SALT[:, None]
-
-
-def slot(contexts: np.ndarray, partial: np.ndarray, k: int) -> np.ndarray:
-    """Slots of predictor ``k``, whose contexts these are, for the bits before in ``partial``."""
-    return ((contexts + partial) * _P) >> np.uint64(64 - TABLE_BITS[k])
-
-
-def bucket(mixed: np.ndarray) -> np.ndarray:
-    return ((np.clip(mixed, -8, 8) + 8) * ((STEPS - 1) / 16) + 0.5).astype(np.int64)
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def decisions(byte: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The eight decisions of each byte: place, bits before (with a leading one), bit."""
-    partial = np.ones(len(byte), np.uint64)
-    for place in range(8):
-        bit = (byte >> np.uint64(7 - place)) & np.uint64(1)
-        yield place, partial, bit
-        partial = (partial << np.uint64(1)) | bit
+
+
+def table_bits(n_bytes: int) -> tuple[int, ...]:
+    """Rows of the tables for so many bytes of training text: about one row a byte until the bound."""
+    return tuple(min(most, max(8, n_bytes.bit_length())) for most in MOST_BITS)
+
+
+@dataclass
+class Places:
+    """Where contexts are found in the tables: the right shift of a hash and the first row, per predictor."""
+
+    bits: tuple[int, ...]
+
+    def __post_init__(self):
+        self.shift = np.array([32 - b for b in self.bits], np.uint32)[:, None]
+        self.first = np.cumsum([0, *(1 << b for b in self.bits[:-1])])[:, None]
+        self.entries = 16 * sum(1 << b for b in self.bits)
+
+    def rows(self, contexts: np.ndarray) -> np.ndarray:
+        """The row of 16 entries of each context."""
+        return (contexts >> self.shift) + self.first
+
+
+def halves(contexts: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of the bytes' high halves, then of their low halves given the high ones; and the halves."""
+    high = byte >> np.uint32(4)
+    low = (contexts + (high + np.uint32(1))) * _C
+    return np.concatenate([contexts, low], axis=1), np.concatenate([high, byte & np.uint32(15)]).astype(np.int64)
+
+
+def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
+    """Groups of blocks of like length: the number of each block's text, and the steps of the group.
+
+    A step is one byte of every block that is long enough (the first n of the group): n, contexts, bytes;
+    the latter two may go on beyond n, up to a multiple of ``LANE_STEP``.
+    """
+    pad = bytes(BACK)
+    whole = np.frombuffer(b"".join([pad + t + _END for t in texts]), np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    number = -(-size // BLOCK)
+    owner = np.repeat(np.arange(len(texts)), number)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * BLOCK
+    start = np.repeat(np.cumsum(size + BACK) - size, number) + at
+    length = np.minimum(BLOCK, size[owner] - at)
+    order = np.argsort(-length, kind="stable")
+    for k in range(0, len(order), LANES):
+        own = order[k : k + LANES]
+        yield owner[own], steps(whole, start[own], length[own])
+
+
+def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    longest = int(length[0])
+    alive = np.searchsorted(-length, -np.arange(longest))
+    word = np.zeros(len(start), np.uint32)
+    one = np.uint32(1)
+    for slab in range(0, longest, 128):
+        end = min(slab + 128, longest)
+        near = whole[np.minimum(start + np.arange(slab - BACK, end)[:, None], len(whole) - 1)]
+        space, wide = _SPACE[near], near.astype(np.uint32)
+        for t in range(slab, end):
+            n, at = int(alive[t]), t - slab + BACK
+            m = min(len(start), -(-n // LANE_STEP) * LANE_STEP)
+            contexts = np.empty((PREDICTORS, m), np.uint32)
+            mix, k = np.zeros(m, np.uint32), 0
+            for back in range(1, BACK + 1):
+                mix += wide[at - back, :m]
+                mix += one
+                mix *= _C
+                if back == ORDERS[k]:
+                    contexts[k] = mix
+                    k += 1
+            if t:
+                now = word[:m]
+                now += wide[at - 1, :m]
+                now += one
+                now *= _C
+                now[space[at - 1, :m]] = 0
+            contexts[-1] = word[:m]
+            yield n, contexts, wide[at, :m]
+
+
+def add_counts(counts: np.ndarray, places: Places, texts: list[bytes]) -> None:
+    """Count each byte of the texts in its contexts: its high half, and its low half after the high one."""
+    for owner, group in blocks(texts):
+        ones = np.ones(2 * PREDICTORS * len(owner), np.int32)
+        for n, contexts, byte in group:
+            both, half = halves(contexts[:, :n], byte[:n])
+            at = ((places.rows(both) << 4) + half).ravel()
+            np.add.at(counts, at, ones[: len(at)])
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Per row of 16 counts: log odds of one against zero at the 15 inner nodes, from entry 1 on."""
+    leaves = counts.reshape(-1, 16).astype(np.float32)
+    out = np.zeros(leaves.shape, np.int8)
+    level = leaves
+    for depth in (3, 2, 1, 0):
+        pairs = level.reshape(len(leaves), -1, 2)
+        odds = np.log((pairs[:, :, 1] + np.float32(PRIOR)) / (pairs[:, :, 0] + np.float32(PRIOR)))
+        out[:, 1 << depth : 2 << depth] = np.rint(np.clip(odds * UNIT, -127, 127))
+        level = pairs.sum(axis=2)
+    return out
 
 
 @dataclass
 class Model:
-    """Counters (zeros and ones per predictor and slot), mixing weights per gate, refining counts, separators."""
+    """Log odds (``Places.entries``), start weights (place in the half, predictor, half) and refining table (8 * STEPS)."""
 
-    zeros: np.ndarray
-    ones: np.ndarray
+    bits: tuple[int, ...]
+    odds: np.ndarray
     weights: np.ndarray
-    refine: np.ndarray  #: (256 * STEPS, 2)
-    separators: np.ndarray  #: log10 probability per code
-    head: float = 1.0  #: least count of a word whose beginnings are counted
-
-    def freeze(self) -> tuple:
-        """Log odds and gate levels per slot, and refined probabilities: what scoring looks up."""
-        if not hasattr(self, "frozen"):
-            odds = np.log((self.ones + np.float32(PRIOR)) / (self.zeros + np.float32(PRIOR)))
-            last = slice(STARTS[-2], STARTS[-1])
-            level = np.searchsorted(LEVELS, self.ones[last] + self.zeros[last], side="right")
-            table = (self.refine[:, 1] / self.refine.sum(axis=1)).astype(np.float32)
-            self.frozen = [odds[a:b] for a, b in zip(STARTS, STARTS[1:])], level.astype(np.int64), table, self.weights.astype(np.float32)
-        return self.frozen
-
-    def log10(self, contexts: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte in its contexts (one row per predictor)."""
-        odds, level, table, weights = self.freeze()
-        total = np.zeros(len(byte), np.float32)
-        for place, partial, bit in decisions(byte):
-            at = [slot(contexts[k], partial, k) for k in range(PREDICTORS)]
-            gate = level[at[-1]] + place * (len(LEVELS) + 1)
-            mixed = np.zeros(len(byte), np.float32)
-            for k in range(PREDICTORS):
-                mixed += odds[k][at[k]] * weights[gate, k]
-            p = np.float32(0.5) * (squash(mixed) + table[partial.astype(np.int64) * STEPS + bucket(mixed)])
-            np.clip(p, 1 / 8192, 1 - 1 / 8192, out=p)
-            total += np.log(np.where(bit > 0, p, 1 - p))
-        return total.astype(np.float64) / math.log(10)
-
-    def learn(self, contexts: np.ndarray, byte: np.ndarray, n: np.ndarray, rate: float) -> None:
-        """One gradient step per gate on these bytes, then their outcomes are added to the refining table.
-
-        The counters hold these bytes already; each row is predicted as if it had been seen once less.
-        """
-        capped = np.minimum(n, 1000.0)
-        in_head = (n >= self.head).astype(np.float32)
-        for place, partial, bit in decisions(byte):
-            one = bit.astype(np.float32)
-            x = []
-            for k in range(PREDICTORS):
-                at = slot(contexts[k], partial, k) + np.uint64(STARTS[k])
-                less = in_head if k == PREDICTORS - 1 else np.float32(1)
-                ones, zeros = self.ones[at] - one * less, self.zeros[at] - (1 - one) * less
-                np.maximum(ones, 0, out=ones)
-                np.maximum(zeros, 0, out=zeros)
-                x.append(np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))))
-            gate = np.searchsorted(LEVELS, ones + zeros, side="right") + place * (len(LEVELS) + 1)
-            mixed = sum(x[k] * self.weights[gate, k] for k in range(PREDICTORS))
-            error = (one - squash(mixed)) * capped
-            mass = np.bincount(gate, capped, SETS) + CALM
-            for k in range(PREDICTORS):
-                self.weights[:, k] += rate * np.bincount(gate, error * x[k], SETS) / mass
-            row = partial.astype(np.int64) * STEPS + bucket(mixed)
-            self.refine[:, 1] += np.bincount(row, one * capped, len(self.refine))
-            self.refine[:, 0] += np.bincount(row, (1 - one) * capped, len(self.refine))
-
-
-def fresh(zeros: np.ndarray, ones: np.ndarray, separators: np.ndarray, head: float = 1.0) -> Model:
-    middle = squash(np.linspace(-8, 8, STEPS))
-    prior = np.tile(np.stack([1 - middle, middle], axis=1), (256, 1)) * 2
-    weights = np.empty((len(FIRST_WEIGHTS), PREDICTORS))
-    weights[:, -1] = FIRST_WEIGHTS
-    weights[:, :-1] = (1.1 - weights[:, -1:]) / len(ORDERS)
-    return Model(zeros, ones, np.tile(weights, (8, 1)), prior, separators, head)
-
-
-def add_counts(sums: np.ndarray, contexts: np.ndarray, byte: np.ndarray, n: np.ndarray, head: float) -> None:
-    """Add the bits of these bytes to the counters; equal (context, byte) are summed before they are cut into bits."""
-    for k in range(PREDICTORS):
-        own, what, times = contexts[k], byte, n
-        if k == PREDICTORS - 1:
-            kept = n >= head
-            own, what, times = own[kept], what[kept], times[kept]
-        if not len(own):
-            continue
-        _, first, group = np.unique(own * _Q + what, return_index=True, return_inverse=True)
-        own, what, times = own[first], what[first], np.bincount(group, times).astype(np.float32)
-        for _, partial, bit in decisions(what):
-            at = slot(own, partial, k) + np.uint64(STARTS[k])
-            for side in (0, 1):
-                chosen = bit == side
-                np.add.at(sums[side], at[chosen], times[chosen])
-
-
-def parts(keys: list[bytes], n: np.ndarray, most: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(contexts, bytes, row numbers, counts) of words and of first-byte counts, about ``most`` bytes at a time."""
-    gates = [k for k, key in enumerate(keys) if key[:1] == b" "]
-    if gates:
-        pairs = np.array([[keys[k][1], keys[k][2]] for k in gates], np.int64)
-        yield first_contexts(pairs[:, 0]), pairs[:, 1].astype(np.uint64), np.array(gates), n[gates]
-    words = [k for k, key in enumerate(keys) if key[0] not in SPACES]
-    at = 0
-    while at < len(words):
-        group, size = [], 0
-        while at < len(words) and size < most:
-            group.append(words[at])
-            size += len(keys[words[at]])
-            at += 1
-        contexts, byte, number = flat([keys[k] for k in group])
-        rows = np.array(group)[number]
-        for a in range(0, len(byte), 2 * most):
-            cut = slice(a, a + 2 * most)
-            yield contexts[:, cut], byte[cut].astype(np.uint64), rows[cut], n[rows[cut]]
+    refine: np.ndarray
 
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text and its end."""
+        total = np.zeros(len(texts))
+        for owner, group in blocks(texts):
+            total += np.bincount(owner, Coder(self, len(owner), RATE).code(group), len(texts))
+        return total / math.log(10)
+
+
+def fresh(bits: tuple[int, ...], odds: np.ndarray) -> Model:
+    weights = np.full((4, PREDICTORS, 2), 0.4 / UNIT, np.float32)
+    middle = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
+    return Model(bits, odds, weights, np.tile(middle, 8).astype(np.float32))
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(token, n, n_all) over (text, trains): occurrences in training documents and in all of them.
 
-    Tokens that start with white space count first bytes and separators of the training documents.
+#: Per place and half byte: the node of the bits before, and 1 for a zero bit or -1 for a one.
+_NODES = np.array([[(v >> (4 - place)) | (1 << place) for v in range(16)] for place in range(4)])
+_SIGNS = np.array([[1 - 2 * (v >> (3 - place) & 1) for v in range(16)] for place in range(4)], np.int8)
+
+
+class Coder:
+    """Codes a group of blocks side by side; each block has its own weights and refining table.
+
+    Inputs are turned by the sign of the bit, so that what is mixed are the odds against the bit. The
+    high and the low half of a byte have their own weights and buckets, so both are coded in one go.
     """
 
+    def __init__(self, model: Model, lanes: int, rate: float):
+        self.rows, self.places, self.rate = model.odds.view("V16"), Places(model.bits), np.float32(rate / UNIT / UNIT)
+        self.weights = np.repeat(model.weights[:, :, :, None], lanes, axis=3)
+        self.refine = np.tile(model.refine - np.float32(0.5), lanes)
+        self.spent = np.zeros(lanes)
+        self.lay_out(lanes)
+
+    def lay_out(self, m: int) -> None:
+        """Where the entries and buckets of m bytes' halves are, and buffers."""
+        self.buckets = np.arange(m) * (8 * STEPS) + np.array([[0], [4 * STEPS]]) + np.arange(0, 4 * STEPS, STEPS)[:, None, None]
+        self.nodes = np.arange(0, 32 * PREDICTORS * m, 16).reshape(PREDICTORS, 2, m)
+        self.at, self.x8 = np.empty_like(self.nodes), np.empty(self.nodes.shape, np.int8)
+        self.x, self.wx = np.empty((2, *self.nodes.shape), np.float32)
+        self.z, self.e = np.empty((2, 2, m), np.float32)
+
+    def code(self, group, outcomes: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each block; ``outcomes`` (2, 8 * STEPS) counts bits per bucket."""
+        keep, step, width = np.float32(1 - REFINE_RATE), np.float32(REFINE_RATE / 2), np.float32((STEPS - 1) / 16)
+        middle = np.float32((STEPS - 1) / 2 + 0.5)
+        for n, contexts, byte in group:
+            m = len(byte)
+            if self.z.shape[1] != m:
+                self.lay_out(m)
+            x8, x, wx, z, e = self.x8, self.x, self.wx, self.z, self.e
+            both, half = halves(contexts, byte)
+            half = half.reshape(2, m)
+            entries = self.rows.take(self.places.rows(both)).view(np.int8).ravel()
+            chance = np.ones((2, m), np.float32)
+            for place in range(4):
+                w = self.weights[place, :, :, :m]
+                sign = _SIGNS[place].take(half)
+                np.add(self.nodes, _NODES[place].take(half), out=self.at)
+                entries.take(self.at, out=x8, mode="clip")
+                np.multiply(x8, sign, out=x8)
+                x[:] = x8
+                turn = sign.astype(np.float32)
+                np.multiply(w, x, out=wx)
+                np.add(wx[0], wx[1], out=z)
+                for k in range(2, PREDICTORS):
+                    z += wx[k]
+                np.minimum(z, np.float32(8), out=z)
+                np.maximum(z, np.float32(-8), out=z)
+                np.multiply(z, turn, out=e)
+                e *= width
+                e += middle
+                bucket = e.astype(np.int64)
+                bucket += self.buckets[place]
+                if outcomes is not None:
+                    own, zero = bucket[:, :n] % (8 * STEPS), sign[:, :n] > 0
+                    outcomes += np.stack([np.bincount(own[zero], minlength=8 * STEPS), np.bincount(own[~zero], minlength=8 * STEPS)])
+                np.exp(z, out=e)
+                e += np.float32(1)
+                np.reciprocal(e, out=e)  # the probability of the bit
+                refined = self.refine.take(bucket)
+                np.multiply(refined, turn, out=z)
+                np.subtract(e, z, out=z)
+                z += np.float32(0.5)
+                chance *= z  # twice the probability of the bit after refining
+                refined *= keep
+                turn *= step
+                refined -= turn
+                self.refine[bucket] = refined
+                np.subtract(np.float32(1), e, out=e)
+                e *= self.rate
+                e[:, n:] = 0  # blocks that have ended learn no more
+                x *= e
+                w -= x
+            self.spent[:n] += np.log(chance[0, :n] * chance[1, :n]) - 8 * math.log(2)
+        return self.spent
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def portions(column, most: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column, lower-cased, in lists of about ``most`` bytes or one text."""
+    out, size = [], 0
+    for text in column:
+        out.append(lowered(text.as_py()))
+        size += len(out[-1])
+        if size >= most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(token, n, n_all) over (text, trains): occurrences in training documents and in all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: tuple[Counter, Counter] = (Counter(), Counter())
-        shape = np.zeros(1040, np.int64)
 
         def drain():
             train, rest = both
-            for k in np.flatnonzero(shape).tolist():
-                train[_KIND[:1] + bytes(divmod(k, 256)) if k < 1024 else _KIND[1:] + bytes([k - 1024])] = int(shape[k])
-            shape[:] = 0
             tokens = list(train.keys() | rest.keys())
             n = [train[t] for t in tokens]
             made = [pa.array(tokens, pa.binary()), pa.array(n, pa.int64()), pa.array([a + rest[t] for a, t in zip(n, tokens)], pa.int64())]
@@ -278,12 +304,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, trains in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                both[0 if trains else 1].update(raw.split())
-                if trains:
-                    seps, firsts, _ = layout(raw)
-                    shape[:1024] += np.bincount(firsts, minlength=1024)
-                    shape[1024:] += np.bincount(seps, minlength=16)
+                both[0 if trains else 1].update(lowered(text.as_py()).split())
                 if len(both[0]) + len(both[1]) > 300_000:
                     yield drain()
         yield drain()
@@ -292,21 +313,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def summed_blocks(rows: DataFrame, kind: type, tasks: int) -> DataFrame:
-    """(block, sums): the vectors of ``tasks`` partitions added up per block, first within shares of 16 of them."""
-
-    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(group["sums"].iloc[0]) // np.dtype(kind).itemsize, kind)
-        for data in group["sums"]:
-            total += np.frombuffer(data, kind)
-        return pd.DataFrame({"block": [key[0]], "sums": [total.tobytes()]})
-
-    if tasks > 16:
-        shares = rows.withColumn("share", F.floor(F.spark_partition_id() / 16))
-        rows = shares.groupBy("block", "share").applyInPandas(add, "block long, sums binary")
-    return rows.groupBy("block").applyInPandas(add, "block long, sums binary")
-
-
 def least_count(words: DataFrame, column: str, most: int) -> float:
     """A count that at most ``most`` rows reach, from a histogram of the counts' sizes; infinite if all sizes have more."""
     size = F.floor(F.log2(F.col(column).cast("double")) * 8).cast("int")
@@ -319,72 +325,89 @@ def least_count(words: DataFrame, column: str, most: int) -> float:
     return least
 
 
-def fit(counts: DataFrame, spark) -> Model:
-    """Counters, then weights, from the whole table of counts; both results are of fixed size."""
+def sliced(sums: np.ndarray) -> pa.RecordBatch:
+    """The parts of a table that are not all zero, packed."""
+    own = [(k, sums[k : k + SLICE]) for k in range(0, len(sums), SLICE)]
+    own = [(k // SLICE, zlib.compress(part.tobytes(), 1)) for k, part in own if part.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([d for _, d in own], pa.binary())], names=["slice", "sums"])
 
-    trained = counts.where("n > 0").select("token", "n")
-    tasks = trained.count() // WORDS_PER_TASK + 1
-    grouped = trained.coalesce(tasks)
-    head = least_count(trained, "n", BEGINNINGS)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SLOTS), np.float32)
-        for batch in batches:
-            for contexts, byte, _, n in parts(batch.column(0).to_pylist(), batch.column(1).to_numpy()):
-                add_counts(sums, contexts, byte, n, head)
-        for k in range(SLOTS // BLOCK):
-            own = sums[:, k * BLOCK : (k + 1) * BLOCK]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own.tobytes()], pa.binary())], names=["block", "sums"])
-
-    table = np.zeros((2, SLOTS), np.float32)
-    for block, data in summed_blocks(grouped.mapInArrow(gather, "block long, sums binary"), np.float32, tasks).collect():
-        table[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.float32).reshape(2, BLOCK)
-    seps = np.full((4, 4), 0.5)
-    for token, n in trained.where(F.col("token").startswith(F.lit(_KIND[1:]))).collect():
-        seps[divmod(token[1], 4)] += n
-    separators = np.log10(seps / seps.sum(axis=1, keepdims=True)).ravel()
-    shared = spark.sparkContext.broadcast((table, separators))
+def added(rows: DataFrame, kind: type, tasks: int, then=None) -> DataFrame:
+    """(slice, sums): the parts of ``tasks`` partitions added up per slice, first within shares of 16 of them."""
 
-    def adjust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (zeros, ones), seps = shared.value
-        model = fresh(zeros, ones, seps, head)
-        prior, mass, step = model.refine.copy(), 0.0, 0
-        for batch in batches:
-            keys, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64)
-            for contexts, byte, _, own in parts(keys, n, 24_000):
-                model.learn(contexts, byte, own, max(0.02, 0.3 / (1 + step / 10)))
-                step += 1
-                mass += float(own.sum())
-        rows = [np.append(model.weights.ravel() * mass, mass), *np.split((model.refine - prior).ravel(), REFINE_BLOCKS)]
-        made = [pa.array(range(len(rows)), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(made, names=["block", "sums"])
-
-    model = fresh(table[0], table[1], separators, head)
-    refine = np.zeros((REFINE_BLOCKS, model.refine.size // REFINE_BLOCKS))
-    for block, data in summed_blocks(grouped.mapInArrow(adjust, "block long, sums binary"), np.float64, tasks).collect():
-        own = np.frombuffer(data, np.float64)
-        if block:
-            refine[block - 1] = own
-        elif own[-1]:
-            model.weights = (own[:-1] / own[-1]).reshape(model.weights.shape)
-    model.refine += refine.reshape(model.refine.shape)
-    return model
+    def add(kind: type, then=None):
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(1, np.int64)
+            for data in group["sums"]:
+                total = total + np.frombuffer(zlib.decompress(data), kind)
+            return pd.DataFrame({"slice": [key[0]], "sums": [zlib.compress((then(total) if then else total).tobytes(), 1)]})
+
+        return run
+
+    if tasks > 16:
+        shares = rows.withColumn("share", F.floor(F.spark_partition_id() / 16))
+        rows, kind = shares.groupBy("slice", "share").applyInPandas(add(kind), "slice long, sums binary"), np.int64
+    return rows.groupBy("slice").applyInPandas(add(kind, then), "slice long, sums binary")
 
 
-def scored_words(counts: DataFrame, shared) -> DataFrame:
-    """(token, n, n_all, lm): log10 probability of each word after its first byte; of first bytes, of that byte."""
+def collected(rows: DataFrame, entries: int, kind: type) -> np.ndarray:
+    out = np.zeros(entries, kind)
+    for k, data in rows.collect():
+        own = np.frombuffer(zlib.decompress(data), kind)
+        out[k * SLICE : k * SLICE + len(own)] = own
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+
+def fit(docs: DataFrame, n_bytes: int) -> Model:
+    """The model of the training documents ``docs`` (text, mixes), which hold so many bytes."""
+    spark = docs.sparkSession
+    bits = table_bits(n_bytes)
+    places = Places(bits)
+    tasks = max(1, min(n_bytes >> 22, max(spark.sparkContext.defaultParallelism, n_bytes >> 27)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(places.entries, np.int32)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            score = np.zeros(len(keys))
-            for contexts, byte, rows, _ in parts(keys, batch.column(1).to_numpy()):
-                np.add.at(score, rows, model.log10(contexts, byte))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["token", "n", "n_all", "lm"])
+            for texts in portions(batch.column(0)):
+                add_counts(sums, places, texts)
+        yield sliced(sums)
+
+    made = "slice long, sums binary"
+    first = stored(added(docs.where("not mixes").select("text").coalesce(tasks).mapInArrow(count, made), np.int32, tasks), "counts")
+    mixing = stored(docs.where("mixes").select("text"), "mixing").coalesce(max(1, tasks // 4))
+    as_odds = lambda rows: collected(added(rows, np.int64, 1, log_odds), places.entries, np.int8)
+    model = fresh(bits, as_odds(first))
+    fixed = 1 << 24
+    n_weights = model.weights.size
+    shared = spark.sparkContext.broadcast(model)
 
-    return counts.mapInArrow(run, "token binary, n long, n_all long, lm double")
+    def adjust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the weights at the ends of the blocks by bytes, of bytes, and of bits per bucket of the refining table."""
+        moved, n_bytes, outcomes = np.zeros(n_weights, np.int64), 0, np.zeros((2, 8 * STEPS), np.int64)
+
+        def measured(group, size):
+            for n, contexts, byte in group:
+                size[:n] += 1
+                yield n, contexts, byte
+
+        for batch in batches:
+            for texts in portions(batch.column(0)):
+                for owner, group in blocks(texts):
+                    coder, size = Coder(shared.value, len(owner), FIT_RATE), np.zeros(len(owner), np.int64)
+                    coder.code(measured(group, size), outcomes)
+                    moved += (np.rint(coder.weights.astype(np.float64) * fixed).astype(np.int64) * size).sum(axis=-1).ravel()
+                    n_bytes += int(size.sum())
+        yield sliced(np.concatenate([moved, [n_bytes], outcomes.ravel()]))
+
+    sums = collected(added(mixing.mapInArrow(adjust, made), np.int64, tasks), n_weights + 1 + 16 * STEPS, np.int64)
+    if sums[n_weights]:
+        zeros, ones = sums[n_weights + 1 :].reshape(2, -1)
+        model.weights = (sums[:n_weights] / fixed / sums[n_weights]).reshape(model.weights.shape).astype(np.float32)
+        model.refine = ((ones + 20 * model.refine) / (ones + zeros + 20)).astype(np.float32)
+    shared.unpersist()
+    second = added(mixing.mapInArrow(count, made), np.int32, tasks)
+    model.odds = as_odds(first.unionAll(second))
+    return model
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,70 +415,63 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     held_out = crc_bucket("id", FOLDS) == HELD_OUT
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = stored(word_counts(rows.select("text", (~held_out).alias("trains"))), "word-counts")
-    ends = rows.where(~held_out).count()
-    is_word = ~F.col("token").startswith(F.lit(_KIND[:1])) & ~F.col("token").startswith(F.lit(_KIND[1:]))
-    of_words, types = counts.where(is_word & (F.col("n") > 0)).agg(F.sum("n"), F.count(F.lit(1))).first()
+    train = rows.where(~held_out).select("text", (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(MIXING_SHARE)) == 0).alias("mixes"))
+    words = stored(word_counts(rows.select("text", (~held_out).alias("trains"))), "word-counts")
+    ends, n_bytes = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text") + 1)).first()
+    of_words, types = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n_train, n_types = (of_words or 0) + ends, types + (ends > 0)
-    model = fit(counts, spark)
-    shared = spark.sparkContext.broadcast(model)
-    words = stored(scored_words(counts.where(is_word), shared), "word-scores")
-    head = words.where(F.col("n_all") >= least_count(words, "n_all", HEAD_WORDS)).select("token", "n", "lm").toArrow()
-    first = model.log10(first_contexts(np.repeat(np.arange(4), 256)), np.tile(np.arange(256, dtype=np.uint64), 4))
-    known = spark.sparkContext.broadcast((
-        head.column(0).to_pylist(), np.log10(head.column(1).to_numpy() + 1.0), head.column(1).to_numpy() > 0, head.column(2).to_numpy(),
-        first, model.separators, math.log10(ends + 1),
-    ))
+    head = words.where(F.col("n_all") >= least_count(words, "n_all", HEAD_WORDS)).select("token", "n").toArrow()
+    known = spark.sparkContext.broadcast((head.column(0).to_pylist(), head.column(1).to_numpy(), ends))
+    model = spark.sparkContext.broadcast(fit(train, n_bytes or 0))
     per_token = math.log10(n_train + n_types + 1)
-    plain_bytes = math.log10(12)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, seen, lm, firsts_lm, seps_lm, end_base = known.value
-        at = {t: k for k, t in enumerate(words)}
+        tokens, n, ends = known.value
+        at, base, seen, end_base = {t: k for k, t in enumerate(tokens)}, np.log10(n + 1.0), n > 0, math.log10(ends + 1)
         one = np.zeros(1, np.int64)
         for batch in batches:
-            tokens, times, heads, sums = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                own = Counter(raw.split())
-                found = np.fromiter(map(at.get, own, repeat(-1)), np.int64, len(own))
-                n = np.fromiter(own.values(), np.int64, len(own))
-                unknown = found < 0
-                heads.append(len(tokens))
-                tokens.append(b" %d" % key)  # no word: matches nothing, and lands with its own hash
-                tokens += compress(own, unknown.tolist())
-                times += [one, n[unknown]]
-                found, n = found[~unknown], n[~unknown]
-                seps, firsts, odd = layout(raw)
-                score = n @ lm[found] + firsts_lm[firsts].sum() + seps_lm[seps].sum() - odd * plain_bytes
-                sums.append((own.total() + 1, n @ seen[found] + (end_base > 0), n @ base[found] + end_base, score, len(raw)))
-            size = np.diff([*heads, len(tokens)])
-            owner = np.repeat(np.arange(len(heads)), size)
-            columns = np.zeros((5, len(tokens)))
-            columns[:, heads] = np.array(sums, np.float64).reshape(-1, 5).T
-            only_heads = np.ones(len(tokens), bool)
-            only_heads[heads] = False
-            made = [pa.array(columns[k].astype(np.int64) if k in (0, 1, 4) else columns[k], mask=only_heads if k == 0 else None) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner, mask=only_heads)), pa.array(tokens, pa.binary()),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *times]).astype(np.int32)), *made,
-                ],
-                names=["key", "id", "token", "times", "n_tokens", "n_known", "base", "lm", "bytes"],
-            )
+            start = 0
+            for texts in portions(batch.column(2)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                score = model.value.log10(texts)
+                tokens, times, heads, sums = [], [], [], []
+                for key, raw, lm in zip(part.column(0).to_pylist(), texts, score.tolist()):
+                    own = Counter(raw.split())
+                    found = np.fromiter(map(at.get, own, repeat(-1)), np.int64, len(own))
+                    n = np.fromiter(own.values(), np.int64, len(own))
+                    unknown = found < 0
+                    heads.append(len(tokens))
+                    tokens.append(b" %d" % key)  # no word: matches nothing, and lands with its own hash
+                    tokens += compress(own, unknown.tolist())
+                    times += [one, n[unknown]]
+                    found, n = found[~unknown], n[~unknown]
+                    sums.append((own.total() + 1, n @ seen[found] + (end_base > 0), n @ base[found] + end_base, lm, len(raw) + 1))
+                size = np.diff([*heads, len(tokens)])
+                owner = np.repeat(np.arange(len(heads)), size)
+                columns = np.zeros((5, len(tokens)))
+                columns[:, heads] = np.array(sums, np.float64).reshape(-1, 5).T
+                only_heads = np.ones(len(tokens), bool)
+                only_heads[heads] = False
+                made = [pa.array(columns[k].astype(np.int64) if k in (0, 1, 4) else columns[k], mask=only_heads if k == 0 else None) for k in range(5)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner, mask=only_heads)), pa.array(tokens, pa.binary()),
+                        pa.array(np.concatenate([np.zeros(0, np.int64), *times]).astype(np.int32)), *made,
+                    ],
+                    names=["key", "id", "token", "times", "n_tokens", "n_known", "base", "lm", "bytes"],
+                )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("key"), "id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"key long, id {kind}, token binary, times int, n_tokens long, n_known long, base double, lm double, bytes long"
-    tail = words.select("token", "n", F.col("lm").alias("word_lm"))
-    joined = numbered.mapInArrow(look_up, schema).join(tail, "token", "left")
-    of_tail = lambda value: F.sum(F.coalesce(F.col("times") * value, F.lit(0.0)))
+    joined = numbered.mapInArrow(look_up, schema).join(words.select("token", "n"), "token", "left")
     sums = joined.groupBy("key").agg(
         F.max("id").alias("id"),
         F.max("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).cast("long").alias("n_known"),
-        (F.sum("base") + of_tail(F.log10(F.col("n") + 1.0))).alias("base"),
-        (F.sum("lm") + of_tail(F.col("word_lm"))).alias("score"),
+        (F.sum("base") + F.sum(F.coalesce(F.col("times") * F.log10(F.col("n") + 1.0), F.lit(0.0)))).alias("base"),
+        F.sum("lm").alias("score"),
         F.max("bytes").alias("bytes"),
     )
     return sums.select(
@@ -466,5 +482,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
         "score",
-        (-F.col("score") / F.lit(math.log10(2)) / F.greatest(F.col("bytes"), F.lit(1))).alias("bits_per_byte"),
+        (-F.col("score") / F.lit(math.log10(2)) / F.col("bytes")).alias("bits_per_byte"),
     )
