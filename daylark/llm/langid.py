@@ -1,14 +1,17 @@
 """Language identification by spans: scripts narrow the candidates, Viterbi labels the words.
 
-Each word has a score per language: a smoothed log probability from the words of the training
-documents, or from its character trigrams if it is not among the known words. The script of a word
-rules out languages that the training documents don't write in it. Viterbi over a document's words,
-with a penalty for each switch, labels spans; the language with the most letters is the document's.
+A word is cut where its script changes, and runs of over ``WINDOW`` letters (text without spaces) into
+windows that share their border trigrams, so that every trigram counts once. Each piece has a score
+per language: a smoothed log probability from the pieces of the training documents, or from its
+character trigrams if it is not among the known ones. The script of a piece rules out languages that
+the training documents don't write in it. Viterbi over a document's pieces, with a penalty for each
+switch, labels spans; the language with the most letters is the document's.
 
 The model is fitted on a sample of at most ``TRAIN_DOCS`` labelled documents in expectation, spread
-over the table by a hash of the id. It holds at most ``KNOWN_WORDS`` words and ``KNOWN_GRAMS`` trigrams.
+over the table by a hash of the id. It holds at most ``KNOWN_WORDS`` pieces and ``KNOWN_GRAMS`` trigrams.
 
-Defined cases: text that is null or has no letters is ``und`` with score 0 and no spans. Null ids
+Defined cases: text that is null or has no letters is ``und`` with score 0 and no spans. Spans are
+ranges of code points, end exclusive, from the first to the last letter of their pieces. Null ids
 pass through; for the fold they count as the empty text. Repeated rows
 are labelled each. Ties go to the language that sorts first. Without training rows all is ``und``.
 An empty table gives an empty result. Columns other than those named are not read.
@@ -16,9 +19,11 @@ An empty table gives an empty result. Columns other than those named are not rea
 
 from __future__ import annotations
 
-import string
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,10 @@ from daylark.llm.tokens import WordTable, counted
 
 TRAIN_DOCS, KNOWN_WORDS, KNOWN_GRAMS = 20_000, 40_000, 150_000
 SWITCH, FLOOR, RULED_OUT = 5.0, -7.0, -12.0
-#: A word counts with at most so many letters for the language of its document.
-MOST_LETTERS = 12
+#: Letters in a window of a longer run.
+WINDOW = 24
 FOLDS, HELD_OUT = 4, 2
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Code-point ranges of the scripts, first to last.
 SCRIPTS = {
     "Latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)),
@@ -52,24 +58,60 @@ SCRIPTS = {
 }
 
 
+@lru_cache(maxsize=100_000)
 def script_of(char: str) -> str | None:
+    """The script whose ranges hold a letter or mark; "" for those that none holds, None for other characters."""
+    if not char.isalpha() and unicodedata.category(char)[0] != "M":
+        return None
     point = ord(char)
-    return next((s for s, ranges in SCRIPTS.items() if any(a <= point <= b for a, b in ranges)), None)
+    return next((s for s, ranges in SCRIPTS.items() if any(a <= point <= b for a, b in ranges)), "")
+
+
+def pieces(word: str) -> list[tuple[str, int, int]]:
+    """(piece, start, end) of a word: its letters in lower case with the ends marked by ^ and $, and where they stand.
+
+    Characters that are neither letters nor marks are passed over. A window that another one follows
+    holds that one's first two letters too, so that each trigram is in one piece.
+    """
+    if word.isascii() and word.isalpha():
+        runs = [(list(word.lower()), list(range(len(word))))]
+    else:
+        runs, last = [], None
+        for k, char in enumerate(word):
+            script = script_of(char)
+            if script is None:
+                continue
+            if script == "" and not char.isalpha():
+                script = last  # a mark goes with the letter before
+            if not runs or script != last:
+                runs.append(([], []))
+            last = script
+            for c in char.lower():
+                runs[-1][0].append(c)
+                runs[-1][1].append(k)
+    out = []
+    for chars, at in runs:
+        n, text = len(chars), "".join(chars)
+        if not any(map(str.isalpha, text)):
+            continue
+        for a in range(0, max(1, n - 2), WINDOW):
+            end = n if a + WINDOW >= n - 2 else a + WINDOW
+            body = text[a:] + "$" if end == n else text[a : end + 2]
+            out.append(("^" + body if a == 0 else body, at[a], at[end - 1] + 1))
+    return out
+
 
+def pieces_of(word: bytes) -> list[str]:
+    return [p for p, _, _ in pieces(word.decode("utf-8", "surrogatepass"))]
 
-def letters(word: bytes) -> str:
-    """The word in lower case without what is not a letter."""
-    text = word.decode("utf-8", "replace").lower()
-    text = text if text.isalpha() else text.strip(string.punctuation)
-    if text.isalpha():
-        return text
-    return "".join(filter(str.isalpha, text))
 
+def letters(piece: str) -> int:
+    """The letters that a piece alone has."""
+    return len(piece) - piece.startswith("^") - (1 if piece.endswith("$") else 2)
 
-def grams(word: str) -> list[str]:
-    """Trigrams of the word with its ends marked; a word of one letter has one."""
-    marked = f"^{word[:64]}$"
-    return [marked[k : k + 3] for k in range(len(marked) - 2)]
+
+def grams(piece: str) -> list[str]:
+    return [piece[k : k + 3] for k in range(len(piece) - 2)]
 
 
 @dataclass
@@ -80,22 +122,24 @@ class Model:
     unseen: np.ndarray
     scripts: dict[str, np.ndarray]  #: per script, whether each language is written in it
 
-    def describe(self, words: list[bytes]) -> np.ndarray:
-        """Per word the scores of the languages, 0 for the best and ``FLOOR`` at least, and the number of letters."""
+    def describe(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' pieces, one row each, and how many each word has.
+
+        A row has the scores of the languages, 0 for the best and ``FLOOR`` at least, and the number of letters.
+        """
+        cut = [pieces_of(w) for w in words]
+        texts = [p for own in cut for p in own]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
         states = len(self.languages)
-        out = np.zeros((len(words), states + 1), np.float32)
-        if not states:
-            return out
-        texts = [letters(w) for w in words]
+        out = np.zeros((len(texts), states + 1), np.float32)
+        if not states or not texts:
+            return out, count
         number, table = self._gram_rows()
-        raw = np.zeros((len(words), states))
+        raw = np.zeros((len(texts), states))
         at, ids, sizes, scripts = [], [], [], {}
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            out[k, states] = min(len(text), MOST_LETTERS)
-            if not text[0].isascii():
-                scripts.setdefault(script_of(text[0]), []).append(k)
+            out[k, states] = letters(text)
+            scripts.setdefault(script_of(text[text[0] == "^"]), []).append(k)
             known = self.words.get(text)
             if known is not None:
                 raw[k] = known
@@ -108,14 +152,13 @@ class Model:
             starts = np.cumsum([0, *sizes[:-1]])
             raw[at] = np.add.reduceat(table[ids], starts, axis=0)
         score = np.maximum(raw - raw.max(axis=1, keepdims=True), FLOOR)
-        ascii_rows = [k for k, text in enumerate(texts) if text and text[0].isascii()]
-        for script, rows in [("Latin", ascii_rows), *scripts.items()]:
-            allowed = self.scripts.get(script or "")
+        for script, rows in scripts.items():
+            allowed = self.scripts.get(script)
             if allowed is not None and allowed.any() and not allowed.all():
                 narrowed = np.where(allowed, score[rows], RULED_OUT)
                 score[rows] = narrowed - narrowed.max(axis=1, keepdims=True)
-        out[:, :states] = np.where(out[:, states :] > 0, score, 0)
-        return out
+        out[:, :states] = score
+        return out, count
 
     def _gram_rows(self) -> tuple[dict[str, int], np.ndarray]:
         """Row numbers of the trigrams and their scores; the last row is for others."""
@@ -138,9 +181,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield lang, (text or "").encode("utf-8", "surrogatepass").split()
 
         for langs, found, ns in counted(batches, words):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs), pa.array([letters(w) for w in found]), pa.array(ns, pa.int64())], names=["lang", "word", "n"]
-            )
+            cut = [(lang, p, n) for lang, w, n in zip(langs, found, ns) for p in pieces_of(w)]
+            columns = zip(*cut) if cut else ((), (), ())
+            made = [pa.array(list(c), kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["lang", "word", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str, str], int] = {}
@@ -148,7 +192,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for g in grams(word):
                     sums[lang, "gram", g] = sums.get((lang, "gram", g), 0) + n
-                key = (lang, "script", script_of(word[0]) or "")
+                key = (lang, "script", script_of(word[word[0] == "^"]) or "")
                 sums[key] = sums.get(key, 0) + n
         langs, kinds, keys = zip(*sums) if sums else ((), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -157,7 +201,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         )
 
     words = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    words = words.where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
     totals = {r[0]: (r[1], r[2]) for r in words.groupBy("lang").agg(F.sum("n"), F.count(F.lit(1))).collect()}
     languages = sorted(totals)
     top = words.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
@@ -206,7 +250,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def label_words(rows: list[np.ndarray], data: np.ndarray, states: int, most: int = 400_000) -> list[np.ndarray]:
-    """The state of each word of each document; documents of like length go together."""
+    """The state of each piece of each document; documents of like length go together."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
     order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
     at = 0
@@ -229,16 +273,18 @@ def label_words(rows: list[np.ndarray], data: np.ndarray, states: int, most: int
     return out
 
 
-def spans_of(states: np.ndarray, languages: list[str]) -> list[dict]:
-    """Runs of equal states as word ranges, end exclusive."""
-    edge = np.flatnonzero(np.diff(states)) + 1
-    starts = [0, *edge.tolist()] if len(states) else []
-    ends = [*edge.tolist(), len(states)] if len(states) else []
-    return [{"start": a, "end": b, "lang": languages[states[a]]} for a, b in zip(starts, ends)]
+def spans_of(text: str, states: np.ndarray, languages: list[str]) -> list[dict]:
+    """Runs of equal states as code-point ranges; there is a state for each piece of the text."""
+    at = [(m.start() + a, m.start() + b) for m in _WORD.finditer(text) for _, a, b in pieces(m[0])]
+    edges = np.flatnonzero(np.diff(states)) + 1
+    return [
+        {"start": at[a][0], "end": at[b - 1][1], "lang": languages[states[a]]}
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(states)]) if b > a
+    ]
 
 
 def identify(docs: DataFrame, keys: list[str], model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """``keys`` with ``lang_pred``, ``score`` and, if asked for, ``spans`` of words."""
+    """``keys`` with ``lang_pred``, ``score`` and, if asked for, ``spans``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     wanted = docs.select(*keys, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
@@ -254,10 +300,11 @@ def identify(docs: DataFrame, keys: list[str], model: Model, text_col: str = "te
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                rows = table.index([(t or "").encode("utf-8", "surrogatepass").split() for t in part.column(len(keys)).to_pylist()])
+                texts = [t or "" for t in part.column(len(keys)).to_pylist()]
+                rows = table.index([t.encode("utf-8", "surrogatepass").split() for t in texts])
                 paths = label_words(rows, table.data, states) if states else [np.zeros(0, np.int64)] * len(rows)
                 out = []
-                for row, path in zip(rows, paths):
+                for text, row, path in zip(texts, rows, paths):
                     size = table.data[row, states] if len(row) else np.zeros(0)
                     if not states or not size.sum():
                         out.append(("und", 0.0, *[[]] * with_spans))
@@ -266,7 +313,7 @@ def identify(docs: DataFrame, keys: list[str], model: Model, text_col: str = "te
                     best = int(share.argmax())
                     total = table.data[row, :states].sum(axis=0, dtype=np.float64)
                     odds = np.exp(np.clip(total - total[best], -60, 60)).sum()
-                    out.append((own.languages[best], float(share[best] / odds), *[spans_of(path, own.languages)] * with_spans))
+                    out.append((own.languages[best], float(share[best] / odds), *[spans_of(text, path, own.languages)] * with_spans))
                 made = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=names)
 
