@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished Spark outputs in a folder of any store that Spark knows; none if it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in store.listStatus(at)] if store.exists(at) else []
+    return sorted(p.getName() for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 _MADE: list[str] = []
 
 
@@ -54,16 +62,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` stored with a number per row, and the number's column, whose name no column of ``docs`` has.
+def without(docs: DataFrame, id_col: str, mark: Column, gone: DataFrame, tied: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and mark are in ``gone``, and with one row of each in ``tied``.
 
-    Ids may be null or repeated; a verdict per row needs a key that is neither.
+    ``gone`` and ``tied`` are stored tables (id, mark) without repeats. Ids may be null or repeated; a mark
+    says which text a row has, so that rows with equal id and mark differ in other columns at most.
     """
-    taken = {c.lower() for c in docs.columns}
-    name = "__row"
-    while name in taken:
-        name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["id"].eqNullSafe(b["id"]) & a["mark"].eqNullSafe(b["mark"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), mark.alias("mark"))
+    gone = small_side(gone)
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    if tied.isEmpty():
+        return left.select("row.*")
+    tied = small_side(tied)
+    one = left.join(tied, same(left, tied), "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row"))
+    return left.join(tied, same(left, tied), "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
