@@ -25,16 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import numbered, small_side, stored
+from daylark.llm.common import small_side, stored, without
 from daylark.llm.components import connected_components
 
 SHINGLE_WORDS, LINK_BITS, SEED = 4, 4, 42
 SEGMENTS_PER_HALF, SEGMENT_BITS = 16, 2
 #: Fingerprints at one grid point that are compared all with all; larger grid points are cut by blocks first.
 DENSE = 256
+#: Rows of a fingerprint from which its component is looked up by broadcast.
+HOT = 1_000
 _BLOCKS = [(np.uint64(at), np.uint64((1 << size) - 1)) for at, size in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))]
 
 
@@ -166,39 +168,56 @@ def linked_fingerprints(points: DataFrame, bits: int = LINK_BITS) -> DataFrame:
             pairs = links(keys, fps.view(np.uint64), bits).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows so far
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy()])
-            done = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            if done:
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            done = np.searchsorted(keys, keys[-1])
+            if held and (done or keys[0] != held[0][0][-1]):
+                held.append((keys[:done], fps[:done]))
+                yield out(*map(np.concatenate, zip(*held)))
+                held = []
+            elif done:
                 yield out(keys[:done], fps[:done])
-                keys, fps = keys[done:], fps[done:]
-        if len(keys):
-            yield out(keys, fps)
+            held.append((keys[done:], fps[done:]))
+        if held:
+            yield out(*map(np.concatenate, zip(*held)))
 
     placed = points.select("fp").mapInArrow(place, "key long, fp long")
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
-    """One row per input row: id, fp (signed), component_id (see the module's defined cases)."""
-    prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    points = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "points")
+def components_of(prints: DataFrame, best: Column, bits: int) -> DataFrame:
+    """(fp, first, n) of each distinct fingerprint of ``prints``: the least ``best`` in its component, its own rows."""
+    points = stored(prints.groupBy("fp").agg(F.min(best).alias("least"), F.count(F.lit(1)).alias("n")), "points")
     roots = connected_components(linked_fingerprints(points, bits))
     placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return placed.join(placed.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first", "n")
+
+
+def with_first(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """``prints`` with ``first``; hot fingerprints by broadcast, as all their rows have one key."""
+    hot, rest = small_side(named.where(F.col("n") >= HOT)), named.where(F.col("n") < HOT)
+    return prints.join(hot.drop("n"), "fp").unionByName(prints.join(rest.drop("n"), "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
+    """One row per input row: id, fp (signed), component_id (see the module's defined cases)."""
+    prints = stored(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"), "fingerprints")
+    found = with_first(prints, components_of(prints, F.col("id"), bits))
+    return found.select(F.col("id").alias(id_col), "fp", F.col("first").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = LINK_BITS) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id.
 
-    Null ids come last; of a component's rows with equal ids the first read stays.
+    Null ids come last; of a component's rows with equal ids that with the least text hash stays, and one of rows with equal texts.
     """
-    rows, row = numbered(docs)
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    found = near_duplicates(rows.select(rank.alias("id"), F.col(text_col).alias("text")), "id", "text", bits)
-    gone = stored(found.where(F.col("id") != F.col("component_id")).select(F.col("id.row").alias(row)), "dropped")
-    return rows.join(small_side(gone), row, "left_anti").drop(row)
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("null_id"), F.col(id_col).alias("id"), mark.alias("mark")).alias("id"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(keyed, "id", "text"), "fingerprints")
+    found = stored(with_first(prints, components_of(prints, F.col("id"), bits)).select("id.id", "id.mark", (F.col("id") == F.col("first")).alias("kept")), "verdicts")
+    gone = stored(found.where("not kept").select("id", "mark").distinct(), "dropped")
+    tied = stored(found.where("kept").groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "tied")
+    return without(docs, id_col, mark, gone, tied)
