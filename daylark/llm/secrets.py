@@ -5,7 +5,9 @@ its characters change by one in and one out, and the entropy sum follows by diff
 is a secret where a window of its character class (hex, alphanumeric, base64) reaches the class's
 threshold, unless the allow list knows it. What a pattern has taken is cut out of a run first. A run
 that is no secret as a whole is cut into its alphanumeric runs, and these into their hex runs; each
-is judged by its own class, and the allow list holds for that part alone.
+is judged by its own class, and the allow list holds for that part alone. Fillers and placeholder words
+(``0000``, ``abcdef``, ``example``) explain only their own characters: they are taken out, and the rest
+is judged, down to ``REST_LEAST`` characters.
 
 Defined cases: a null text counts as empty and gives counts of 0, the digest of the empty string and
 an empty span list. Null ids pass through; repeated rows are scanned each. Texts of any length are
@@ -37,7 +39,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Every match of ASSIGN holds one of these in lower case.
 ASSIGN_HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
-CANDIDATE_LEAST = 20
+CANDIDATE_LEAST, REST_LEAST = 20, 16
 
 
 @dataclass(frozen=True)
@@ -63,8 +65,8 @@ ALLOWED = (
     re.compile(r"(?:[A-Z]?[a-z]{0,14}|[A-Z]{1,15})[0-9]{0,4}(?:[-_./=+](?:[A-Z]?[a-z]{0,14}|[A-Z]{1,15})[0-9]{0,4})*"),
     re.compile(r"[0-9]+(?:[-_./=+][0-9]*)*"),
     re.compile(r".*\.(?:com|org|net|html?|php|png|jpe?g|gif|css|js|py|pdf|txt|json|xml)", re.IGNORECASE),
-    re.compile(r".*(?:example|placeholder|changeme|dummy|xxxx|0000|1234567|abcdef).*", re.IGNORECASE),
 )
+FILLERS = re.compile(r"example|placeholder|changeme|dummy|x{4,}|0{4,}|1234567(?:89?0?)?|abcdef", re.IGNORECASE)
 _SUM = [0.0] + [n * math.log2(n) for n in range(1, 65)]
 
 
@@ -89,17 +91,26 @@ def windows_peak(text: str, window: int, mixed: int) -> float:
     return peak
 
 
-@lru_cache(maxsize=50_000)
-def is_random(candidate: str) -> bool:
+def judged_random(candidate: str) -> bool:
     """Whether a window of the candidate's class reaches the class's entropy and no allow rule knows it."""
-    if candidate.isalpha() and (candidate.islower() or candidate[1:].islower()):
+    if len(candidate) < CANDIDATE_LEAST or candidate.isalpha() and (candidate.islower() or candidate[1:].islower()):
         return False
     if any(rule.fullmatch(candidate) for rule in ALLOWED):
         return False
-    kind = next(c for c in CLASSES if c.pattern.fullmatch(candidate))
-    window = min(kind.window, len(candidate))
-    bits = kind.bits * math.log2(window) / math.log2(kind.window) if window > 1 else kind.bits
-    return len(candidate) >= CANDIDATE_LEAST and windows_peak(candidate, window, kind.mixed) >= bits
+    rest = FILLERS.sub("", candidate)
+    if len(rest) < len(candidate) and (len(rest) < REST_LEAST or any(rule.fullmatch(rest) for rule in ALLOWED)):
+        return False
+    kind = next(c for c in CLASSES if c.pattern.fullmatch(rest))
+    window = min(kind.window, len(rest))
+    return windows_peak(rest, window, kind.mixed) >= kind.bits * math.log2(window) / math.log2(kind.window)
+
+
+_known = lru_cache(maxsize=50_000)(judged_random)
+
+
+def is_random(candidate: str) -> bool:
+    """``judged_random``; verdicts on candidates of up to 128 characters are kept."""
+    return _known(candidate) if len(candidate) <= 128 else judged_random(candidate)
 
 
 def random_parts(run: str) -> list[tuple[int, int]]:
