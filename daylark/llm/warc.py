@@ -1,15 +1,18 @@
 """WARC archives as a PySpark Python data source, written and read by file partitions.
 
 ``df.write.format("warc").save(path)`` writes one ``.warc.gz`` file per task, a gzip member per
-record. Each member says its own compressed and plain length in a gzip extra field, and a manifest
-lists the committed files with member offsets about every ``split_bytes``; these are the read's
-partitions. Reading takes predicates on the record type and on header columns, inflates a member
+record. Each member says its own compressed and plain length in a gzip extra field, and each write
+commits a manifest of its files with member offsets about every ``split_bytes``; these are the read's
+partitions. Mode "append" adds to the archive, "overwrite" replaces what was committed before: its
+manifest names the ones it replaces, so that readers see either the old records or the new ones.
+Reading takes predicates on the record type and on header columns, inflates a member
 only up to the end of its headers, and seeks past the rest unless the row is wanted and a payload
 column is asked for. Files without the extra field or manifest are read too, one partition a file.
 
 Defined cases: null payloads count as empty; a null URI writes no header and reads as null; control
-characters in header values are percent-encoded. Empty input writes a manifest without files and
-reads as no rows.
+characters in header values are percent-encoded. Repeated rows are written each, with equal record ids.
+Empty input writes a manifest without files and reads as no rows. A failed write leaves no manifest, and
+deletes the files of its finished tasks.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ HEADER_COLUMNS = {
     "payload_digest": "warc-payload-digest",
 }
 PAYLOAD_COLUMNS = {"payload", "payload_length", "payload_sha1"}
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest(-[0-9a-f]+)?\.json")
 LEVEL = 4
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -100,6 +103,24 @@ def record(row: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError) as error:
+        raise ValueError(f"WARC archives can't be kept at {path}: pyarrow.fs doesn't open it ({error})") from error
+
+
+def manifests(store: fs.FileSystem, root: str) -> dict[str, dict]:
+    """Each manifest that no other one replaces, by name; ``files`` with their splits and sizes."""
+    names = [x.base_name for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if MANIFEST.fullmatch(x.base_name)]
+    found = {}
+    for name in names:
+        with store.open_input_stream(f"{root}/{name}") as file:
+            found[name] = json.loads(file.read())
+    gone = {old for m in found.values() for old in m["replaces"]}
+    return {name: m for name, m in found.items() if name not in gone}
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str | None
@@ -108,35 +129,45 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, split_bytes: int):
-        self.path, self.split_bytes = path, split_bytes
+    def __init__(self, path: str, split_bytes: int, overwrite: bool):
+        self.path, self.split_bytes, self.overwrite = path, split_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         name, out, at, splits = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, []
-        for batch in iterator:
-            for k in range(batch.num_rows):
-                if out is None:
-                    store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(f"{root}/{name}", compression=None)
-                data = member(record({c: batch.column(c)[k].as_py() for c in batch.schema.names}))
-                if not splits or at - splits[-1] >= self.split_bytes:
-                    splits.append(at)
-                out.write(data)
-                at += len(data)
+        try:
+            for batch in iterator:
+                for k in range(batch.num_rows):
+                    if out is None:
+                        store.create_dir(root, recursive=True)
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    data = member(record({c: batch.column(c)[k].as_py() for c in batch.schema.names}))
+                    if not splits or at - splits[-1] >= self.split_bytes:
+                        splits.append(at)
+                    out.write(data)
+                    at += len(data)
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(f"{root}/{name}")
+            raise
         if out is not None:
             out.close()
         return Written(name if out is not None else None, splits, at)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         store.create_dir(root, recursive=True)
+        before = manifests(store, root) if self.overwrite else {}
         files = [{"file": m.file, "splits": m.splits, "size": m.size} for m in messages if m and m.file]
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps(files).encode())
+        with store.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps({"files": files, "replaces": list(before)}).encode())
+        for manifest in before.values():
+            for f in manifest["files"]:
+                store.delete_file(f"{root}/{f['file']}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         for m in messages:
             if m and m.file:
                 store.delete_file(f"{root}/{m.file}")
@@ -214,10 +245,10 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Span]:
-        store, root = fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as file:
-                files = json.loads(file.read())
+        store, root = opened(self.path)
+        kept = manifests(store, root)
+        if kept:
+            files = [f for name in sorted(kept) for f in kept[name]["files"]]
         else:
             found = store.get_file_info(fs.FileSelector(root))
             files = [{"file": x.base_name, "splits": [0], "size": x.size} for x in found if x.base_name.endswith(".warc.gz")]
@@ -232,7 +263,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Span) -> Iterator[tuple]:
         if not partition.file:
             return
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         payload_wanted = bool(PAYLOAD_COLUMNS & set(self.columns))
         with store.open_input_file(f"{root}/{partition.file}") as file:
             at = partition.start
@@ -266,10 +297,12 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
+        opened(self.options["path"])
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("split_bytes", 64 << 20)))
+        opened(self.options["path"])
+        return WarcWriter(self.options["path"], int(self.options.get("split_bytes", 64 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -302,12 +335,15 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def archive_pages(pages: DataFrame, path: str | None = None, **columns) -> str:
-    """Write the pages as WARC archives and return their path."""
+def archive_pages(pages: DataFrame, path: str | None = None, mode: str = "append", **columns) -> str:
+    """Write the pages as WARC archives (``mode`` "append" or "overwrite") and return their path.
+
+    Duplicates are looked for within ``pages``, not among records that the path holds already.
+    """
     spark = pages.sparkSession
     register(spark)
     path = path or new_path(spark, "warc")
-    page_records(pages, **columns).write.format("warc").mode("append").save(path)
+    page_records(pages, **columns).write.format("warc").mode(mode).save(path)
     return path
 
 
