@@ -3,8 +3,8 @@
 The lexicon is learned: words that labelled toxic documents hold far more often than others, by a
 Chernoff bound that stays significant over all words tried. Features of a document are the densities
 of lexicon hits, how near they stand to second-person words, the shares of capitals, punctuation and
-exclamation, and how much is obfuscated (``st*pid``, ``1diot``, ``moooron``). Trees are fitted on three
-quarters of the training rows, the calibration on the rest.
+exclamation, and how much is obfuscated (``st*pid``, ``1diot``, ``moooron``). Lexicon and trees are fitted
+on three quarters of the training rows, the calibration on the rest.
 
 Training uses at most ``TRAIN_DOCS`` labelled documents outside the held-out fold, the first by a hash
 of the id. Labels, ids, language and source are no inputs of a score.
@@ -186,14 +186,14 @@ def score_toxicity(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = stored(training_labels(labels, id_col, label_col), "labels")
     sample = stored(rows.join(small_side(chosen), "id").select("id", "text", "toxic"), "labelled")
-    lexicon = learn_lexicon(sample)
+    calibrates = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0
+    lexicon = learn_lexicon(sample.where(~calibrates))
     features = stored(featurize(rows, lexicon, ["id"]), "features")
     held_out = (crc_bucket("id", FOLDS) == HELD_OUT).alias("held_out")
     n_toxic, n_all = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     to_vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     known = to_vector.transform(featurize(sample, lexicon, ["id", "toxic"]))
     known = stored(known.select("id", "features", F.col("toxic").cast("double").alias("label")), "known")
-    calibrates = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(4)) == 0
     fit, rest = known.where(~calibrates), known.where(calibrates)
     enough = n_toxic and n_toxic < n_all and fit.select("label").distinct().count() == 2 and not rest.isEmpty()
     if not enough:
