@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daylark.functions.scalar import bmi, json_number
+from daylark.sources.ingest import overwrite
 
 KEYS = ("participant_id", "day_in_study")
 LEAST_COVERAGE = 0.5
@@ -49,6 +50,7 @@ def averages_daily(rows: DataFrame, columns: Mapping[str, str], keys=KEYS) -> Da
     return _by_day(rows.where("day_in_study is not null"), keys, **{k: F.avg(v) for k, v in columns.items()})
 
 
+# Output names of daily means, and the input columns they come from.
 SLEEP_SCORE = {
     "sleep_score": "overall_score", "sleep_composition_score": "composition_score", "sleep_revitalization_score": "revitalization_score",
     "sleep_duration_score": "duration_score", "sleep_deep_score_min": "deep_sleep_in_minutes", "sleep_rhr": "resting_heart_rate",
@@ -117,3 +119,9 @@ def build_daily_features(tables: Mapping[str, DataFrame], interval_aware: bool =
         spine = spine.withColumnRenamed("stress", "self_stress")
     body = latest_body(tables["height_weight"]) if "height_weight" in tables else None
     return daily_panel(spine, body, [make(tables[k], keys) for k, make in makers.items() if k in tables], keys)
+
+
+def refresh_daily_features(tables: Mapping[str, DataFrame], path: str, interval_aware: bool = False) -> DataFrame:
+    """Build the panel anew, put it in place of the one stored under ``path``, and return the stored one."""
+    overwrite(build_daily_features(tables, interval_aware), path)
+    return next(iter(tables.values())).sparkSession.read.parquet(path)

@@ -26,17 +26,40 @@ def nearest_within(left: DataFrame, right: DataFrame, owner: str, left_time: str
     return pairs.groupBy("left_id").agg(best).select("left_id", "best.right_id", "best.gap_us")
 
 
+def latest_per_owner(rows: DataFrame, owner: str, time: str, tie: str, most: int = 50) -> DataFrame:
+    """The ``most`` latest rows of each owner, by time and then the smaller ``tie``."""
+    window = Window.partitionBy(owner).orderBy(F.desc(time), tie)
+    return rows.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= most).drop("__rank")
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both by key; where both have a key, the right one's values stand."""
+    return left.join(right.select(*keys), keys, "left_anti").unionByName(right)
+
+
+#: Bytes of query vectors that one broadcast block holds.
+BLOCK_BYTES = 64 << 20
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` nearest points of each query by Euclidean distance, ties by point id; queries are few and broadcast.
+    """The ``k`` nearest points of each query by Euclidean distance, ties by point id.
 
-    ``points`` and ``queries`` have (id, vector). A rank limit is pushed below the shuffle: each partition
-    passes on its own k nearest of a query.
+    ``points`` and ``queries`` have (id, vector). Queries are counted and cut into blocks of at most
+    ``BLOCK_BYTES``, each broadcast against all points. A rank limit is pushed below the shuffle: each
+    partition passes on its own k nearest of a query.
     """
+    size = queries.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
+    number = -(-size // BLOCK_BYTES) or 1
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     square = F.aggregate(
         F.zip_with("vector", "query", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
         F.lit(0.0), lambda s, x: s + x,
     )
-    pairs = points.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", F.sqrt(square).alias("distance"))
     near = Window.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    out = None
+    for block in range(number):
+        own = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == block))
+        pairs = points.join(own, F.col("id") != F.col("query_id")).select("query_id", "id", F.sqrt(square).alias("distance"))
+        best = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -76,6 +76,13 @@ def week_over_week(panel: DataFrame, value: str, days: int = 7, person: str = PE
     return out.withColumn("change", F.col("recent") - F.col("previous"))
 
 
+def week_cards(rows: DataFrame, digits: dict[str, int], days: int = 7, person: str = PERSON, day: str = DAY) -> DataFrame:
+    """Per participant the mean of each column over the last ``days`` rows, rounded to the column's digits."""
+    order = Window.partitionBy(person).orderBy(F.desc(day))
+    last = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= days)
+    return last.groupBy(person).agg(*[half_up(F.avg(c), n).alias(c) for c, n in digits.items()])
+
+
 def forecast(latest: DataFrame, days: int = 14, person: str = PERSON) -> DataFrame:
     """Cycle days ahead of each participant's last one, with a sine and a linear guess of the day's level."""
     ahead = latest.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(days))))

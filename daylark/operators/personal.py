@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daylark.functions.scalar import PHASES, half_up
+from daylark.functions.scalar import PHASES, half_up, sleep_minutes
 
 PUBLIC_PHASES = ("Menstrual", "Follicular", "Ovulatory", "Luteal")
 
@@ -113,6 +113,58 @@ def export_bundle(shared: DataFrame, columns: Sequence[str]) -> DataFrame:
     return shared.groupBy("alias").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.count(F.lit(1)).alias("count"), records.alias("records"))).alias("bundle"))
 
 
+def envelopes(rows: DataFrame, person: str, alias: Column, opted_in: Column) -> DataFrame:
+    """Per person the alias, the consent and the number of shared records; without consent "OPTED-OUT" and none."""
+    known = rows.select(F.col(person), alias.alias("__alias"), F.coalesce(opted_in, F.lit(False)).alias("__in"))
+    out = known.groupBy(person).agg(F.max("__alias").alias("__alias"), F.bool_and("__in").alias("consent"), F.count_if("__in").alias("records"))
+    return out.select(
+        person, F.when(F.col("consent"), F.col("__alias")).otherwise("OPTED-OUT").alias("alias"), "consent", F.when(F.col("consent"), F.col("records")).otherwise(0).alias("records")
+    )
+
+
+# What entries must lie within, both ends included; nulls pass.
+LIMITS = {"cycle_day": (1, 60), "temperature": (34, 40), "cycle_length": (20, 45), "luteal_length": (8, 18)}
+
+
+def validated(rows: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``<column>_ok`` for each limited column."""
+    return rows.withColumns({f"{c}_ok": F.coalesce(F.col(c).between(*ends), F.lit(True)) for c, ends in LIMITS.items()})
+
+
+# The dashboard's names of features.
+DASHBOARD_NAMES = {
+    "bmi": "bmi", "wristTempDelta": "wrist_temp_overnight_mean", "lh": "lh", "estradiol": "estrogen", "hrv": "hrv_mean",
+    "respiratoryRate": "resp_rate_full", "sleepScore": "sleep_score", "sleepDuration": "sleep_asleep_min", "stressScore": "stress_score",
+    "glucose": "glucose_mean", "cramps": "cramps", "bloating": "bloating",
+}
+
+
+def to_features(rows: DataFrame) -> DataFrame:
+    """Dashboard columns under their feature names; sleep in hours becomes minutes."""
+    if "sleepDuration" in rows.columns:
+        rows = rows.withColumn("sleepDuration", sleep_minutes(F.col("sleepDuration")))
+    return rows.withColumnsRenamed({k: v for k, v in DASHBOARD_NAMES.items() if k in rows.columns})
+
+
+# The features of a day in their order, and the columns that are none of a model's inputs.
+FEATURE_KEYS = (
+    "phase", "lh", "estrogen", "pdg", "height_cm", "weight_kg", "bmi",
+    "hrv_mean", "hrv_median", "hrv_min", "hrv_max", "hrv_std", "hrv_lf_mean", "hrv_hf_mean", "hrv_samples",
+    "sleep_asleep_min", "sleep_in_bed_min", "sleep_awake_min", "sleep_efficiency", "sleep_deep_min", "sleep_rem_min", "sleep_light_min",
+    "sleep_wake_min", "sleep_start", "sleep_end", "sleep_sessions",
+    "sleep_score", "sleep_composition_score", "sleep_revitalization_score", "sleep_duration_score", "sleep_deep_score_min", "sleep_rhr",
+    "sleep_restlessness", "rhr", "rhr_error", "resp_rate_full", "resp_rate_deep", "resp_rate_rem", "resp_rate_light",
+    "stress_score", "stress_sleep_points", "stress_responsiveness_points", "stress_exertion_points",
+    "glucose_mean", "glucose_min", "glucose_max", "glucose_std", "glucose_range", "glucose_samples", "wrist_temp_overnight_mean",
+    "cramps", "bloating", "fatigue", "headaches", "sorebreasts", "moodswing", "self_stress", "sleepissue",
+)
+NOT_PREDICTORS = ("phase", "participant_id", "day_in_study", "sleep_start", "sleep_end")
+
+
+def predictors(columns: Sequence[str] = FEATURE_KEYS) -> list[str]:
+    return [c for c in columns if c not in NOT_PREDICTORS]
+
+
 def phase_logits(day: Column, skin_delta: Column, hrv: Column) -> list[Column]:
     """Heuristic logits of the four public phases by cycle day, skin temperature and heart-rate variability."""
     day = F.coalesce(day, F.lit(14))

@@ -73,10 +73,37 @@ def class_weights(panel: DataFrame, phase: str = "phase") -> DataFrame:
     return full.withColumn("weight", F.when(F.col("n") > 0, total / (F.lit(float(len(PHASES))) * F.col("n"))).otherwise(F.lit(1.0)))
 
 
+#: Ranges that the values of a group are cut into before they are sorted.
+RANGES = 64
+
+
+def values_at(rows: DataFrame, by: Sequence[str], value: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (by, rank: 0-based places among a group's non-null values in order) with the value at each place.
+
+    Exact, and without a group in one task: equal values are counted first, cut into ``RANGES`` by
+    approximate quantiles, sorted within a range, and offset by the sizes of the ranges before.
+    """
+    present = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    edges = present.groupBy(*by).agg(F.percentile_approx("__v", steps, F.lit(1000)).alias("__edges"))
+    counts = present.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).join(edges, list(by))
+    cut = counts.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+    before = Window.partitionBy(*by).orderBy("__range")
+    sizes = cut.groupBy(*by, "__range").agg(F.sum("__n").alias("__size"))
+    sizes = sizes.select(*by, "__range", (F.sum("__size").over(before) - F.col("__size")).alias("__before"))
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__v"))
+    placed = cut.join(sizes, [*by, "__range"]).withColumn("__upto", upto)
+    hit = (F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__n"))
+    return wanted.join(placed, list(by)).where(hit).select(*by, "rank", F.col("__v").alias(value))
+
+
 def medians(rows: DataFrame, columns: Sequence[str], empty: float | None = None) -> DataFrame:
     """Exact medians in one row; ``empty`` stands for columns without values."""
-    value = lambda c: F.percentile(c, F.lit(0.5))
-    return rows.agg(*[(value(c) if empty is None else F.coalesce(value(c), F.lit(float(empty)))).alias(c) for c in columns])
+    long = unpivoted(rows.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns).where("value is not null")
+    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    middle = n.select("feature", F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))).alias("rank"))
+    found = values_at(long, ["feature"], "value", middle).groupBy().pivot("feature", list(columns)).agg(F.avg("value"))
+    return found.select(*[(F.col(c) if empty is None else F.coalesce(c, F.lit(float(empty)))).alias(c) for c in columns])
 
 
 def first_mode(rows: DataFrame, by: Sequence[str], value: str, order: str) -> DataFrame:
@@ -95,11 +122,24 @@ def guarded_std(value: Column, population: bool = False) -> Column:
 
 def quantile_thresholds(rows: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
     """Candidate cuts at floor(i / (k + 1) * n) of the sorted values, repeats of the one before dropped."""
-    present = rows.where(F.col(value).isNotNull())
-    window = Window.partitionBy(*by).orderBy(value)
-    ranked = present.withColumns({"rank": F.row_number().over(window) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    cuts = present.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("i"))
-    at = F.floor(F.col("i") / F.lit(float(k + 1)) * F.col("n"))
-    found = ranked.join(F.broadcast(cuts), F.col("rank") == at).select(*by, "i", F.col(value).alias("threshold"))
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    wanted = wanted.withColumn("rank", F.floor(F.col("i") / F.lit(float(k + 1)) * F.col("n"))).drop("n")
+    found = values_at(rows, by, value, wanted.select(*by, "rank").distinct()).join(wanted, [*by, "rank"]).withColumnRenamed(value, "threshold")
     before = F.lag("threshold").over(Window.partitionBy(*by).orderBy("i"))
-    return found.withColumn("__before", before).where("__before is null or __before <> threshold").drop("__before")
+    return found.withColumn("__before", before).where("__before is null or __before <> threshold").select(*by, "i", "threshold")
+
+
+def missingness_change(before: DataFrame, after: DataFrame, by: str, features: Sequence[str]) -> DataFrame:
+    """Per group the share of nulls of each feature before and after, and the mean over the features in percent."""
+    def shares(rows: DataFrame, end: str) -> DataFrame:
+        own = [F.avg(F.col(c).isNull().cast("double")) for c in features]
+        mean = 100.0 * sum(own[1:], own[0]) / len(features)
+        return rows.groupBy(by).agg(*[x.alias(f"{c}_{end}") for x, c in zip(own, features)], mean.alias(f"mean_{end}"))
+
+    return shares(before, "before").join(shares(after, "after"), by)
+
+
+def with_metadata(specs: DataFrame, known: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Definitions with what is known of each, ``defaults`` where nothing is."""
+    return specs.join(known, key, "left").na.fill(defaults)

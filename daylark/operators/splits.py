@@ -1,6 +1,6 @@
 """Stratified splits and folds of participants by a hash order, without leakage of a participant's rows.
 
-A participant's place in its stratum is its rank by a seeded hash. Ranks are exact but need no sort of
+A participant's place in its stratum is its rank by the MD5 of the seed and its id. Ranks are exact but need no sort of
 a whole stratum in one task: each stratum is cut into hash ranges, ranked within, and offset by the
 sizes of the ranges before.
 """
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SEED, RANGES = 42, 256
+SEED = 42
 TEST_SHARE = VAL_SHARE = 0.15
 
 
 def hash_rank(people: DataFrame, person: str, stratum: str, seed: int = SEED) -> DataFrame:
     """``people`` with ``rank`` (0-based) within its stratum by hash, and ``size`` of the stratum."""
-    order = F.xxhash64(person, F.lit(seed))
-    cut = people.withColumns({"__order": order, "__range": F.shiftrightunsigned(order, 56)})
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(person).cast("string")))
+    cut = people.withColumns({"__order": order, "__range": F.substring(order, 1, 2)})
     sizes = cut.groupBy(stratum, "__range").agg(F.count(F.lit(1)).alias("__n"))
     by_range = Window.partitionBy(stratum).orderBy("__range")
     offsets = sizes.select(

@@ -8,28 +8,53 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daylark.functions.scalar import PHASES, class_index
+from daylark.functions.scalar import PHASES, class_index, half_up, softmax
 from daylark.operators import metrics, profile
 
 SEED = 42
 
 
+class Ridge:
+    """Least squares with a penalty on targets of 1 for a class and -1 for the others, one model per class."""
+
+    SHARPNESS = 4.0  #: factor on the outputs before the softmax
+
+    def __init__(self, strength: float = 1.0, iterations: int = 60):
+        self.strength, self.iterations = strength, iterations
+
+    def fit(self, rows: DataFrame) -> Ridge:
+        share = self.strength / max(1, rows.count())  # MLlib's penalty is per row
+        self.models = []
+        for k in range(len(PHASES)):
+            target = rows.withColumn("__target", F.when(F.col("label") == k, 1.0).otherwise(-1.0))
+            self.models.append(LinearRegression(labelCol="__target", predictionCol=f"__out{k}", regParam=share, standardization=False, maxIter=self.iterations, tol=1e-6).fit(target))
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        for model in self.models:
+            rows = model.transform(rows)
+        names = [f"__out{k}" for k in range(len(self.models))]
+        sharp = softmax([F.col(c) * self.SHARPNESS for c in names])
+        best = F.array_position(F.array(*names), F.greatest(*names)) - 1
+        return rows.withColumns({"probabilities": F.array(*sharp), "prediction": best.cast("double")}).drop(*names)
+
+
 def classifiers(width: int, rounds: int = 250, trees: int = 300, iterations: int = 60) -> dict[str, Callable[[], Estimator]]:
-    """Estimators by name; boosting and the ridge are one-vs-rest, as MLlib's boosting is binary."""
+    """Estimators by name; boosting and the ridge are one against the rest, as MLlib's boosting is binary."""
     boost = lambda: GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.05, minInstancesPerNode=4, seed=SEED, featureSubsetStrategy="onethird")
     return {
         "boosting": lambda: OneVsRest(classifier=boost()),
         "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=16, minInstancesPerNode=2, seed=SEED),
         "logistic": lambda: LogisticRegression(maxIter=iterations, regParam=1e-4, weightCol="weight"),
-        "ridge": lambda: OneVsRest(classifier=LogisticRegression(maxIter=iterations, regParam=1.0)),
+        "ridge": lambda: Ridge(iterations=iterations),
         "perceptron": lambda: MultilayerPerceptronClassifier(layers=[width, 16, len(PHASES)], maxIter=iterations, blockSize=128, seed=SEED),
     }
 
@@ -55,6 +80,12 @@ class Design:
     def filled(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({f"__{p}": F.coalesce(F.col(p).cast("double"), F.lit(float(self.medians[p]))) for p in self.predictors})
 
+    def pipeline(self, model) -> PipelineModel:
+        """Filling, assembling, scaling and the model as one MLlib pipeline, which can be saved and loaded."""
+        fills = ", ".join(f"coalesce(double(`{p}`), double({self.medians[p]!r})) AS `__{p}`" for p in self.predictors)
+        raw = VectorAssembler(inputCols=[f"__{p}" for p in self.predictors], outputCol="raw")
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"), raw, self.scaler, model])
+
     def __call__(self, rows: DataFrame) -> DataFrame:
         return self.scaler.transform(self.assemble(rows)).drop("raw")
 
@@ -94,6 +125,39 @@ def leaderboard(folds: DataFrame) -> DataFrame:
     return metrics.over_folds(folds, ["method"], ["accuracy", "macro_f1"]).orderBy(F.desc("macro_f1_mean"), "method")
 
 
+def train_phase(rows: DataFrame, folds: DataFrame, split: str, predictors: Sequence[str], names: Sequence[str], k: int, path: str | None = None, person: str = "participant_id", **sizes):
+    """(report, winner, test metrics): cross-validation on the pool (train and val), refit of the winner on the pool, test.
+
+    The winner has the best mean macro-F1, the earlier name on ties. With a ``path`` the fitted pipeline is
+    saved there (MLlib's own kinds; the ridge isn't one); ``PipelineModel.load`` brings it back.
+    """
+    pool = rows.where(F.col(split) != "test")
+    report = cross_validate(pool, folds, predictors, names, k, person, **sizes)
+    scores = {r["method"]: r["score"] for r in report.groupBy("method").agg(F.avg("macro_f1").alias("score")).collect()}
+    winner = max((n for n in names if n in scores), key=lambda n: scores[n])
+    fit_rows = labelled(pool)
+    design = Design(fit_rows, predictors)
+    model = classifiers(len(predictors), **sizes)[winner]().fit(design(fit_rows))
+    test = evaluate(model.transform(design(labelled(rows.where(F.col(split) == "test")))))
+    if path and not isinstance(model, Ridge):
+        design.pipeline(model).write().overwrite().save(path)
+    return report, winner, test
+
+
+def importances(features: DataFrame, name: str = "feature", value: str = "gain", most: int = 15) -> DataFrame:
+    """The ``most`` largest shares of the total, rounded to four places; ties by name. Without a total all are 0."""
+    total = features.agg(F.sum(value).alias("__total"))
+    share = F.when(F.col("__total") > 0, F.col(value) / F.col("__total")).otherwise(F.lit(0.0))
+    rated = features.join(F.broadcast(total)).select(name, half_up(share, 4).alias("importance"))
+    return rated.orderBy(F.desc("importance"), name).limit(most)
+
+
+def cluster_sizes(assigned: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:
+    """(cluster, n) for each of ``k`` clusters, also for empty ones."""
+    every = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias(cluster))
+    return every.join(assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")), cluster, "left").na.fill(0, ["n"])
+
+
 def hormone_models(rows: DataFrame, split: str, targets: Sequence[str], predictors: Sequence[str], **sizes) -> tuple[DataFrame, dict]:
     """Validation metrics per (target, method), and per target the model with the best R², the earlier on ties."""
     design = Design(rows.where(F.col(split) == "train"), predictors)
@@ -105,7 +169,9 @@ def hormone_models(rows: DataFrame, split: str, targets: Sequence[str], predicto
         for name, make in regressors(**sizes).items():
             model = make().setLabelCol(target).fit(train)
             one = metrics.regression_report(model.transform(val), target, "prediction").withColumns({"target": F.lit(target), "method": F.lit(name)})
-            r2 = one.first()["r2"]
+            found = one.collect()
+            one = rows.sparkSession.createDataFrame(found, one.schema)
+            r2 = found[0]["r2"]
             if target not in best or r2 > best[target][0]:
                 best[target] = (r2, name, model)
             report = one if report is None else report.unionByName(one)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from daylark.plans import modelling, relational
+from daylark.plans import cohort as _cohort  # noqa: F401  registers on import
+from daylark.plans import relational
 
 
 def queries():
-    assert modelling
     return dict(relational.QUERIES)
 
 

@@ -150,7 +150,8 @@ CTES = {
 _NEEDS = {"spine": ["samples"], "phase_panel": ["samples", "spine"], "diary": ["samples", "spine", "phase_panel"]}
 
 
-def sql(needs: str, query: str) -> str:
-    """``query`` after the common table expressions it needs."""
+def sql(needs: str, query: str, ctes: str = "", recursive: str = "") -> str:
+    """``query`` after the common table expressions it needs, and further ones given as text."""
     names = [n for n in CTES if any(n == x or n in _NEEDS.get(x, []) for x in needs.split())]
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" + query if names else query
+    parts = [*(f"{n} AS ({CTES[n]})" for n in names), *filter(None, (ctes, recursive))]
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + query if parts else query

@@ -40,7 +40,8 @@ def kfold_assignment(spark, d):
 
 @query()
 def knn_impute(spark, d):
-    rows = relational.daily_features(spark, d)
+    # rounded, as sums in another order would else change distances; cached, as statistics, reference and rows all read it
+    rows = rounded(relational.daily_features(spark, d).select("participant_id", "day_in_study", *FEATURES)).cache()
     return rounded(impute.knn_impute(rows, rows.where(relational.split_of() == "train"), ["participant_id", "day_in_study"], FEATURES))
 
 
@@ -59,10 +60,13 @@ _CENTRES = {0: (10.0, 10.0), 1: (30.0, 20.0), 2: (60.0, 60.0)}
 _FAR = [f"(hrv_mean - {a}) * (hrv_mean - {a}) + (glucose_mean - {b}) * (glucose_mean - {b})" for a, b in _CENTRES.values()]
 
 
-@query(f"""SELECT participant_id, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster, {r('least(d0, d1, d2)', 3)} AS distance
+cluster_sql = f"""SELECT participant_id, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster, {r('least(d0, d1, d2)', 3)} AS distance
   FROM (SELECT participant_id, {', '.join(f'{x} AS d{k}' for k, x in enumerate(_FAR))} FROM (
   SELECT participant_id, {r('avg(value) FILTER (stream = $$hrv$$)')} AS hrv_mean, {r('avg(value) FILTER (stream = $$glucose$$)')} AS glucose_mean FROM samples GROUP BY 1)
-  WHERE hrv_mean IS NOT NULL AND glucose_mean IS NOT NULL)""", "samples")
+  WHERE hrv_mean IS NOT NULL AND glucose_mean IS NOT NULL)"""
+
+
+@query(cluster_sql, "samples")
 def cluster_assign(spark, d):
     of = lambda s: half_up(F.avg(F.when(F.col("stream") == s, F.col("value"))), 6)
     means = lens.samples(spark, d).groupBy("participant_id").agg(of("hrv").alias("hrv_mean"), of("glucose").alias("glucose_mean")).dropna()
@@ -78,15 +82,25 @@ def kmeans_phenotypes(spark, d):
 _GRID = f"(SELECT a.phase AS \"from\", b.phase AS \"to\" FROM {relational._CLASSES} a CROSS JOIN {relational._CLASSES} b)"
 
 
-@query(f"""SELECT "from", "to", coalesce(n, 0) AS n, {r('((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY "from")::DOUBLE)')} AS probability
-  FROM {_GRID} LEFT JOIN (SELECT phase AS "from", next AS "to", count(*) AS n FROM (SELECT phase, lead(phase) OVER (PARTITION BY participant_id
-  ORDER BY day_in_study) AS next FROM phase_panel) WHERE next IS NOT NULL GROUP BY 1, 2) USING ("from", "to")""", "phase_panel")
+def transition_sql(exact: bool = False) -> str:
+    share = '((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY "from")::DOUBLE)'
+    return f"""SELECT "from", "to", coalesce(n, 0) AS n, {share if exact else r(share)} AS probability
+      FROM {_GRID} LEFT JOIN (SELECT phase AS "from", next AS "to", count(*) AS n FROM (SELECT phase, lead(phase) OVER (PARTITION BY participant_id
+      ORDER BY day_in_study) AS next FROM phase_panel) WHERE next IS NOT NULL GROUP BY 1, 2) USING ("from", "to")"""
+
+
+def prior_sql(exact: bool = False) -> str:
+    share = "((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER ()::DOUBLE)"
+    return f"""SELECT phase, coalesce(n, 0) AS n, {share if exact else r(share)} AS probability FROM {relational._CLASSES}
+      LEFT JOIN (SELECT phase, count(*) AS n FROM phase_panel GROUP BY 1) USING (phase)"""
+
+
+@query(transition_sql(), "phase_panel")
 def hmm_transition(spark, d):
     return rounded(panel.transition_matrix(lens.phase_panel(spark, d)))
 
 
-@query(f"""SELECT phase, coalesce(n, 0) AS n, {r('((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER ()::DOUBLE)')} AS probability FROM {relational._CLASSES}
-  LEFT JOIN (SELECT phase, count(*) AS n FROM phase_panel GROUP BY 1) USING (phase)""", "phase_panel")
+@query(prior_sql(), "phase_panel")
 def hmm_prior(spark, d):
     return rounded(panel.prior(lens.phase_panel(spark, d)))
 

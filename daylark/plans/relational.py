@@ -29,6 +29,11 @@ def query(oracle: str | None = None, needs: str = ""):
     return add
 
 
+def oracle(name: str, text: str, needs: str = "", **more: str) -> None:
+    """Give a registered query its oracle."""
+    ORACLES[name] = sql(needs, text, **more)
+
+
 # ---- sources and sinks
 
 EVENT_FIELDS = (
@@ -64,11 +69,11 @@ def ingest_rejects(spark, d):
     return ingest.rejected(ingest.typed(event_csv(spark, d), EVENT_FIELDS)).select("event_id", "reason")
 
 
-@query("""SELECT DISTINCT participant_id FROM samples WHERE day_in_study > 5
-  AND participant_id NOT IN (SELECT participant_id FROM samples WHERE day_in_study <= 5)""", "samples")
+@query("""SELECT DISTINCT participant_id, day_in_study FROM samples WHERE stream = 'hrv' AND (participant_id, day_in_study) NOT IN
+  (SELECT (participant_id, day_in_study) FROM samples WHERE stream = 'glucose')""", "samples")
 def ingest_new_keys_anti(spark, d):
     s = lens.samples(spark, d)
-    return ingest.new_keys(s.where("day_in_study > 5"), s.where("day_in_study <= 5"), ["participant_id"])
+    return ingest.new_keys(s.where("stream = 'hrv'"), s.where("stream = 'glucose'"), ["participant_id", "day_in_study"])
 
 
 _LINE = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
@@ -241,8 +246,11 @@ def phase_counts_pivot(spark, d):
     return profile.phase_counts(lens.phase_panel(spark, d))
 
 
-@query(f"""SELECT participant_id, CASE greatest(Menstrual, Follicular, Fertility, Luteal) WHEN Menstrual THEN 'Menstrual'
-  WHEN Follicular THEN 'Follicular' WHEN Fertility THEN 'Fertility' ELSE 'Luteal' END AS dominant FROM ({_COUNTS})""", "phase_panel")
+DOMINANT = f"""SELECT participant_id, CASE greatest(Menstrual, Follicular, Fertility, Luteal) WHEN Menstrual THEN 'Menstrual'
+  WHEN Follicular THEN 'Follicular' WHEN Fertility THEN 'Fertility' ELSE 'Luteal' END AS dominant FROM ({_COUNTS})"""
+
+
+@query(DOMINANT, "phase_panel")
 def dominant_phase(spark, d):
     return profile.dominant_phase(profile.phase_counts(lens.phase_panel(spark, d))).select("participant_id", "dominant")
 
@@ -479,8 +487,7 @@ def filter_symptomatic(spark, d):
   ('R', 15.0, 40.0)) AS ranges(l_returnflag, lo, hi) USING (l_returnflag)) GROUP BY 1""")
 def flag_counts(spark, d):
     ranges = spark.createDataFrame([("A", 5.0, 20.0), ("N", 10.0, 30.0), ("R", 15.0, 40.0)], "l_returnflag string, lo double, hi double")
-    panels = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_quantity")).alias("assays"))
-    assays = panels.select("l_orderkey", F.explode("assays").alias("a")).select("l_orderkey", "a.*").join(F.broadcast(ranges), "l_returnflag")
+    assays = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity").join(F.broadcast(ranges), "l_returnflag")
     f = flag(F.col("l_quantity"), F.col("lo"), F.col("hi"))
     return assays.groupBy("l_orderkey").agg(*[F.count_if(f == k).alias(n) for k, n in (("L", "low"), ("N", "normal"), ("H", "high"))])
 
@@ -554,10 +561,10 @@ def set_union_pool(spark, d):
     return of("train").union(of("val")).distinct()
 
 
-@query("SELECT DISTINCT participant_id FROM samples WHERE stream = 'hrv' EXCEPT SELECT participant_id FROM samples WHERE stream = 'wrist'", "samples")
+@query("SELECT participant_id, day_in_study FROM samples WHERE stream = 'hrv' EXCEPT SELECT participant_id, day_in_study FROM samples WHERE stream = 'wrist'", "samples")
 def set_except(spark, d):
-    s = lens.samples(spark, d)
-    return s.where("stream = 'hrv'").select("participant_id").subtract(s.where("stream = 'wrist'").select("participant_id"))
+    s = lens.samples(spark, d).select("participant_id", "day_in_study", "stream")
+    return s.where("stream = 'hrv'").drop("stream").subtract(s.where("stream = 'wrist'").drop("stream"))
 
 
 @query("SELECT participant_id, day_in_study FROM samples WHERE stream = 'hrv' INTERSECT SELECT participant_id, day_in_study FROM samples WHERE stream = 'glucose'", "samples")

@@ -104,13 +104,29 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def overwrite(rows: DataFrame, path: str) -> None:
-    """Replace a parquet table by rows that may come from it: written beside, then moved into place."""
+    """Replace a parquet table by rows that may come from it: written beside, then moved into place.
+
+    The old table is moved aside before and deleted after; ``restore`` puts it back after a crash in between.
+    """
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.next")
-    new, old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next"), spark._jvm.org.apache.hadoop.fs.Path(path)
+    new, old, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in (".next", "", ".before"))
     store = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    store.delete(old, True)
+    rows.write.mode("overwrite").parquet(f"{path}.next")
+    if store.exists(old):
+        store.rename(old, aside)
     store.rename(new, old)
+    store.delete(aside, True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Put back a table that a crash in ``overwrite`` has left aside."""
+    old, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", ".before"))
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(aside):
+        if store.exists(old):
+            store.delete(aside, True)
+        else:
+            store.rename(aside, old)
 
 
 def put_by_key(rows: DataFrame, path: str, key: str) -> None:
@@ -145,3 +161,31 @@ def upsert_by_date(current: DataFrame, entries: DataFrame) -> DataFrame:
 def bounded_history(current: DataFrame, new: DataFrame, most: int = 200) -> DataFrame:
     """The latest entries of both, newest first."""
     return new.unionByName(current).orderBy(F.desc("predicted_at"), F.desc("id")).limit(most)
+
+
+def mark_synced(history: DataFrame, synced: DataFrame) -> DataFrame:
+    """History rows with ``synced_id`` from ``synced`` (id, synced_id) where it tells one; others keep theirs."""
+    return history.join(synced.withColumnRenamed("synced_id", "__new"), "id", "left").withColumn("synced_id", F.coalesce("__new", "synced_id")).drop("__new")
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row with a unique key, or none."""
+    return rows.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def dated_entries(entries: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """Entries by date, latest first, without those whose id is in ``deleted``."""
+    kept = entries.join(deleted.select("id").distinct(), "id", "left_anti") if deleted is not None else entries
+    return kept.orderBy(F.desc("date"), "id")
+
+
+def read_binaries(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 8 << 20) -> DataFrame:
+    """(path, length, content) of the files under ``path`` up to ``most_bytes``; larger ones are passed over."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.where(F.col("length") <= most_bytes).select("path", "length", "content")
+
+
+def extracted(rows: DataFrame, text: str, schema: str) -> DataFrame:
+    """``rows`` with ``extracted``: their JSON text under a fixed schema; null where it isn't JSON of an object."""
+    parsed = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
+    return rows.withColumn("extracted", F.when(F.col(text).rlike(r"^\s*\{") & F.get_json_object(text, "$").isNotNull(), parsed))
