@@ -1,20 +1,21 @@
 """Language-model scores by logistic context mixing over the bits of a text.
 
-A lower-cased text and its end are coded byte by byte in order, each byte as eight binary decisions.
-For each decision four predictors look up log odds under a hashed context: the last 2, 3 and 5 bytes,
-across words, and the beginning of the current word. They are combined by weights that a gate selects
-by the bit's place in its byte. After each bit the weights take a gradient step, and an adaptive table over the mixed odds and the
-bit's place, which refines the probability, moves towards the bit. The score is the log probability of
-the whole text and its end; ``bits_per_byte`` follows.
-
-A text is coded in blocks of ``BLOCK`` bytes. Each block sees the bytes before it, starts from the
-fitted weights and refining table, and takes its first byte as a word's beginning; so blocks of all
+A lower-cased text and its end are coded in order. Bytes are written in units of six bits: each of the 63
+most frequent bytes of the training documents is one unit, another byte an escape and two units. A unit is
+six binary decisions. For each decision three predictors look up log odds under a hashed context: the last
+3 and 5 units, across words, and the beginning of the current word. They are combined by weights that a
+gate selects by the bit's place in its unit. After each bit the weights take a gradient step, and an
+adaptive table over the mixed odds and the bit's place, which refines the probability, moves towards the
+bit. The score is the log probability of the whole text and its end; ``bits_per_byte`` follows.
+
+A text is coded in blocks of ``BLOCK`` units. Each block sees the units before it, starts from the
+fitted weights and refining table, and takes its first unit as a word's beginning; so blocks of all
 texts of a batch are coded side by side, and a score depends on nothing but the text and the model.
 
 What is gathered: counts of every word of all training documents, by a shuffle on the word (for the
-base score), and counts of every byte in its four contexts over all training documents, in hashed
-tables of 2^``MOST_BITS`` rows at most, smaller where the training text is. All but a sixteenth of the
-training documents fill the tables first; that sixteenth (by a hash of the id, so it grows with the
+base score), and counts of every unit in its three contexts over all training documents, in hashed
+tables of 2^``MOST_BITS`` rows at most, smaller where the training text is. All but one in ``MIXING_SHARE``
+of the training documents fill the tables first; that share (by a hash of the id, so it grows with the
 input) then sets the weights and the refining table, and is added to the tables. Sums are of integers,
 so that no result depends on how rows are dealt to tasks.
 
@@ -43,11 +44,11 @@ from daylark.llm.common import SPACES, crc_bucket, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: One in so many training documents sets the mixing weights.
-MIXING_SHARE = 16
-ORDERS = (2, 3, 5)
+MIXING_SHARE = 32
+ORDERS = (3, 5)
 BACK, PREDICTORS = max(ORDERS), len(ORDERS) + 1
 #: Rows of each predictor's table as powers of two, at most; the last one is for beginnings of words.
-MOST_BITS = (16, 18, 19, 20)
+MOST_BITS = (19, 20, 20)
 BLOCK, LANES, LANE_STEP = 2048, 1536, 128
 STEPS = 17  #: buckets of the refining table over log odds from -8 to 8
 PRIOR = 0.4
@@ -57,9 +58,29 @@ FIT_RATE, RATE, REFINE_RATE = 0.02, 0.005, 0.02
 SLICE = 1 << 16  #: table entries in one row of a table of counts
 HEAD_WORDS = 200_000
 _C = np.uint32(0x9E3779B1)
-_END = b"\xff"  # no byte of UTF-8; stands for the end of the text
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACES)] = True
+_END = 0xFF  # no byte of UTF-8; stands for the end of the text
+ESCAPE = 63
+
+
+class Alphabet:
+    """Units of bytes, from how often each byte occurs (256 counts): ties go to the smaller byte."""
+
+    def __init__(self, counts: np.ndarray):
+        self.rank = np.empty(256, np.int64)
+        self.rank[np.lexsort((np.arange(256), -np.asarray(counts)))] = np.arange(256)
+        self.space = np.zeros(64, bool)
+        self.space[[r for r in self.rank[list(SPACES)] if r < ESCAPE]] = True
+
+    def units(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of bytes, and at which unit each byte starts (with the number of units at the end)."""
+        rank = self.rank[data]
+        rare = rank >= ESCAPE
+        at = np.concatenate([[0], np.cumsum(np.where(rare, 3, 1))])
+        out = np.empty(at[-1], np.uint8)
+        out[at[:-1]] = np.where(rare, ESCAPE, rank)
+        first, left = at[:-1][rare], rank[rare] - ESCAPE
+        out[first + 1], out[first + 2] = left >> 6, left & 63
+        return out, at
 
 
 def table_bits(n_bytes: int) -> tuple[int, ...]:
@@ -76,41 +97,44 @@ class Places:
     def __post_init__(self):
         self.shift = np.array([32 - b for b in self.bits], np.uint32)[:, None]
         self.first = np.cumsum([0, *(1 << b for b in self.bits[:-1])])[:, None]
-        self.entries = 16 * sum(1 << b for b in self.bits)
+        self.entries = 8 * sum(1 << b for b in self.bits)
 
     def rows(self, contexts: np.ndarray) -> np.ndarray:
-        """The row of 16 entries of each context."""
+        """The row of 8 entries of each context."""
         return (contexts >> self.shift) + self.first
 
 
-def halves(contexts: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of the bytes' high halves, then of their low halves given the high ones; and the halves."""
-    high = byte >> np.uint32(4)
+def halves(contexts: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of the units' high halves, then of their low halves given the high ones; and the halves (three bits)."""
+    high = unit >> np.uint32(3)
     low = (contexts + (high + np.uint32(1))) * _C
-    return np.concatenate([contexts, low], axis=1), np.concatenate([high, byte & np.uint32(15)]).astype(np.int64)
+    return np.concatenate([contexts, low], axis=1), np.concatenate([high, unit & np.uint32(7)]).astype(np.int64)
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
+def blocks(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
     """Groups of blocks of like length: the number of each block's text, and the steps of the group.
 
-    A step is one byte of every block that is long enough (the first n of the group): n, contexts, bytes;
+    A step is one unit of every block that is long enough (the first n of the group): n, contexts, units;
     the latter two may go on beyond n, up to a multiple of ``LANE_STEP``.
     """
-    pad = bytes(BACK)
-    whole = np.frombuffer(b"".join([pad + t + _END for t in texts]), np.uint8)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    end = bytes([_END])
+    data, at = alphabet.units(np.frombuffer(b"".join([t + end for t in texts]), np.uint8))
+    at = at[np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])]
+    size = np.diff(at)
+    whole = np.zeros(len(data) + BACK * len(texts), np.uint8)  # every text after ``BACK`` zeros
+    first = at[:-1] + BACK * np.arange(1, len(texts) + 1)
+    whole[np.arange(len(data)) + np.repeat(BACK * np.arange(1, len(texts) + 1), size)] = data
     number = -(-size // BLOCK)
     owner = np.repeat(np.arange(len(texts)), number)
-    at = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * BLOCK
-    start = np.repeat(np.cumsum(size + BACK) - size, number) + at
-    length = np.minimum(BLOCK, size[owner] - at)
+    offset = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * BLOCK
+    start, length = first[owner] + offset, np.minimum(BLOCK, size[owner] - offset)
     order = np.argsort(-length, kind="stable")
     for k in range(0, len(order), LANES):
         own = order[k : k + LANES]
-        yield owner[own], steps(whole, start[own], length[own])
+        yield owner[own], steps(whole, start[own], length[own], alphabet.space)
 
 
-def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray, is_space: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     longest = int(length[0])
     alive = np.searchsorted(-length, -np.arange(longest))
     word = np.zeros(len(start), np.uint32)
@@ -118,7 +142,7 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[
     for slab in range(0, longest, 128):
         end = min(slab + 128, longest)
         near = whole[np.minimum(start + np.arange(slab - BACK, end)[:, None], len(whole) - 1)]
-        space, wide = _SPACE[near], near.astype(np.uint32)
+        space, wide = is_space[near], near.astype(np.uint32)
         for t in range(slab, end):
             n, at = int(alive[t]), t - slab + BACK
             m = min(len(start), -(-n // LANE_STEP) * LANE_STEP)
@@ -141,22 +165,22 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[
             yield n, contexts, wide[at, :m]
 
 
-def add_counts(counts: np.ndarray, places: Places, texts: list[bytes]) -> None:
-    """Count each byte of the texts in its contexts: its high half, and its low half after the high one."""
-    for owner, group in blocks(texts):
+def add_counts(counts: np.ndarray, places: Places, texts: list[bytes], alphabet: Alphabet) -> None:
+    """Count each unit of the texts in its contexts: its high half, and its low half after the high one."""
+    for owner, group in blocks(texts, alphabet):
         ones = np.ones(2 * PREDICTORS * len(owner), np.int32)
-        for n, contexts, byte in group:
-            both, half = halves(contexts[:, :n], byte[:n])
-            at = ((places.rows(both) << 4) + half).ravel()
+        for n, contexts, unit in group:
+            both, half = halves(contexts[:, :n], unit[:n])
+            at = ((places.rows(both) << 3) + half).ravel()
             np.add.at(counts, at, ones[: len(at)])
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Per row of 16 counts: log odds of one against zero at the 15 inner nodes, from entry 1 on."""
-    leaves = counts.reshape(-1, 16).astype(np.float32)
+    """Per row of 8 counts: log odds of one against zero at the 7 inner nodes, from entry 1 on."""
+    leaves = counts.reshape(-1, 8).astype(np.float32)
     out = np.zeros(leaves.shape, np.int8)
     level = leaves
-    for depth in (3, 2, 1, 0):
+    for depth in (2, 1, 0):
         pairs = level.reshape(len(leaves), -1, 2)
         odds = np.log((pairs[:, :, 1] + np.float32(PRIOR)) / (pairs[:, :, 0] + np.float32(PRIOR)))
         out[:, 1 << depth : 2 << depth] = np.rint(np.clip(odds * UNIT, -127, 127))
@@ -166,8 +190,9 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log odds (``Places.entries``), start weights (place in the half, predictor, half) and refining table (8 * STEPS)."""
+    """Log odds (``Places.entries``), start weights (place in the half, predictor, half) and refining table (6 * STEPS)."""
 
+    alphabet: Alphabet
     bits: tuple[int, ...]
     odds: np.ndarray
     weights: np.ndarray
@@ -176,58 +201,58 @@ class Model:
     def log10(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
         total = np.zeros(len(texts))
-        for owner, group in blocks(texts):
+        for owner, group in blocks(texts, self.alphabet):
             total += np.bincount(owner, Coder(self, len(owner), RATE).code(group), len(texts))
         return total / math.log(10)
 
 
-def fresh(bits: tuple[int, ...], odds: np.ndarray) -> Model:
-    weights = np.full((4, PREDICTORS, 2), 0.4 / UNIT, np.float32)
+def fresh(alphabet: Alphabet, bits: tuple[int, ...], odds: np.ndarray) -> Model:
+    weights = np.full((3, PREDICTORS, 2), 0.5 / UNIT, np.float32)
     middle = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
-    return Model(bits, odds, weights, np.tile(middle, 8).astype(np.float32))
+    return Model(alphabet, bits, odds, weights, np.tile(middle, 6).astype(np.float32))
 
 
-#: Per place and half byte: the node of the bits before, and 1 for a zero bit or -1 for a one.
-_NODES = np.array([[(v >> (4 - place)) | (1 << place) for v in range(16)] for place in range(4)])
-_SIGNS = np.array([[1 - 2 * (v >> (3 - place) & 1) for v in range(16)] for place in range(4)], np.int8)
+#: Per place and half of a unit: the node of the bits before, and 1 for a zero bit or -1 for a one.
+_NODES = np.array([[(v >> (3 - place)) | (1 << place) for v in range(8)] for place in range(3)])
+_SIGNS = np.array([[1 - 2 * (v >> (2 - place) & 1) for v in range(8)] for place in range(3)], np.int8)
 
 
 class Coder:
     """Codes a group of blocks side by side; each block has its own weights and refining table.
 
     Inputs are turned by the sign of the bit, so that what is mixed are the odds against the bit. The
-    high and the low half of a byte have their own weights and buckets, so both are coded in one go.
+    high and the low half of a unit have their own weights and buckets, so both are coded in one go.
     """
 
     def __init__(self, model: Model, lanes: int, rate: float):
-        self.rows, self.places, self.rate = model.odds.view("V16"), Places(model.bits), np.float32(rate / UNIT / UNIT)
+        self.rows, self.places, self.rate = model.odds.view(np.int64), Places(model.bits), np.float32(rate / UNIT / UNIT)
         self.weights = np.repeat(model.weights[:, :, :, None], lanes, axis=3)
         self.refine = np.tile(model.refine - np.float32(0.5), lanes)
         self.spent = np.zeros(lanes)
         self.lay_out(lanes)
 
     def lay_out(self, m: int) -> None:
-        """Where the entries and buckets of m bytes' halves are, and buffers."""
-        self.buckets = np.arange(m) * (8 * STEPS) + np.array([[0], [4 * STEPS]]) + np.arange(0, 4 * STEPS, STEPS)[:, None, None]
-        self.nodes = np.arange(0, 32 * PREDICTORS * m, 16).reshape(PREDICTORS, 2, m)
+        """Where the entries and buckets of m units' halves are, and buffers."""
+        self.buckets = np.arange(m) * (6 * STEPS) + np.array([[0], [3 * STEPS]]) + np.arange(0, 3 * STEPS, STEPS)[:, None, None]
+        self.nodes = np.arange(0, 16 * PREDICTORS * m, 8).reshape(PREDICTORS, 2, m)
         self.at, self.x8 = np.empty_like(self.nodes), np.empty(self.nodes.shape, np.int8)
         self.x, self.wx = np.empty((2, *self.nodes.shape), np.float32)
         self.z, self.e = np.empty((2, 2, m), np.float32)
 
     def code(self, group, outcomes: np.ndarray | None = None) -> np.ndarray:
-        """Natural log probability of each block; ``outcomes`` (2, 8 * STEPS) counts bits per bucket."""
+        """Natural log probability of each block; ``outcomes`` (2, 6 * STEPS) counts bits per bucket."""
         keep, step, width = np.float32(1 - REFINE_RATE), np.float32(REFINE_RATE / 2), np.float32((STEPS - 1) / 16)
         middle = np.float32((STEPS - 1) / 2 + 0.5)
-        for n, contexts, byte in group:
-            m = len(byte)
+        for n, contexts, unit in group:
+            m = len(unit)
             if self.z.shape[1] != m:
                 self.lay_out(m)
             x8, x, wx, z, e = self.x8, self.x, self.wx, self.z, self.e
-            both, half = halves(contexts, byte)
+            both, half = halves(contexts, unit)
             half = half.reshape(2, m)
             entries = self.rows.take(self.places.rows(both)).view(np.int8).ravel()
             chance = np.ones((2, m), np.float32)
-            for place in range(4):
+            for place in range(3):
                 w = self.weights[place, :, :, :m]
                 sign = _SIGNS[place].take(half)
                 np.add(self.nodes, _NODES[place].take(half), out=self.at)
@@ -247,8 +272,8 @@ class Coder:
                 bucket = e.astype(np.int64)
                 bucket += self.buckets[place]
                 if outcomes is not None:
-                    own, zero = bucket[:, :n] % (8 * STEPS), sign[:, :n] > 0
-                    outcomes += np.stack([np.bincount(own[zero], minlength=8 * STEPS), np.bincount(own[~zero], minlength=8 * STEPS)])
+                    own, zero = bucket[:, :n] % (6 * STEPS), sign[:, :n] > 0
+                    outcomes += np.stack([np.bincount(own[zero], minlength=6 * STEPS), np.bincount(own[~zero], minlength=6 * STEPS)])
                 np.exp(z, out=e)
                 e += np.float32(1)
                 np.reciprocal(e, out=e)  # the probability of the bit
@@ -266,7 +291,7 @@ class Coder:
                 e[:, n:] = 0  # blocks that have ended learn no more
                 x *= e
                 w -= x
-            self.spent[:n] += np.log(chance[0, :n] * chance[1, :n]) - 8 * math.log(2)
+            self.spent[:n] += np.log(chance[0, :n] * chance[1, :n]) - 6 * math.log(2)
         return self.spent
 
 
@@ -288,29 +313,30 @@ def portions(column, most: int = 8 << 20) -> Iterator[list[bytes]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(token, n, n_all) over (text, trains): occurrences in training documents and in all of them."""
+    """(token, n) over (text): occurrences of words; tokens of a space and a byte count that byte, 0xFF the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both: tuple[Counter, Counter] = (Counter(), Counter())
+        found: Counter = Counter()
+        shape = np.zeros(256, np.int64)
 
         def drain():
-            train, rest = both
-            tokens = list(train.keys() | rest.keys())
-            n = [train[t] for t in tokens]
-            made = [pa.array(tokens, pa.binary()), pa.array(n, pa.int64()), pa.array([a + rest[t] for a, t in zip(n, tokens)], pa.int64())]
-            train.clear()
-            rest.clear()
-            return pa.RecordBatch.from_arrays(made, names=["token", "n", "n_all"])
+            made = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(made, names=["token", "n"])
 
         for batch in batches:
-            for text, trains in zip(batch.column(0), batch.column(1).to_pylist()):
-                both[0 if trains else 1].update(lowered(text.as_py()).split())
-                if len(both[0]) + len(both[1]) > 300_000:
+            for text in batch.column(0):
+                raw = lowered(text.as_py())
+                found.update(raw.split())
+                shape += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                shape[_END] += 1
+                if len(found) > 500_000:
                     yield drain()
+        for k in np.flatnonzero(shape).tolist():
+            found[b" " + bytes([k])] = int(shape[k])
         yield drain()
 
-    found = docs.select("text", "trains").mapInArrow(run, "token binary, n long, n_all long")
-    return found.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def least_count(words: DataFrame, column: str, most: int) -> float:
@@ -358,9 +384,10 @@ def collected(rows: DataFrame, entries: int, kind: type) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, n_bytes: int) -> Model:
-    """The model of the training documents ``docs`` (text, mixes), which hold so many bytes."""
+def fit(docs: DataFrame, shape: np.ndarray) -> Model:
+    """The model of the training documents ``docs`` (text, mixes), which hold so many of each byte."""
     spark = docs.sparkSession
+    alphabet, n_bytes = Alphabet(shape), int(shape.sum())
     bits = table_bits(n_bytes)
     places = Places(bits)
     tasks = max(1, min(n_bytes >> 22, max(spark.sparkContext.defaultParallelism, n_bytes >> 27)))
@@ -369,37 +396,37 @@ def fit(docs: DataFrame, n_bytes: int) -> Model:
         sums = np.zeros(places.entries, np.int32)
         for batch in batches:
             for texts in portions(batch.column(0)):
-                add_counts(sums, places, texts)
+                add_counts(sums, places, texts, alphabet)
         yield sliced(sums)
 
     made = "slice long, sums binary"
     first = stored(added(docs.where("not mixes").select("text").coalesce(tasks).mapInArrow(count, made), np.int32, tasks), "counts")
     mixing = stored(docs.where("mixes").select("text"), "mixing").coalesce(max(1, tasks // 4))
     as_odds = lambda rows: collected(added(rows, np.int64, 1, log_odds), places.entries, np.int8)
-    model = fresh(bits, as_odds(first))
+    model = fresh(alphabet, bits, as_odds(first))
     fixed = 1 << 24
     n_weights = model.weights.size
     shared = spark.sparkContext.broadcast(model)
 
     def adjust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the weights at the ends of the blocks by bytes, of bytes, and of bits per bucket of the refining table."""
-        moved, n_bytes, outcomes = np.zeros(n_weights, np.int64), 0, np.zeros((2, 8 * STEPS), np.int64)
+        """Sums of the weights at the ends of the blocks by units, of units, and of bits per bucket of the refining table."""
+        moved, n_units, outcomes = np.zeros(n_weights, np.int64), 0, np.zeros((2, 6 * STEPS), np.int64)
 
         def measured(group, size):
-            for n, contexts, byte in group:
+            for n, contexts, unit in group:
                 size[:n] += 1
-                yield n, contexts, byte
+                yield n, contexts, unit
 
         for batch in batches:
             for texts in portions(batch.column(0)):
-                for owner, group in blocks(texts):
+                for owner, group in blocks(texts, alphabet):
                     coder, size = Coder(shared.value, len(owner), FIT_RATE), np.zeros(len(owner), np.int64)
                     coder.code(measured(group, size), outcomes)
                     moved += (np.rint(coder.weights.astype(np.float64) * fixed).astype(np.int64) * size).sum(axis=-1).ravel()
-                    n_bytes += int(size.sum())
-        yield sliced(np.concatenate([moved, [n_bytes], outcomes.ravel()]))
+                    n_units += int(size.sum())
+        yield sliced(np.concatenate([moved, [n_units], outcomes.ravel()]))
 
-    sums = collected(added(mixing.mapInArrow(adjust, made), np.int64, tasks), n_weights + 1 + 16 * STEPS, np.int64)
+    sums = collected(added(mixing.mapInArrow(adjust, made), np.int64, tasks), n_weights + 1 + 12 * STEPS, np.int64)
     if sums[n_weights]:
         zeros, ones = sums[n_weights + 1 :].reshape(2, -1)
         model.weights = (sums[:n_weights] / fixed / sums[n_weights]).reshape(model.weights.shape).astype(np.float32)
@@ -416,18 +443,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held_out = crc_bucket("id", FOLDS) == HELD_OUT
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = rows.where(~held_out).select("text", (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(MIXING_SHARE)) == 0).alias("mixes"))
-    words = stored(word_counts(rows.select("text", (~held_out).alias("trains"))), "word-counts")
-    ends, n_bytes = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text") + 1)).first()
-    of_words, types = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    counts = stored(word_counts(train), "word-counts")
+    shape = np.zeros(256, np.int64)
+    for token, n in counts.where(F.col("token").startswith(F.lit(b" "))).collect():
+        shape[token[1]] = n
+    words, ends = counts.where(~F.col("token").startswith(F.lit(b" "))), int(shape[_END])
+    of_words, types = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n_train, n_types = (of_words or 0) + ends, types + (ends > 0)
-    head = words.where(F.col("n_all") >= least_count(words, "n_all", HEAD_WORDS)).select("token", "n").toArrow()
+    head = words.where(F.col("n") >= least_count(words, "n", HEAD_WORDS)).select("token", "n").toArrow()
     known = spark.sparkContext.broadcast((head.column(0).to_pylist(), head.column(1).to_numpy(), ends))
-    model = spark.sparkContext.broadcast(fit(train, n_bytes or 0))
+    model = spark.sparkContext.broadcast(fit(train, shape))
     per_token = math.log10(n_train + n_types + 1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, n, ends = known.value
-        at, base, seen, end_base = {t: k for k, t in enumerate(tokens)}, np.log10(n + 1.0), n > 0, math.log10(ends + 1)
+        at, base, end_base = {t: k for k, t in enumerate(tokens)}, np.log10(n + 1.0), math.log10(ends + 1)
         one = np.zeros(1, np.int64)
         for batch in batches:
             start = 0
@@ -446,7 +476,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     tokens += compress(own, unknown.tolist())
                     times += [one, n[unknown]]
                     found, n = found[~unknown], n[~unknown]
-                    sums.append((own.total() + 1, n @ seen[found] + (end_base > 0), n @ base[found] + end_base, lm, len(raw) + 1))
+                    sums.append((own.total() + 1, n.sum() + (end_base > 0), n @ base[found] + end_base, lm, len(raw) + 1))
                 size = np.diff([*heads, len(tokens)])
                 owner = np.repeat(np.arange(len(heads)), size)
                 columns = np.zeros((5, len(tokens)))
@@ -465,7 +495,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     numbered = rows.select(F.monotonically_increasing_id().alias("key"), "id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"key long, id {kind}, token binary, times int, n_tokens long, n_known long, base double, lm double, bytes long"
-    joined = numbered.mapInArrow(look_up, schema).join(words.select("token", "n"), "token", "left")
+    joined = numbered.mapInArrow(look_up, schema).join(words, "token", "left")
     sums = joined.groupBy("key").agg(
         F.max("id").alias("id"),
         F.max("n_tokens").alias("n_tokens"),

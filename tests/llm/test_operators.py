@@ -457,49 +457,58 @@ def test_lm_base_against_brute_force(docs):
 MASK, GOLD = 2**32 - 1, 0x9E3779B1
 
 
-def brute_contexts(data, t):
-    """Hashes of the four contexts of byte ``t`` of a text's bytes, by whole numbers."""
+def brute_units(alphabet, text):
+    out = []
+    for b in text + b"\xff":
+        r = int(alphabet.rank[b])
+        out += [r] if r < 63 else [63, (r - 63) // 64, (r - 63) % 64]
+    return out
+
+
+def brute_contexts(alphabet, units, t):
+    """Hashes of the three contexts of unit ``t``, by whole numbers."""
     out, mix = [], 0
     for back in range(1, 6):
-        mix = (mix + (data[t - back] if t >= back else 0) + 1) * GOLD & MASK
-        if back in (2, 3, 5):
+        mix = (mix + (units[t - back] if t >= back else 0) + 1) * GOLD & MASK
+        if back in (3, 5):
             out.append(mix)
+    spaces = {int(alphabet.rank[b]) for b in b" \t\n\x0b\x0c\r"} - set(range(63, 256))
     word = 0
-    for b in data[t - t % lmscore.BLOCK : t]:
-        word = 0 if b in b" \t\n\x0b\x0c\r" else (word + b + 1) * GOLD & MASK
+    for u in units[t - t % lmscore.BLOCK : t]:
+        word = 0 if u in spaces else (word + u + 1) * GOLD & MASK
     return [*out, word]
 
 
 def brute_rows(bits, contexts):
     first, rows = 0, []
     for h, b in zip(contexts, bits):
-        rows.append((first + (h >> (32 - b))) * 16)
+        rows.append((first + (h >> (32 - b))) * 8)
         first += 1 << b
     return rows
 
 
-def brute_halves(bits, data, t):
-    contexts, high, low = brute_contexts(data, t), data[t] >> 4, data[t] & 15
+def brute_halves(alphabet, bits, units, t):
+    contexts, high, low = brute_contexts(alphabet, units, t), units[t] >> 3, units[t] & 7
     return (brute_rows(bits, contexts), high), (brute_rows(bits, [(h + high + 1) * GOLD & MASK for h in contexts]), low)
 
 
 def brute_score(model, text):
     """log10 probability of a text and its end, one decision after another."""
-    data, total = text + b"\xff", 0.0
-    for t in range(len(data)):
+    units, total = brute_units(model.alphabet, text), 0.0
+    for t in range(len(units)):
         if t % lmscore.BLOCK == 0:
             weights, refine = model.weights.astype(float), model.refine.astype(float)
-        for half, (rows, nibble) in enumerate(brute_halves(model.bits, data, t)):
+        for half, (rows, part) in enumerate(brute_halves(model.alphabet, model.bits, units, t)):
             node = 1
-            for place in range(4):
+            for place in range(3):
                 x = [float(model.odds[r + node]) for r in rows]
-                mixed = min(8, max(-8, sum(weights[place, k, half] * x[k] for k in range(4))))
-                bucket = (half * 4 + place) * lmscore.STEPS + int(mixed * (lmscore.STEPS - 1) / 16 + lmscore.STEPS / 2)
-                bit, p = nibble >> (3 - place) & 1, 1 / (1 + math.exp(-mixed))
+                mixed = min(8, max(-8, sum(weights[place, k, half] * x[k] for k in range(3))))
+                bucket = (half * 3 + place) * lmscore.STEPS + int(mixed * (lmscore.STEPS - 1) / 16 + lmscore.STEPS / 2)
+                bit, p = part >> (2 - place) & 1, 1 / (1 + math.exp(-mixed))
                 chance = (p + refine[bucket]) / 2
                 total += math.log10(chance if bit else 1 - chance)
                 refine[bucket] += (bit - refine[bucket]) * lmscore.REFINE_RATE
-                for k in range(4):
+                for k in range(3):
                     weights[place, k, half] += (bit - p) * lmscore.RATE / 256 * x[k]
                 node = 2 * node + bit
     return total
@@ -510,36 +519,38 @@ def mixing_model():
     rng = random.Random(19)
     words = [b"amber", b"birch", "cède".encode(), b"dogwood", b"elm,", b"42"]
     texts = [b" ".join(rng.choice(words) for _ in range(rng.randrange(0, 700))) for _ in range(12)]
-    bits = (10, 11, 12, 12)
+    alphabet = lmscore.Alphabet(np.bincount(np.frombuffer(b"\xff".join(texts), np.uint8), minlength=256) + 9 * (np.arange(256) > 230))
+    bits = (11, 12, 12)
     places = lmscore.Places(bits)
     counts = np.zeros(places.entries, np.int32)
-    lmscore.add_counts(counts, places, texts)
-    model = lmscore.fresh(bits, lmscore.log_odds(counts).ravel())
+    lmscore.add_counts(counts, places, texts, alphabet)
+    model = lmscore.fresh(alphabet, bits, lmscore.log_odds(counts).ravel())
     model.weights *= np.random.default_rng(20).uniform(0.5, 1.5, model.weights.shape).astype(np.float32)
     return model, counts, texts
 
 
 def test_lm_counts_against_brute_force(mixing_model):
     model, counts, texts = mixing_model
-    want = np.zeros_like(counts)
+    want, total = np.zeros_like(counts), 0
     for text in texts:
-        data = text + b"\xff"
-        for t in range(len(data)):
-            for rows, nibble in brute_halves(model.bits, data, t):
+        units = brute_units(model.alphabet, text)
+        total += len(units)
+        for t in range(len(units)):
+            for rows, part in brute_halves(model.alphabet, model.bits, units, t):
                 for r in rows:
-                    want[r + nibble] += 1
-    assert (counts == want).all() and counts.sum() == 8 * sum(len(x) + 1 for x in texts)
-    row = int(np.flatnonzero(counts.reshape(-1, 16).sum(axis=1) > 20)[0])
-    leaves, odds = counts.reshape(-1, 16)[row], lmscore.log_odds(counts)[row]
-    for node in range(1, 16):
+                    want[r + part] += 1
+    assert (counts == want).all() and counts.sum() == 6 * total
+    row = int(np.flatnonzero(counts.reshape(-1, 8).sum(axis=1) > 20)[0])
+    leaves, odds = counts.reshape(-1, 8)[row], lmscore.log_odds(counts)[row]
+    for node in range(1, 8):
         depth = node.bit_length()
-        under = [sum(leaves[k] for k in range(16) if (k | 16) >> (4 - depth) == node * 2 + side) for side in (0, 1)]
+        under = [sum(leaves[k] for k in range(8) if (k | 8) >> (3 - depth) == node * 2 + side) for side in (0, 1)]
         assert odds[node] == round(16 * max(-127 / 16, min(127 / 16, math.log((under[1] + 0.4) / (under[0] + 0.4)))))
 
 
 def test_lm_scores_against_brute_force(mixing_model):
     model, _, texts = mixing_model
-    odd = [b"", b"amber", texts[0][:500], b"unheard of \xf0\x9f\x98\x80\n\n\tbirch", b"z" * 2050 + b" elm, 42", texts[3] + b" " + texts[4]]
+    odd = [b"", b"amber", texts[0][:500], b"unheard of \xf0\x9f\x98\x80\n\n\tbirch \x00\x01", b"z" * 2050 + b" elm, 42", texts[3] + b" " + texts[4]]
     got = model.log10(odd)
     for k, text in enumerate(odd):
         assert got[k] == pytest.approx(brute_score(model, text), rel=2e-4, abs=1e-3)
@@ -549,11 +560,9 @@ def test_lm_scores_against_brute_force(mixing_model):
 def test_lm_probabilities_sum_to_one(mixing_model):
     model, _, _ = mixing_model
     for before in (b"", b"am", b"amber bir"):
-        contexts = np.array([brute_contexts(before, len(before))], np.uint32).T
-        total = 0.0
-        for byte in range(256):
-            step = [(1, contexts, np.array([byte], np.uint32))]
-            total += math.exp(lmscore.Coder(model, 1, 0.0).code(step)[0])
+        units = brute_units(model.alphabet, before)[:-1]
+        contexts = np.array([brute_contexts(model.alphabet, units, len(units))], np.uint32).T
+        total = sum(math.exp(lmscore.Coder(model, 1, 0.0).code([(1, contexts, np.array([u], np.uint32))])[0]) for u in range(64))
         assert total == pytest.approx(1, abs=1e-3)
 
 
