@@ -39,6 +39,9 @@ SWITCH, FLOOR, RULED_OUT = 5.0, -7.0, -12.0
 WINDOW = 24
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_NO_LETTERS = re.compile(r"[^A-Za-z]+")
+#: Words of Latin letters whose lower case is as long as they are.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Code-point ranges of the scripts, first to last.
 SCRIPTS = {
     "Latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)),
@@ -102,7 +105,17 @@ def pieces(word: str) -> list[tuple[str, int, int]]:
 
 
 def pieces_of(word: bytes) -> list[str]:
-    return [p for p, _, _ in pieces(word.decode("utf-8", "surrogatepass"))]
+    """The pieces of ``pieces`` alone; the letters of ASCII and other Latin words are one run."""
+    text = word.decode("utf-8", "surrogatepass")
+    if text.isascii():
+        body = text.lower() if text.isalpha() else _NO_LETTERS.sub("", text).lower()
+    elif _LATIN.fullmatch(text):
+        body = text.lower()
+    else:
+        return [p for p, _, _ in pieces(text)]
+    if len(body) <= WINDOW + 2:
+        return [f"^{body}$"] if body else []
+    return [p for p, _, _ in pieces(text)]
 
 
 def letters(piece: str) -> int:
@@ -136,18 +149,22 @@ class Model:
             return out, count
         number, table = self._gram_rows()
         raw = np.zeros((len(texts), states))
-        at, ids, sizes, scripts = [], [], [], {}
+        at, ids, sizes, scripts = [], [], [], {"Latin": []}
+        out[:, states] = [letters(text) for text in texts]
+        latin = scripts["Latin"]
         for k, text in enumerate(texts):
-            out[k, states] = letters(text)
-            scripts.setdefault(script_of(text[text[0] == "^"]), []).append(k)
+            first = text[text[0] == "^"]
+            if first.isascii():
+                latin.append(k)
+            else:
+                scripts.setdefault(script_of(first), []).append(k)
             known = self.words.get(text)
             if known is not None:
                 raw[k] = known
             else:
-                parts = grams(text)
                 at.append(k)
-                sizes.append(len(parts))
-                ids += [number.get(g, -1) for g in parts]
+                sizes.append(len(text) - 2)
+                ids += [number.get(text[j : j + 3], -1) for j in range(len(text) - 2)]
         if at:
             starts = np.cumsum([0, *sizes[:-1]])
             raw[at] = np.add.reduceat(table[ids], starts, axis=0)
@@ -313,7 +330,8 @@ def identify(docs: DataFrame, keys: list[str], model: Model, text_col: str = "te
                     best = int(share.argmax())
                     total = table.data[row, :states].sum(axis=0, dtype=np.float64)
                     odds = np.exp(np.clip(total - total[best], -60, 60)).sum()
-                    out.append((own.languages[best], float(share[best] / odds), *[spans_of(text, path, own.languages)] * with_spans))
+                    spans = [spans_of(text, path, own.languages)] if with_spans else []
+                    out.append((own.languages[best], float(share[best] / odds), *spans))
                 made = [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *made], names=names)
 

@@ -213,6 +213,8 @@ def test_script_narrows_candidates():
 
 def test_pieces_hold_every_letter_and_trigram_once():
     rng = random.Random(15)
+    for word in (b"Don't", "ÉCOLE".encode(), b"a1b2", b"--", b"x" * 26, b"x" * 27, "Straße,".encode(), b"A"):
+        assert langid.pieces_of(word) == [p for p, _, _ in langid.pieces(word.decode())]
     for _ in range(300):
         word = "".join(rng.choice(["a", "b", "É", "ж", "日", "-", "7", "क", "ि"]) for _ in range(rng.randrange(1, 90)))
         runs, last = [], None
@@ -229,6 +231,7 @@ def test_pieces_hold_every_letter_and_trigram_once():
         found = langid.pieces(word)
         assert Counter(g for p, _, _ in found for g in langid.grams(p)) == want
         assert sum(langid.letters(p) for p, _, _ in found) == sum(map(len, runs))
+        assert langid.pieces_of(word.encode()) == [p for p, _, _ in found]
         assert all(a < b and word[a] not in "-7" for _, a, b in found)
 
 
