@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from daylark.sources.ingest import keep_last, overwrite, read_or_empty, upsert
+from daylark.sources.ingest import keep_last, read_or_empty, upsert
 
 
 def daily_windows(events: DataFrame, time: str = "ts", keys: Sequence[str] = ("user_id", "event_type"), value: str = "value", late: str = "2 days") -> DataFrame:
@@ -19,11 +19,20 @@ def daily_windows(events: DataFrame, time: str = "ts", keys: Sequence[str] = ("u
     )
 
 
-def upsert_stream(events: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Keep the last row per key in a parquet table; a batch that is replayed gives the same table."""
+def upsert_stream(events: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the last row per key in a parquet table; a batch that is replayed gives the same table.
+
+    The table is partitioned by ``bucket``, a hash of the keys: a batch reads and rewrites only the buckets it touches.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = keep_last(batch, keys, [F.col(c) for c in order])
-        overwrite(upsert(read_or_empty(batch.sparkSession, path, batch), new, keys), path)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = keep_last(batch, keys, [F.col(c) for c in order]).withColumn("bucket", bucket).cache()
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        if touched:
+            old = read_or_empty(batch.sparkSession, path, new).where(F.col("bucket").isin(touched))
+            merged = upsert(old, new, keys).repartition("bucket")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        new.unpersist()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

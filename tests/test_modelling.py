@@ -98,3 +98,69 @@ def test_crypto_rejects_altered_text(spark):
 
 def test_class_order_is_fixed():
     assert PHASES == ("Menstrual", "Follicular", "Fertility", "Luteal")
+
+
+def test_many_participants_are_smoothed_as_each_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, d, *(float(x) for x in rng.dirichlet(np.ones(3)))) for p in range(23) for d in range(rng.integers(1, 30))]
+    transition, prior = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # participants cross batches
+    try:
+        frame = spark.createDataFrame(rows, "participant_id int, day_in_study int, a double, b double, c double")
+        got = {(r.participant_id, r.day_in_study): r.state for r in smoothing.smooth(frame, list("abc"), transition, prior).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    log_t, log_p = np.log(transition), np.log(prior)
+    assert len(got) == len(rows)
+    for p in range(23):
+        own = sorted(r for r in rows if r[0] == p)
+        chance = np.log(np.array([r[2:] for r in own]))
+        score, back = log_p + chance[0] - log_p, []
+        for e in chance[1:]:
+            ways = score[:, None] + log_t
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + e - log_p
+        path = [int(score.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        assert [got[p, r[1]] for r in own] == path[::-1]
+
+
+def test_ridge_against_normal_equations(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 2)), rng.integers(0, 4, 60)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x.tolist(), y.tolist())], ["features", "label"])
+    got = [r.prediction for r in training.Ridge(strength=3.0).fit(rows).transform(rows).collect()]
+    centred, out = x - x.mean(axis=0), []
+    for k in range(4):
+        target = np.where(y == k, 1.0, -1.0)
+        w = np.linalg.solve(centred.T @ centred + 3.0 * np.eye(2), centred.T @ (target - target.mean()))
+        out.append(centred @ w + target.mean())
+    assert got == np.argmax(out, axis=0).tolist()
+
+
+def test_training_picks_refits_saves_and_loads(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(5)
+    rows = [(p, d, PHASES[k], float(k + rng.normal() / 4) if d % 5 else None, float(rng.normal())) for p in range(24) for d in range(8) for k in [int(rng.integers(0, 4))]]
+    frame = spark.createDataFrame(rows, "participant_id int, day_in_study int, phase string, a double, b double").withColumn("split", F.when(F.col("participant_id") % 4 == 0, "test").otherwise("train"))
+    folds = spark.createDataFrame([(p, p % 2) for p in range(24)], "participant_id int, fold int")
+    path = f"file://{tmp_path}/model"
+    report, winner, (accuracy, _) = training.train_phase(frame, folds, "split", ["a", "b"], ["logistic", "ridge"], 2, path, rounds=2, trees=3, iterations=20)
+    assert report.count() == 4 and winner in ("logistic", "ridge") and accuracy > 0.6
+    if winner == "logistic":
+        loaded = PipelineModel.load(path).transform(training.labelled(frame.where("split = 'test'")))
+        assert training.evaluate(loaded)[0] == accuracy
+
+
+def test_importances_and_cluster_sizes(spark):
+    gains = spark.createDataFrame([(f"f{k:02}", float(k)) for k in range(20)], "feature string, gain double")
+    top = training.importances(gains).collect()
+    assert len(top) == 15 and top[0].feature == "f19" and top[0].importance == 0.1
+    assert {r.importance for r in training.importances(gains.withColumn("gain", F.lit(0.0))).collect()} == {0.0}
+    sizes = training.cluster_sizes(spark.createDataFrame([(0,), (2,), (2,)], "cluster int"), 3)
+    assert {r.cluster: r.n for r in sizes.collect()} == {0: 1, 1: 0, 2: 2}

@@ -121,3 +121,71 @@ def test_export_bundle_counts_only_shared(spark):
     shared = personal.export_packet(rows, F.col("who"), F.col("opt"), strict=True)
     bundle = personal.export_bundle(shared, ["date", "notes"]).collect()
     assert [(r.alias, '"count":1' in r.bundle, "2024-01-01" in r.bundle) for r in bundle] == [("a", True, True)]
+
+
+def test_overwrite_survives_a_crash_in_between(spark, tmp_path):
+    path = str(tmp_path / "table")
+    ingest.overwrite(spark.range(3), path)
+    ingest.overwrite(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    (tmp_path / "table").rename(tmp_path / "table.before")  # as a crash after the first rename leaves it
+    ingest.restore(spark, path)
+    assert spark.read.parquet(path).count() == 2 and not (tmp_path / "table.before").exists()
+
+
+def test_keyed_put_delete_history_and_sync(spark, tmp_path):
+    path = str(tmp_path / "put")
+    put = lambda rows: ingest.put_by_key(spark.createDataFrame(rows, "kind string, v int"), path, "kind")
+    put([("a", 1), ("b", 2)])
+    put([("b", 3)])
+    assert sorted(map(tuple, spark.read.parquet(path).select("kind", "v").collect())) == [("a", 1), ("b", 3)]
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (1, "y")], "id int, owner string")
+    left = ingest.delete_owned(rows, spark.createDataFrame([(1, "x"), (2, "y")], "id int, owner string"))
+    assert sorted(map(tuple, left.collect())) == [(1, "y"), (2, "x")]
+    old = spark.createDataFrame([(k, k, None) for k in range(5)], "id int, predicted_at int, synced_id int")
+    new = spark.createDataFrame([(9, 9, None)], old.schema)
+    kept = ingest.bounded_history(old, new, 3)
+    assert [r.id for r in kept.collect()] == [9, 4, 3]
+    synced = ingest.mark_synced(kept, spark.createDataFrame([(4, 44)], "id int, synced_id int"))
+    assert {r.id: r.synced_id for r in synced.collect()} == {9: None, 4: 44, 3: None}
+
+
+def test_documents_binaries_and_extraction(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text('{"id": 1, "tag": null}\n{"id": 2, "tag": "x"}\n')
+    docs = ingest.read_documents(spark, str(tmp_path / "docs"), "id int, tag string", {"tag": F.lit("none")})
+    assert sorted(map(tuple, docs.collect())) == [(1, "none"), (2, "x")]
+    (tmp_path / "big.pdf").write_bytes(b"x" * 50)
+    (tmp_path / "small.pdf").write_bytes(b"y" * 5)
+    found = ingest.read_binaries(spark, str(tmp_path), "*.pdf", most_bytes=10).collect()
+    assert [(r.length, bytes(r.content)) for r in found] == [(5, b"yyyyy")]
+    texts = spark.createDataFrame([('{"lh": 4.5}',), ("no json",), (None,), ('{"lh": "x"}',), ("[1]",)], "raw string")
+    assert [r.extracted and r.extracted.lh for r in ingest.extracted(texts, "raw", "lh double").collect()] == [4.5, None, None, None, None]
+
+
+def test_stored_panel_is_refreshed(spark, tmp_path):
+    spine = spark.createDataFrame([(1, 1), (1, 2)], "participant_id int, day_in_study int")
+    glucose = spark.createDataFrame([(1, 1, 5.0), (1, 1, 7.0)], "participant_id int, day_in_study int, glucose_value double")
+    path = str(tmp_path / "daily")
+    first = daily.refresh_daily_features({"hormones_selfreport": spine, "glucose": glucose}, path)
+    assert {r.day_in_study: r.glucose_mean for r in first.collect()} == {1: 6.0, 2: None}
+    again = daily.refresh_daily_features({"hormones_selfreport": spine.where("day_in_study = 2"), "glucose": glucose}, path)
+    assert again.count() == 1
+
+
+def test_values_at_ranks(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([1, 2, 2, 2, 3, rng.random() * 9]))) for g in "ab" for _ in range(500)] + [("a", None)]
+    wanted = [(g, k) for g in "ab" for k in (0, 1, 77, 250, 499)]
+    got = profile.values_at(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", spark.createDataFrame(wanted, "g string, rank long")).collect()
+    ordered = {g: sorted(v for h, v in rows if h == g and v is not None) for g in "ab"}
+    assert {(r.g, r["rank"]): r.v for r in got} == {(g, k): ordered[g][k] for g, k in wanted}
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    points = spark.range(60).selectExpr("id", "array(double(id), double(id % 7)) AS vector")
+    whole = sorted(map(tuple, matching.top_k(points, points.where("id % 5 = 0"), 3).collect()))
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, matching.top_k(points, points.where("id % 5 = 0"), 3).collect())) == whole and len(whole) == 36
