@@ -142,7 +142,7 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray, is_space: np
     for slab in range(0, longest, 128):
         end = min(slab + 128, longest)
         near = whole[np.minimum(start + np.arange(slab - BACK, end)[:, None], len(whole) - 1)]
-        space, wide = is_space[near], near.astype(np.uint32)
+        goes_on, wide = (~is_space[near]).astype(np.uint32), near.astype(np.uint32)
         for t in range(slab, end):
             n, at = int(alive[t]), t - slab + BACK
             m = min(len(start), -(-n // LANE_STEP) * LANE_STEP)
@@ -160,7 +160,7 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray, is_space: np
                 now += wide[at - 1, :m]
                 now += one
                 now *= _C
-                now[space[at - 1, :m]] = 0
+                now *= goes_on[at - 1, :m]
             contexts[-1] = word[:m]
             yield n, contexts, wide[at, :m]
 
@@ -255,9 +255,12 @@ class Coder:
             for place in range(3):
                 w = self.weights[place, :, :, :m]
                 sign = _SIGNS[place].take(half)
-                np.add(self.nodes, _NODES[place].take(half), out=self.at)
-                entries.take(self.at, out=x8, mode="clip")
-                np.multiply(x8, sign, out=x8)
+                if place:
+                    np.add(self.nodes, _NODES[place].take(half), out=self.at)
+                    entries.take(self.at, out=x8, mode="clip")
+                    np.multiply(x8, sign, out=x8)
+                else:  # no bit is known yet: the first node
+                    np.multiply(entries.reshape(PREDICTORS, 2, m, 8)[..., 1], sign, out=x8)
                 x[:] = x8
                 turn = sign.astype(np.float32)
                 np.multiply(w, x, out=wx)
@@ -330,7 +333,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 found.update(raw.split())
                 shape += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
                 shape[_END] += 1
-                if len(found) > 500_000:
+                if len(found) > 400_000:
                     yield drain()
         for k in np.flatnonzero(shape).tolist():
             found[b" " + bytes([k])] = int(shape[k])
