@@ -46,6 +46,34 @@ FROM d JOIN g USING (t)
 """
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rn, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (SELECT rn, k, words[k : k + 7] AS w FROM (SELECT rn, words, unnest(range(1, len(words) - 6)) AS k FROM d WHERE len(words) > 8)),
+twice AS (SELECT rn, k FROM (SELECT rn, k, count(*) OVER (PARTITION BY rn, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT rn, count(DISTINCT place) AS n FROM (SELECT rn, unnest(range(k, k + 8)) AS place FROM twice) GROUP BY rn),
+most AS (SELECT rn, max(n) AS n FROM (SELECT rn, word, count(*) AS n FROM (SELECT rn, unnest(words) AS word FROM d) GROUP BY ALL) GROUP BY rn),
+pairs AS (SELECT rn, count(*) AS n FROM (SELECT rn, words, unnest(range(2, len(words) + 1)) AS k FROM d) WHERE words[k] = words[k - 1] GROUP BY rn),
+q AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters,
+    length(regexp_replace(t, '[^!?]', '', 'g')) AS marks, coalesce(most.n, 0) AS most, coalesce(pairs.n, 0) AS pairs, octet_length(encode(t)) AS size,
+    coalesce(list_sum(list_transform(lines, lambda x: octet_length(encode(x)))) - list_sum(list_transform(list_distinct(lines), lambda x: octet_length(encode(x)))), 0) AS again
+  FROM d LEFT JOIN repeats USING (rn) LEFT JOIN most USING (rn) LEFT JOIN pairs USING (rn)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * again > 3 * size OR (upper > 20 AND 2 * upper > letters)
+    OR 10 * marks > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * letters < word_chars OR 10 * pairs > 3 * n_words
+    OR 10 * most > 3 * n_words) AS kept
+FROM q
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -105,4 +133,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}

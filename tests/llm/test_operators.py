@@ -417,6 +417,10 @@ def test_verdicts_against_brute_force(spark, docs):
         assert Counter(map(tuple, quality.keep_good(rows).select("doc_id", "text").collect())) == Counter((r.doc_id, r.text) for r in got if r.kept)
 
 
+def test_quality_oracle(same_as_oracle):
+    same_as_oracle(registry.queries()["op5_quality_rules"], registry.oracle_sql()["op5_quality_rules"])
+
+
 def test_costs_are_measured_where_the_base_passes(spark):
     seen = quality.measure(frame(spark, ["short"] * 5 + [" ".join(f"w{k}" for k in range(40))] * 3 + [" ".join(f"v{k}#" for k in range(60))]))
     assert {x[0] for x in seen.values()} == {4} and seen["symbols"][1] == 1 and all(x[2] > 0 for x in seen.values())
