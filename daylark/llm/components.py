@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Defined cases: an empty table gives an empty result; edges with a null end and self-loops are dropped,
+repeated edges count once. The root is the smallest node, so there are no ties.
+"""
 
 from __future__ import annotations
 

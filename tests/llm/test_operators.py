@@ -169,6 +169,63 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.score_toxicity(empty, none).count() == 0
 
 
+def brute_features(lexicon, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return [0.0] * 11
+    size, own = len(text.encode()), [lexicon.of_word(w.encode()) for w in words]
+    hits = [k for k, (a, _, b, _) in enumerate(own) if a > 0 or b > 0]
+    weights = [own[k][0] + own[k][2] for k in hits]
+    second = [k for k, x in enumerate(own) if x[3] > 0]
+    near = sum(any(abs(k - j) <= toxicity.NEAR_WORDS for j in second) for k in hits)
+    marks = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    return [
+        100 * len(hits) / len(words), min(len(hits), 20), 100 * sum(weights) / len(words), max(weights, default=0.0), near / max(1, len(hits)),
+        sum("A" <= c <= "Z" for c in text) / size, marks / size, (text.count("!") + text.count("?")) / len(words),
+        100 * sum(x[1] for x in own) / len(words), min(20, sum(x[2] > 0 for x in own)), math.log1p(len(words)),
+    ]
+
+
+def test_toxicity_features_against_recount(spark):
+    rng = random.Random(22)
+    lexicon = toxicity.Lexicon({"dolt": 2.0, "numpty": 3.5})
+    bits = ["the", "You", "dolt!", "d0lt", "n*umpty", "NUMPTY", "rain", "été", "your", "??", "!", "x" * 300]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", "  ", "dolt " * 5000]
+    for r in toxicity.featurize(frame(spark, texts), lexicon, ["doc_id"]).collect():
+        assert list(r)[1:] == pytest.approx(brute_features(lexicon, texts[r.doc_id]), rel=1e-5, abs=1e-6)
+
+
+def test_lexicon_against_its_bound(spark):
+    rng = random.Random(23)
+    words = [f"w{chr(97 + k)}" for k in range(26)]
+    rows = [(" ".join(rng.sample(words, 6) + (["vile"] if rng.random() < (0.7 if k % 5 == 0 else 0.02) else [])), int(k % 5 == 0)) for k in range(400)]
+    rate, counts = sum(m for _, m in rows) / len(rows), {}
+    for text, m in rows:
+        for w in set(text.split()):
+            counts.setdefault(w, [0, 0])[m] += 1
+    tried, want = sum(sum(c) >= 3 for c in counts.values()), {}
+    for w, (clean, toxic) in counts.items():
+        share = toxic / (toxic + clean)
+        bound = (toxic + clean) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0)) if share else 0
+        odds = math.log((toxic + 0.5) / (sum(m for _, m in rows) + 1)) - math.log((clean + 0.5) / (len(rows) - sum(m for _, m in rows) + 1))
+        if sum((clean, toxic)) >= 3 and share > rate and bound > math.log(tried) and odds > 1:
+            want[w] = odds
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert found.weights == pytest.approx(want) and "vile" in want
+
+
+def test_fitted_toxicity_over_odd_rows(spark):
+    rng = random.Random(24)
+    texts = [" ".join(rng.choice(["sun", "rain", "walk", "tree"]) for _ in range(20)) + (" blockhead" if k % 3 == 0 else "") for k in range(400)]
+    marks = [int(k % 3 == 0) for k in range(400)]
+    odd = [None, "", " ", "x" * 50_000, "blockhead " * 3000, texts[0]]
+    ids = [*range(400), 1000, 1001, 1002, 1003, 1004, None]
+    rows = toxicity.score_toxicity(frame(spark, texts + odd, ids), spark.createDataFrame([*enumerate(marks), (3, 0), (None, 1)], "doc_id long, toxic int")).collect()
+    assert len(rows) == 406 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    scores = {r.doc_id: r.score for r in rows}
+    assert scores[1004] > 0.9 and max(scores[1001], scores[1000], scores[1002]) < 0.5 and scores[None] == scores[0] > 0.9
+
+
 def test_obfuscated_words_are_revealed():
     lexicon = toxicity.Lexicon({"idiot": 3.0})
     assert all(lexicon.of_word(w)[2] == 3.0 for w in (b"1d1ot", b"id*iot,", b"idiiiiot!", b"I.D.I.O.T"))
