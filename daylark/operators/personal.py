@@ -83,6 +83,7 @@ def insights(rows: DataFrame, person: str, most: int = 3) -> DataFrame:
     Luteal against follicular days: sleep lower by 0.7 or mood apart by 1.2, with two days of each;
     or a marker's mean below 0.9 of its low bound or above 1.1 of its high one.
     """
+    # The thresholds of the rules, as in the docstring.
     lut, fol = F.col("phase") == "Luteal", F.col("phase") == "Follicular"
     out = rows.groupBy(person).agg(
         F.count_if(lut).alias("n_luteal"), F.count_if(fol).alias("n_follicular"),
@@ -168,6 +169,7 @@ def predictors(columns: Sequence[str] = FEATURE_KEYS) -> list[str]:
 def phase_logits(day: Column, skin_delta: Column, hrv: Column) -> list[Column]:
     """Heuristic logits of the four public phases by cycle day, skin temperature and heart-rate variability."""
     day = F.coalesce(day, F.lit(14))
+    # Logits per phase and the bounds that choose them.
     return [
         F.when(day <= 5, F.lit(2.5)).otherwise(F.lit(-1.0)),
         F.when((day > 5) & (day < 13), F.lit(2.0)).otherwise(F.lit(-0.5)) + F.when(hrv > 55, F.lit(0.4)).otherwise(F.lit(0.0)),
