@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from daylark.llm import exact_dedup, langid, lmscore, mixing, quality, secrets, simhash, sptok, toxicity, warc
+from daylark.llm import collocation, exact_dedup, fillmiddle, groupjoin, langid, lmscore, mixing, quality, secrets, simhash, sptok, toxicity, warc
 from daylark.llm.common import crc_bucket, table
 
 
@@ -128,9 +128,99 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rn,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT rn, array_to_string(words[k : k + 4], ' ') AS shingle FROM (SELECT rn, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k FROM d WHERE len(words) > 0)
+),
+sizes AS (SELECT rn, count(*) AS n FROM shingles GROUP BY rn),
+shared AS (SELECT a.rn AS x, b.rn AS y, count(*) AS s FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rn <> b.rn GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.rn = x JOIN sizes b ON b.rn = y WHERE 100 * s >= 80 * (a.n + b.n - s)),
+reached AS (SELECT rn AS x, rn AS y FROM d UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN sizes USING (rn) JOIN (SELECT x, min(doc_id) AS component_id FROM reached JOIN d ON d.rn = y GROUP BY x) c ON c.x = d.rn
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, w[i : i + k - 1] AS g, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) AS r(k))
+  GROUP BY ALL HAVING count(*) >= 30
+),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS score, k
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, g[i : i + m - 1] AS g, max(f) AS held FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM f, range(2, 4) AS r(m) WHERE m < len(g)) GROUP BY ALL
+),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_parts h ON h.lang = b.lang AND h.g = b.g WHERE h.held IS NULL OR 100 * h.held < 80 * b.a),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+e AS (SELECT *, len(u) AS n, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS v FROM d),
+c AS (
+  SELECT *, least(v[1] % (n + 1), v[2] % (n + 1)) AS lo, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR v[3] % 100 >= 100 THEN 'plain' WHEN v[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+),
+x AS (
+  SELECT *, coalesce(array_to_string(u[1 : lo], ''), '') AS pre, coalesce(array_to_string(u[lo + 1 : hi], ''), '') AS mid, coalesce(array_to_string(u[hi + 1 : n], ''), '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM x
+"""
+
+
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fillmiddle.transformed(table(spark, sf_dir, "documents"))
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fillmiddle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", chars("prefix"), chars("middle"), digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_language_id, op4_warc, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_sentencepiece, op9_simhash_near_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (
+        op1_exact_dedup, op2_toxicity, op3_language_id, op4_warc, op5_quality_rules, op6_lm_score, op7_secret_scan, op8_sentencepiece,
+        op9_simhash_near_dedup, op10_source_mixing, op11_ngram_jaccard_join, op12_phrase_collocations, op13_fill_in_middle,
+    )}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op5_quality_rules": OP5_SQL, "op11_ngram_jaccard_join": OP11_SQL,
+        "op12_phrase_collocations": OP12_SQL, "op13_fill_in_middle": OP13_SQL,
+    }
