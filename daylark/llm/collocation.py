@@ -96,6 +96,8 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, size: int, most: int) -> Da
 
 def squeezed(ids: np.ndarray) -> np.ndarray:
     """``ids`` with one negative entry for a run of them; empty without two neighbours."""
+    if not len(ids):
+        return ids
     pair = (ids[1:] >= 0) & (ids[:-1] >= 0)
     keep = np.append(False, pair) | np.append(pair, False)
     ends = np.append(True, keep[:-1]) & ~keep  # the first entry after a kept run stands for the gap

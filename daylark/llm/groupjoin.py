@@ -2,19 +2,20 @@
 
 A document's tokens are the hashes of its distinct shingles; documents with equal sets are one node.
 
-1. Groups. Nodes that share two minima of their tokens are compared with one of them, the pivot; those
-   that link with it form its group, any other node is a group of its own. What is in one group is in
-   one component, so only links between groups are left to find.
-2. Bound. A node of n tokens that links with another shares at least ``n - n // 5`` tokens with that
-   one's group. A first matrix holds tokens below a fixed hash value (all tokens of short texts): a
-   node of h such tokens has to share ``h - n // 5`` of them with other groups, or it has no link
-   outside its own. Nodes that are left enter the full matrix, where the same bound holds with all
-   tokens. The two bounds never lose a link; they only tell which groups can't hold one.
-3. Opening. Groups are candidates if one holds some of the rarest tokens of a node of the other, as many
-   as it takes for at least one to be shared by any link. Their first nodes are compared; where these don't
-   link and no chain of links joins the groups, each node is bounded against the other group's token
-   union, and qualifying nodes are compared first with that group's first node, then with its members.
-
+1. Groups. Under each of ``MINIMA`` permutations a node has its least token. Nodes that share one meet in a
+   bucket, whose hub is the node that meets most others in all its buckets; a node with the same hub in at
+   least ``VOTES`` buckets joins that one's group, any other node is a group of its own. Nodes are
+   compared with their hub; those that link with it are tied to it.
+2. Bound. A node of n tokens that links with a node of another group shares at least ``n - n // 5`` tokens
+   with that group's union. A first matrix holds tokens below a fixed hash value (all tokens of short
+   texts): a node of h such tokens has to share ``h - n // 5`` of them with other groups, or it has no
+   link outside its own. Nodes that are left enter the full matrix, where the bound holds with all tokens.
+   For each of them, the groups that hold some of its rarest tokens (as many as it takes for one to be in
+   any link) are candidates, and those that hold enough of all its tokens qualify.
+3. Opening. A node is compared with the members of each group that qualifies, and a node that isn't tied to
+   its hub with those of its own group. Groups are opened in blocks of some ``BLOCK`` members.
+
+The bounds never lose a link; they tell which groups can't hold one.
 All comparisons count the shared tokens of both sets. Links are decided by ``100 * shared >= 80 * union``.
 
 Defined cases: a null text counts as empty; a text without words has no tokens, links with nothing and
@@ -34,16 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import BROADCAST_ROWS, small_side, stored
+from daylark.llm.common import small_side, stored
 from daylark.llm.components import connected_components
 from daylark.llm.simhash import hashes
 
 WORDS, PERCENT = 5, 80
 #: Texts of at most so many tokens are bounded by all their tokens, longer ones by tokens below ``BELOW`` (5/16 of all hash values).
 SHORT, BELOW = 128, -(1 << 63) + 5 * (1 << 60)
+MINIMA, VOTES, BLOCK = 12, 6, 256
 #: Rows of a node from which its component is looked up by broadcast.
 HOT = 1_000
-_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -55,25 +57,26 @@ def node_of(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
-def _signature(tokens: np.ndarray) -> int:
-    least = b"".join((tokens.view(np.uint64) * f).min().tobytes() for f in _FACTORS)
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(least))))
+def minima_of(tokens: np.ndarray) -> np.ndarray:
+    """The least token under each of the permutations (multiplications by odd numbers)."""
+    return np.array([(tokens.view(np.uint64) * f).min() for f in _FACTORS] if len(tokens) else [], np.uint64).view(np.int64)
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(id, node, n, h, sig) of each row of (id, text): its set, the tokens in it, those bounded first, its minima."""
+    """(id, node, n, h, least) of each row of (id, text): its set, the tokens in it, those bounded first, its minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, least = [], []
             for text in batch.column(1):
                 t = tokens_of(text.as_py())
                 n = len(t)
-                rows.append((node_of(t), n, n if n <= SHORT else int(np.searchsorted(t, BELOW)), _signature(t) if n else 0))
-            made = [pa.array(list(c), pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "node", "n", "h", "sig"])
+                rows.append((node_of(t), n, n if n <= SHORT else int(np.searchsorted(t, BELOW))))
+                least.append(minima_of(t))
+            made = [pa.array(list(c), pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(least, pa.list_(pa.int64()))], names=["id", "node", "n", "h", "least"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, n long, h long, sig long")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, n long, h long, least array<long>")
 
 
 def first_matrix(docs: DataFrame) -> DataFrame:
@@ -159,15 +162,16 @@ def _least(n: str | Column, percent: int) -> Column:
     return n - F.floor(n * (100 - percent) / 100).cast("long")
 
 
-def similar_groups(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``nodes`` with their ``group``, the node of its pivot."""
-    pivots = nodes.groupBy("sig").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    near = stored(nodes.join(pivots, "sig").select("node", "rep", "pivot"), "near")
-    sets = stored(token_sets(docs, near), "sets")
-    heads = sets.join(near.where("node = pivot").select("node"), "node", "left_semi")
-    pairs = near.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    found = linked(pairs, heads, sets, percent).distinct()
-    return nodes.join(found.withColumnsRenamed({"a": "group", "b": "node"}), "node", "left").withColumn("group", F.coalesce("group", "node"))
+def similar_groups(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, least, ...) with their ``group``, the node of its hub."""
+    met = nodes.select("node", F.posexplode("least").alias("k", "token"))
+    several = met.groupBy("k", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = stored(met.join(several, ["k", "token"]), "buckets")
+    rated = met.join(met.groupBy("node").agg(F.sum("c").alias("meets")), "node")
+    hubs = rated.groupBy("k", "token").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"))
+    votes = met.join(hubs, ["k", "token"]).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
+    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", "hub")).alias("group"))
+    return nodes.drop("least").join(best, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
 
 def shared_between_groups(rows: DataFrame) -> DataFrame:
@@ -176,61 +180,91 @@ def shared_between_groups(rows: DataFrame) -> DataFrame:
     return rows.join(known, "token")
 
 
-def _roots(groups: DataFrame, edges: list[DataFrame]) -> DataFrame:
-    """(group, root) of the groups' components under all ``edges`` (g1, g2) found so far."""
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
-    found = connected_components(every.select(F.col("g1").alias("a"), F.col("g2").alias("b")))
-    named = groups.select("group").distinct().join(found.withColumnRenamed("node", "group"), "group", "left")
-    return named.withColumn("root", F.coalesce("root", "group"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The group pairs that no chain of links joins."""
-    of = lambda k: roots.toDF(f"g{k}", f"root{k}")
-    return pairs.join(of(1), "g1").join(of(2), "g2").where("root1 <> root2").select(*pairs.columns)
+def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between each query (g, node, label) and members of its ``g`` (g, node, label), one for each other label among them.
 
+    A label stands for nodes known to be connected. A task holds one block of members at a time and counts, for
+    each query in turn, the tokens that it shares with every member.
+    """
+    blocks = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    asked = queries.join(blocks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = own.select("g", "block", F.lit(0).alias("asks"), "node", "label").unionByName(asked.select("g", "block", F.lit(1).alias("asks"), "node", "label"))
+    rows = sides.join(sets, "node").select("g", "block", "asks", "node", "label", "tokens").repartition("g", "block").sortWithinPartitions("g", "block", "asks")
 
-def group_links(docs: DataFrame, homes: DataFrame, percent: int) -> DataFrame | None:
-    """Links (g1, g2) between groups that complete the components; None where no group can have any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, labels, held, index = None, [], [], [], None
+        for batch in batches:
+            found = []
+            plain = [batch.column(k).to_pylist() for k in range(5)]
+            for k, (g, block, asks, node, label) in enumerate(zip(*plain)):
+                tokens = batch.column(5)[k].values.to_numpy()
+                if (g, block) != key:
+                    key, nodes, labels, held, index = (g, block), [], [], [], None
+                if not asks:
+                    nodes.append(node)
+                    labels.append(label)
+                    held.append(tokens)
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    every, size = np.concatenate(held), np.array([len(t) for t in held])
+                    order = np.argsort(every, kind="stable")
+                    index = (every[order], np.repeat(np.arange(len(held)), size)[order], size, np.array(nodes), np.array(labels))
+                every, owner, size, members_, labels_ = index
+                lo, hi = np.searchsorted(every, tokens), np.searchsorted(every, tokens, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(size))
+                near = (100 * shared >= percent * (size + len(tokens) - shared)) & (labels_ != label)
+                if near.any():
+                    _, first = np.unique(labels_[near], return_index=True)
+                    found += [(node, m) for m in members_[near][first].tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def qualifying(docs: DataFrame, homes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes that may link outside their group, (node, g) of the other groups that qualify, their token sets)."""
     spare = F.floor(F.col("n") * (100 - percent) / 100).cast("long")
     first = stored(in_several(first_matrix(docs)).drop("n").join(homes.select("node", "n", "group"), "node"), "first-matrix")
     counted = shared_between_groups(first).where(f"n <= {SHORT} or token < {BELOW}").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
     held = homes.join(counted, "node", "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    open_nodes = stored(held.where((F.col("h") <= spare) | (F.col("s") >= F.col("h") - spare)).select("node", "rep", "n", "group"), "open")
-    sets = stored(token_sets(docs, open_nodes).dropDuplicates(["node"]), "open-sets")
-    full = sets.join(open_nodes.drop("rep"), "node").select("node", "n", "group", F.explode("tokens").alias("token"))
+    left = stored(held.where((F.col("h") <= spare) | (F.col("s") >= F.col("h") - spare)).select("node", "rep", "n", "group"), "open")
+    sets = stored(token_sets(docs, left).dropDuplicates(["node"]), "open-sets")
+    full = sets.join(left.drop("rep"), "node").select("node", "n", "group", F.explode("tokens").alias("token"))
     rarest = F.array_sort(F.collect_list(F.struct("c", "token")))
     own = shared_between_groups(full).groupBy("node", "n", "group").agg(rarest.alias("shared"))
     own = stored(own.where(F.size("shared") >= _least("n", percent)), "bounded")
-    if own.isEmpty():
-        return None
-    matrix = own.select("group", F.explode("shared.token").alias("token")).distinct()
-    probes = own.select("group", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - _least("n", percent) + 1).cast("int"))).alias("x"))
-    probes = probes.select(F.col("group").alias("g"), F.col("x.token").alias("token")).distinct()
-    met = probes.join(matrix, "token").where("g <> group").select(F.least("g", "group").alias("g1"), F.greatest("g", "group").alias("g2")).distinct()
-    sizes = own.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("node").alias("head"))
-    of = lambda k: sizes.toDF(f"g{k}", f"low{k}", f"high{k}", f"head{k}")
-    pairs = met.join(of(1), "g1").join(of(2), "g2").where(f"100 * high1 >= {percent} * low2 and 100 * high2 >= {percent} * low1")
-    pairs = stored(pairs.select("g1", "g2", F.col("head1").alias("a"), F.col("head2").alias("b")), "group-pairs")
-    edges = [stored(linked(pairs, sets, sets, percent).select("g1", "g2"), "links")]
-    left = stored(_apart(pairs, _roots(own, edges)), "apart")
-    if left.isEmpty():
-        return edges[0]
-    # the nodes of either group whose tokens the other's union holds as often as a link needs
-    turned = left.select("g1", "g2").unionByName(left.select(F.col("g2").alias("g1"), F.col("g1").alias("g2")))
-    asked = turned.join(own.withColumnRenamed("group", "g1"), "g1").select("g1", "g2", "node", "n", F.explode("shared.token").alias("token"))
-    bound = asked.join(matrix.withColumnRenamed("group", "g2"), ["g2", "token"]).groupBy("g1", "g2", "node", "n").agg(F.count(F.lit(1)).alias("s"))
-    opened = stored(bound.where(F.col("s") >= _least("n", percent)).select("g1", "g2", "node", "n"), "opened")
-    heads = opened.groupBy("g1", "g2").agg(F.min_by(F.struct("node", "n"), "node").alias("head"))
-    every = opened.select("g1", "g2", F.struct("node", "n").alias("one"))
-    for other in (heads, every.withColumnRenamed("one", "head")):
-        sides = every.join(other.select(F.col("g1").alias("g2"), F.col("g2").alias("g1"), "head"), ["g1", "g2"])
-        fits = (100 * F.col("one.n") >= percent * F.col("head.n")) & (100 * F.col("head.n") >= percent * F.col("one.n"))
-        tried = _apart(sides.where(fits).select("g1", "g2", F.col("one.node").alias("a"), F.col("head.node").alias("b")), _roots(own, edges))
-        edges.append(stored(linked(tried, sets, sets, percent).select("g1", "g2").distinct(), "links"))
-    return edges[0].unionByName(edges[1]).unionByName(edges[2])
+    matrix = stored(own.select(F.col("group").alias("g"), F.explode("shared.token").alias("token")).distinct(), "matrix")
+    probes = own.select("node", "n", "group", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - _least("n", percent) + 1).cast("int"))).alias("x"))
+    met = probes.select("node", "n", "group", "x.token").join(matrix, "token").where("g <> group").select("node", "g").distinct()
+    asked = met.join(own.select("node", "n", F.col("shared.token").alias("tokens")), "node").select("node", "n", "g", F.explode("tokens").alias("token"))
+    bound = asked.join(matrix, ["g", "token"]).groupBy("g", "node", "n").agg(F.count(F.lit(1)).alias("s"))
+    return own.select("node", "group"), stored(bound.where(F.col("s") >= _least("n", percent)).select("node", "g"), "qualified"), sets
+
+
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with their group, and links (a, b) between nodes that make up the components."""
+    homes = stored(similar_groups(nodes), "homes")
+    hubs = stored(homes.where("node <> group").select("group").distinct(), "hubs")
+    heads = hubs.withColumnRenamed("group", "node")
+    grouped = homes.join(hubs, "group")
+    near = stored(grouped.select("node", "rep").unionByName(homes.join(heads, "node").select("node", "rep")).distinct(), "near")
+    sets = stored(token_sets(docs, near).dropDuplicates(["node"]), "sets")
+    tied = stored(linked(grouped.where("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b")), sets.join(heads, "node"), sets, percent), "tied")
+    labelled = homes.join(tied.select(F.col("b").alias("node"), F.col("a").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stored(labelled.select("node", "group", "label"), "labelled")
+    loose = labelled.where("label <> group")
+    loose = loose.join(hubs, "group").withColumnRenamed("group", "g")
+    within = opened(labelled.withColumnRenamed("group", "g").join(loose.select("g").distinct(), "g"), loose, sets, percent)
+    outside, asks, open_sets = qualifying(docs, homes, percent)
+    label = labelled.select("node", "label")
+    across = opened(outside.withColumnRenamed("group", "g").join(label, "node"), asks.join(label, "node"), open_sets, percent)
+    return homes, tied.unionByName(stored(within, "within")).unionByName(stored(across, "across"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -239,14 +273,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("the first bound holds for 80 to 100 %")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stored(prints(docs), "prints")
-    nodes = rows.where("n > 0").groupBy("node", "n", "h", "sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    homes = stored(similar_groups(docs, stored(nodes, "nodes"), percent), "homes")
-    edges = group_links(docs, homes, percent)
-    named = homes.withColumn("root", F.col("group")) if edges is None else homes.join(_roots(homes, [edges]), "group")
-    least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    found = stored(named.join(least, "root").select("node", "component", "rows"), "components")
+    same = rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "h", "least")], F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    homes, edges = links(docs, stored(same, "nodes"), percent)
+    roots = connected_components(edges)
+    named = homes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = stored(named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").select("node", "component", "rows"), "components")
     # hot nodes by broadcast, as all their rows have one key
-    hot, rest = small_side(found.where(F.col("rows") >= HOT), BROADCAST_ROWS), found.where(F.col("rows") < HOT)
+    hot, rest = small_side(found.where(F.col("rows") >= HOT)), found.where(F.col("rows") < HOT)
     full = rows.where("n > 0")
     placed = full.join(hot, "node").unionByName(full.join(rest, "node"))
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))
