@@ -8,50 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daylark.functions.scalar import PHASES, class_index, half_up, softmax
-from daylark.operators import metrics, profile
+from daylark.functions.scalar import PHASES, class_index, half_up
+from daylark.operators import metrics, panel, profile, smoothing
+from daylark.operators.boosting import Boosting
+from daylark.operators.ridge import Ridge
+from daylark.session import checkpointed
 
 SEED = 42
 
 
-class Ridge:
-    """Least squares with a penalty on targets of 1 for a class and -1 for the others, one model per class."""
-
-    SHARPNESS = 4.0  #: factor on the outputs before the softmax
-
-    def __init__(self, strength: float = 1.0, iterations: int = 60):
-        self.strength, self.iterations = strength, iterations
-
-    def fit(self, rows: DataFrame) -> Ridge:
-        share = self.strength / max(1, rows.count())  # MLlib's penalty is per row
-        self.models = []
-        for k in range(len(PHASES)):
-            target = rows.withColumn("__target", F.when(F.col("label") == k, 1.0).otherwise(-1.0))
-            self.models.append(LinearRegression(labelCol="__target", predictionCol=f"__out{k}", regParam=share, standardization=False, maxIter=self.iterations, tol=1e-6).fit(target))
-        return self
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        for model in self.models:
-            rows = model.transform(rows)
-        names = [f"__out{k}" for k in range(len(self.models))]
-        sharp = softmax([F.col(c) * self.SHARPNESS for c in names])
-        best = F.array_position(F.array(*names), F.greatest(*names)) - 1
-        return rows.withColumns({"probabilities": F.array(*sharp), "prediction": best.cast("double")}).drop(*names)
-
-
 def classifiers(width: int, rounds: int = 250, trees: int = 300, iterations: int = 60) -> dict[str, Callable[[], Estimator]]:
-    """Estimators by name; boosting and the ridge are one against the rest, as MLlib's boosting is binary."""
-    boost = lambda: GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.05, minInstancesPerNode=4, seed=SEED, featureSubsetStrategy="onethird")
+    """Estimators by name, with the study's sizes as defaults."""
     return {
-        "boosting": lambda: OneVsRest(classifier=boost()),
+        "boosting": lambda: Boosting(len(PHASES), rounds=rounds, depth=5, rate=0.05, tried=11, least=4, cuts=24, penalty=1.0, seed=SEED),
         "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=16, minInstancesPerNode=2, seed=SEED),
         "logistic": lambda: LogisticRegression(maxIter=iterations, regParam=1e-4, weightCol="weight"),
         "ridge": lambda: Ridge(iterations=iterations),
@@ -63,7 +42,7 @@ def regressors(rounds: int = 120, trees: int = 40) -> dict[str, Callable[[], Est
     return {
         "forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=SEED),
         "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED),
-        "deep_boosting": lambda: GBTRegressor(maxIter=rounds + rounds // 4, maxDepth=4, stepSize=0.05, seed=SEED),
+        "penalised_boosting": lambda: Boosting(rounds=rounds + rounds // 4, depth=4, rate=0.05, tried=10, cuts=16, penalty=1.0, seed=SEED),
     }
 
 
@@ -120,6 +99,52 @@ def cross_validate(rows: DataFrame, folds: DataFrame, predictors: Sequence[str],
     return rows.sparkSession.createDataFrame(out, "method string, fold int, accuracy double, macro_f1 double")
 
 
+def out_of_fold(rows: DataFrame, folds: DataFrame, predictors: Sequence[str], name: str, k: int, person: str = "participant_id", day: str = "day_in_study", **sizes) -> DataFrame:
+    """(person, day, fold, label, prediction, probabilities): each row as the model of the other folds sees it; written once."""
+    data = checkpointed(labelled(rows).join(folds.select(person, "fold"), person))
+    out = None
+    for fold in range(k):
+        train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
+        if train.isEmpty() or test.isEmpty():
+            continue
+        design = Design(train, predictors)
+        found = classifiers(len(predictors), **sizes)[name]().fit(design(train)).transform(design(test))
+        chances = F.col("probabilities") if "probabilities" in found.columns else vector_to_array("probability")
+        one = checkpointed(found.select(person, day, "fold", "label", "prediction", chances.alias("probabilities")))
+        out = one if out is None else out.unionByName(one)
+    empty = f"`{person}` {rows.schema[person].dataType.simpleString()}, `{day}` {rows.schema[day].dataType.simpleString()}, fold int, label double, prediction double, probabilities array<double>"
+    return out if out is not None else rows.sparkSession.createDataFrame([], empty)
+
+
+def smoothed(found: DataFrame, rows: DataFrame, folds: DataFrame, k: int, person: str = "participant_id", day: str = "day_in_study") -> DataFrame:
+    """``found`` (from ``out_of_fold``) with the states of each participant's best path as predictions.
+
+    A fold's transitions and prior are counted over the participants of the other folds alone.
+    """
+    known = checkpointed(rows.select(person, day, "phase").join(folds.select(person, "fold"), person))
+    names = [f"__p{c}" for c in range(len(PHASES))]
+    wide = found.select("*", *[F.col("probabilities")[c].alias(n) for c, n in enumerate(names)])
+    out = None
+    for fold in range(k):
+        train = known.where(F.col("fold") != fold)
+        own = wide.where(F.col("fold") == fold)
+        change, first = np.zeros((len(PHASES), len(PHASES))), np.zeros(len(PHASES))
+        for t in panel.transition_matrix(train).collect():
+            change[PHASES.index(t["from"]), PHASES.index(t["to"])] = t["probability"]
+        for t in panel.prior(train).collect():
+            first[PHASES.index(t["phase"])] = t["probability"]
+        path = smoothing.smooth(own.select(person, day, *names), names, change, first, person, day)
+        one = own.drop("prediction", *names).join(path, [person, day]).withColumn("prediction", F.col("state").cast("double")).drop("state")
+        out = one if out is None else out.unionByName(one)
+    return out.select(*found.columns)
+
+
+def by_fold(found: DataFrame, method: str) -> DataFrame:
+    """(method, fold, accuracy, macro_f1) of predictions with their fold."""
+    out = [(method, fold, *evaluate(found.where(F.col("fold") == fold))) for fold in sorted(r[0] for r in found.select("fold").distinct().collect())]
+    return found.sparkSession.createDataFrame(out, "method string, fold int, accuracy double, macro_f1 double")
+
+
 def leaderboard(folds: DataFrame) -> DataFrame:
     """Mean and deviation per method, best mean macro-F1 first, ties by name."""
     return metrics.over_folds(folds, ["method"], ["accuracy", "macro_f1"]).orderBy(F.desc("macro_f1_mean"), "method")
@@ -129,7 +154,7 @@ def train_phase(rows: DataFrame, folds: DataFrame, split: str, predictors: Seque
     """(report, winner, test metrics): cross-validation on the pool (train and val), refit of the winner on the pool, test.
 
     The winner has the best mean macro-F1, the earlier name on ties. With a ``path`` the fitted pipeline is
-    saved there (MLlib's own kinds; the ridge isn't one); ``PipelineModel.load`` brings it back.
+    saved there; ``PipelineModel.load`` brings it back.
     """
     pool = rows.where(F.col(split) != "test")
     report = cross_validate(pool, folds, predictors, names, k, person, **sizes)
@@ -139,7 +164,7 @@ def train_phase(rows: DataFrame, folds: DataFrame, split: str, predictors: Seque
     design = Design(fit_rows, predictors)
     model = classifiers(len(predictors), **sizes)[winner]().fit(design(fit_rows))
     test = evaluate(model.transform(design(labelled(rows.where(F.col(split) == "test")))))
-    if path and not isinstance(model, Ridge):
+    if path:
         design.pipeline(model).write().overwrite().save(path)
     return report, winner, test
 

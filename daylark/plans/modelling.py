@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from daylark.functions import crypto
 from daylark.functions.scalar import PHASES, half_up
-from daylark.operators import impute, metrics, panel, profile, smoothing, splits, training
+from daylark.operators import impute, metrics, panel, profile, ridge, smoothing, splits, training
+from daylark.operators.boosting import Boosting
 from daylark.plans import lens, relational
 from daylark.plans.lens import r, rounded, table
 from daylark.plans.relational import FEATURES, query
+from daylark.session import checkpointed
 
 PREDICTORS = ("hrv_mean", "glucose_mean", "sleep_efficiency", "wrist_temp_daily_mean", "mood", "temperature", "lh", "cycle_day")
 #: Small model sizes for the queries; the operators' defaults are the study's.
@@ -169,7 +172,87 @@ def benchmark_leaderboard(spark, d):
     folds = splits.stratified_folds(people(spark, d), "participant_id", "dominant", 2)
     rows = panel.rolling_last_observed(study_rows(spark, d), "hrv_mean").withColumnsRenamed({"mean": "hrv_rolling", "std": "hrv_spread"})
     predictors = [*PREDICTORS, "hrv_rolling", "hrv_spread"]
-    return training.leaderboard(training.cross_validate(rows, folds, predictors, ["ridge", "forest", "perceptron"], 2, **CLASSIFIER_SIZES))
+    rows, folds = checkpointed(rows), checkpointed(folds)  # read by every fold and method
+    plain = training.cross_validate(rows, folds, predictors, ["ridge", "forest", "perceptron"], 2, **CLASSIFIER_SIZES)
+    boosted = training.out_of_fold(rows, folds, predictors, "boosting", 2, **CLASSIFIER_SIZES)
+    smooth = training.smoothed(boosted, rows, folds, 2)
+    return training.leaderboard(plain.unionByName(training.by_fold(boosted, "boosting")).unionByName(training.by_fold(smooth, "smoothed boosting")))
+
+
+_SIGNS = ("cycle_day", "cycle_length", "cramps", "fatigue", "headache", "lh")
+_SIGN_ROWS = f"(SELECT row_number() OVER () AS i, phase, {', '.join(f'{c}::DOUBLE AS {c}' for c in _SIGNS)} FROM diary)"
+_CUTS = f"""cuts AS (SELECT DISTINCT feature, v[floor(i / 25.0::DOUBLE * len(v))::INT + 1] AS cut FROM
+  (SELECT feature, list(value ORDER BY value) AS v FROM (UNPIVOT (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in _SIGNS)} FROM diary) ON {', '.join(_SIGNS)} INTO NAME feature VALUE value) GROUP BY 1), range(1, 25) AS r(i))"""
+
+
+def _gain_sql(gradients: str, key: str, others: str = "true") -> str:
+    """The best cut of all rows for the gradients (key, i, g): one row per key."""
+    return f"""SELECT * EXCLUDE rank FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY gain DESC) AS rank FROM (
+      SELECT {key}, feature, cut, ls * ls / (ln + 1) + (s - ls) * (s - ls) / (n - ln + 1) - s * s / (n + 1) AS gain, ls / (ln + 1) AS low, (s - ls) / (n - ln + 1) AS high FROM (
+        SELECT {key}, feature, cut, count(*) AS n, count(*) FILTER (value <= cut) AS ln, sum(g) AS s, coalesce(sum(g) FILTER (value <= cut), 0) AS ls
+        FROM ({gradients}) JOIN long USING (i) JOIN cuts USING (feature) WHERE {others} GROUP BY ALL) WHERE ln > 0 AND ln < n)) WHERE rank = 1"""
+
+
+_LONG = f"long AS (UNPIVOT {_SIGN_ROWS} ON {', '.join(_SIGNS)} INTO NAME feature VALUE value)"
+_CLASS_GRADIENTS = f"""SELECT c.phase AS class, i, ((r.phase = c.phase)::INT - (c.n + 1) / (c.total + 4)::DOUBLE) * (r.total / (4 * r.n)::DOUBLE) AS g
+  FROM (SELECT * FROM {_SIGN_ROWS} JOIN sizes USING (phase)) r, sizes c"""
+_SIZES = "sizes AS (SELECT phase, count(*) AS n, sum(count(*)) OVER () AS total FROM diary GROUP BY 1)"
+
+
+def _signs(spark, d):
+    """Self-reports without gaps as a feature vector, with the class and its weight."""
+    rows = lens.diary(spark, d).withColumn("phase", F.when(F.col("phase") == "Ovulatory", "Fertility").otherwise(F.col("phase")))
+    return VectorAssembler(inputCols=list(_SIGNS), outputCol="features").transform(training.labelled(rows))
+
+
+@query(f"""SELECT CASE WHEN class = 'Ovulatory' THEN 'Fertility' ELSE class END AS class, feature, {r('cut')} AS threshold, {r('gain', 3)} AS gain, {r('low')} AS low, {r('high')} AS high
+  FROM ({_gain_sql(_CLASS_GRADIENTS, 'class')})""", "diary", ", ".join((_CUTS, _LONG, _SIZES)))
+def boosting_first_splits(spark, d):
+    """First cut of each class's tree in softmax boosting, its gain and leaves."""
+    own = Boosting(len(PHASES), rounds=1, depth=1, rate=1.0, least=2).fit(_signs(spark, d)).content["rounds"][0]
+    return rounded(_stumps(spark, own, list(PHASES), "class"))
+
+
+def _stumps(spark, trees, names, key):
+    rows = [(name, _SIGNS[t["feature"][0]], float(t["threshold"][0]), float(t["gain"][0]), *map(float, t["value"][1:3])) for name, t in zip(names, trees)]
+    found = spark.createDataFrame(rows, f"{key} string, feature string, threshold double, gain double, low double, high double")
+    return found.withColumn("gain", half_up(F.col("gain"), 3))
+
+
+_TARGETS = ("lh", "fatigue", "headache")
+_TARGET_GRADIENTS = " UNION ALL ".join(f"SELECT '{t}' AS target, i, {t} - avg({t}) OVER () AS g FROM {_SIGN_ROWS}" for t in _TARGETS)
+
+
+@query(f"""SELECT target, feature, {r('cut')} AS threshold, {r('gain', 3)} AS gain, {r('low')} AS low, {r('high')} AS high
+  FROM ({_gain_sql(_TARGET_GRADIENTS, 'target', 'feature <> target')})""", "diary", ", ".join((_CUTS, _LONG)))
+def boosting_regression_splits(spark, d):
+    """First cut of penalised regression boosting per target, from the other signs."""
+    trees = []
+    for target in _TARGETS:
+        others = [c for c in _SIGNS if c != target]
+        rows = VectorAssembler(inputCols=others, outputCol="features").transform(lens.diary(spark, d))
+        tree = Boosting(rounds=1, depth=1, rate=1.0, least=2).setLabelCol(target).fit(rows).content["rounds"][0][0]
+        trees.append(tree | {"feature": [_SIGNS.index(others[tree["feature"][0]])]})
+    return rounded(_stumps(spark, trees, _TARGETS, "target"))
+
+
+@query(f"""SELECT feature, {r('coalesce(gain, 0) / sum(gain) OVER ()', 4)} AS importance FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _SIGNS)}]) AS feature)
+  LEFT JOIN (SELECT feature, sum(gain) AS gain FROM ({_gain_sql(_CLASS_GRADIENTS, 'class')}) GROUP BY 1) USING (feature) ORDER BY 2 DESC, 1 LIMIT 15""",
+       "diary", ", ".join((_CUTS, _LONG, _SIZES)))
+def boosting_importance_top15(spark, d):
+    """Shares of the gain of a fitted softmax boosting, largest first."""
+    model = Boosting(len(PHASES), rounds=1, depth=1, rate=1.0, least=2).fit(_signs(spark, d))
+    return training.importances(spark.createDataFrame(list(zip(_SIGNS, model.importance)), "feature string, gain double"))
+
+
+_PLACES = list(enumerate(("1.0", *_SIGNS)))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'sum({a}::DOUBLE * {b}::DOUBLE)', 3)} AS value FROM diary" for i, a in _PLACES for j, b in _PLACES), "diary")
+def ridge_gram(spark, d):
+    """Sums of products that the ridge of all classes is solved from, in one scan."""
+    rows = lens.diary(spark, d).select(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in _SIGNS]).alias("z"))
+    return ridge.gram(rows, "z").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), half_up(F.col("value"), 3).alias("value"))
 
 
 def _fitted(spark, d):

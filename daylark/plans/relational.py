@@ -17,13 +17,13 @@ from daylark.sources import ingest
 QUERIES, ORACLES = {}, {}
 
 
-def query(oracle: str | None = None, needs: str = ""):
+def query(oracle: str | None = None, needs: str = "", ctes: str = ""):
     """Register a query under its function's name, with its oracle."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = sql(needs, oracle)
+            ORACLES[f.__name__] = sql(needs, oracle, ctes)
         return f
 
     return add

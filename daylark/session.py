@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,3 +24,17 @@ def build(master: str | None = None, app: str = "daylark", **conf: str) -> Spark
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the folder in ``spark.checkpoint.dir``, which driver and executors share: lineage starts there.
+
+    Only a local master may leave the setting out; it then gets a temporary folder.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='daylark-')}")
+    return rows.checkpoint()

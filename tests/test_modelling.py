@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daylark.functions import crypto
-from daylark.operators import impute, metrics, smoothing, splits, training
+from daylark.operators import impute, metrics, ridge, smoothing, splits, training
 from daylark.functions.scalar import PHASES
 
 
@@ -133,7 +133,7 @@ def test_ridge_against_normal_equations(spark):
     x, y = rng.normal(size=(60, 2)), rng.integers(0, 4, 60)
     x[:, 0] += y
     rows = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x.tolist(), y.tolist())], ["features", "label"])
-    got = [r.prediction for r in training.Ridge(strength=3.0).fit(rows).transform(rows).collect()]
+    got = [r.prediction for r in ridge.Ridge(strength=3.0).fit(rows).transform(rows).collect()]
     centred, out = x - x.mean(axis=0), []
     for k in range(4):
         target = np.where(y == k, 1.0, -1.0)
@@ -152,9 +152,48 @@ def test_training_picks_refits_saves_and_loads(spark, tmp_path):
     path = f"file://{tmp_path}/model"
     report, winner, (accuracy, _) = training.train_phase(frame, folds, "split", ["a", "b"], ["logistic", "ridge"], 2, path, rounds=2, trees=3, iterations=20)
     assert report.count() == 4 and winner in ("logistic", "ridge") and accuracy > 0.6
-    if winner == "logistic":
+    for names in (["logistic"], ["ridge"], ["boosting"]):
+        _, winner, (accuracy, _) = training.train_phase(frame, folds, "split", ["a", "b"], names, 2, path, rounds=2, trees=3, iterations=20)
         loaded = PipelineModel.load(path).transform(training.labelled(frame.where("split = 'test'")))
-        assert training.evaluate(loaded)[0] == accuracy
+        assert [winner] == names and training.evaluate(loaded)[0] == accuracy
+
+
+def test_gram_and_conjugate_gradients(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 4))
+    rows = spark.createDataFrame([(a,) for a in x.tolist()], "z array<double>").repartition(3)
+    got = np.zeros((4, 4))
+    for r in ridge.gram(rows, "z").collect():
+        got[r.i, r.j] = r.value
+    assert np.allclose(got, x.T @ x)
+    assert np.allclose(ridge.conjugate_gradients(got + np.eye(4), np.arange(4.0), 60), np.linalg.solve(got + np.eye(4), np.arange(4.0)))
+    assert ridge.gram(rows.limit(0), "z").count() == 0
+
+
+def test_smoothing_learns_from_the_other_folds_alone(spark):
+    """Participants of fold 0 change phase daily, those of fold 1 never: each fold is smoothed by the other's habit."""
+    days = [(p, d, PHASES[(d % 2) if p < 4 else (p % 2)]) for p in range(8) for d in range(12)]
+    rows = spark.createDataFrame(days, "participant_id int, day_in_study int, phase string")
+    folds = spark.createDataFrame([(p, 0 if p < 4 else 1) for p in range(8)], "participant_id int, fold int")
+    even = [(p, d, 0 if p < 4 else 1, 0.0, 0.0, [0.51, 0.49, 0.0, 0.0]) for p in range(8) for d in range(12)]
+    found = spark.createDataFrame(even, "participant_id int, day_in_study int, fold int, label double, prediction double, probabilities array<double>")
+    got = {}
+    for r in training.smoothed(found, rows, folds, 2).orderBy("participant_id", "day_in_study").collect():
+        got.setdefault(r.participant_id, []).append(r.prediction)
+    assert all(len(set(got[p])) == 1 for p in range(4)) and all(all(a != b for a, b in zip(got[p], got[p][1:])) for p in range(4, 8))
+    report = training.by_fold(found, "x").collect()
+    assert [(r.method, r.fold, r.accuracy) for r in report] == [("x", 0, 1.0), ("x", 1, 1.0)]
+
+
+def test_out_of_fold_covers_every_row_once(spark):
+    rng = np.random.default_rng(6)
+    data = [(p, d, PHASES[int(rng.integers(0, 4))], float(rng.normal())) for p in range(9) for d in range(5)]
+    rows = spark.createDataFrame(data, "participant_id int, day_in_study int, phase string, a double")
+    folds = spark.createDataFrame([(p, p % 3) for p in range(9)], "participant_id int, fold int")
+    for name in ("boosting", "logistic"):
+        found = training.out_of_fold(rows, folds, ["a"], name, 3, rounds=1, iterations=3)
+        assert found.count() == 45 and found.select("participant_id", "day_in_study").distinct().count() == 45
+        assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.fold == r.participant_id % 3 for r in found.collect())
 
 
 def test_importances_and_cluster_sizes(spark):
