@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daylark.functions.scalar import bmi, json_number
-from daylark.sources.ingest import overwrite
+from daylark.sources import versions
 
 KEYS = ("participant_id", "day_in_study")
 LEAST_COVERAGE = 0.5
@@ -122,6 +122,6 @@ def build_daily_features(tables: Mapping[str, DataFrame], interval_aware: bool =
 
 
 def refresh_daily_features(tables: Mapping[str, DataFrame], path: str, interval_aware: bool = False) -> DataFrame:
-    """Build the panel anew, put it in place of the one stored under ``path``, and return the stored one."""
-    overwrite(build_daily_features(tables, interval_aware), path)
-    return next(iter(tables.values())).sparkSession.read.parquet(path)
+    """Build the panel anew as the next version of the table under ``path``, and return that version; readers of others go on."""
+    number = versions.replace(build_daily_features(tables, interval_aware), path)
+    return versions.read(next(iter(tables.values())).sparkSession, path, number)

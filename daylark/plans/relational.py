@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from daylark.catalog import Field
+from daylark import session
+from daylark.catalog import Field, Table
 from daylark.functions import missing
 from daylark.functions.scalar import (
     PHASES, class_index, first_named, flag, half_up, json_number, prune_map, public_label, range_bound, range_position, softmax,
@@ -69,6 +72,21 @@ def ingest_rejects(spark, d):
     return ingest.rejected(ingest.typed(event_csv(spark, d), EVENT_FIELDS)).select("event_id", "reason")
 
 
+_FILES = 16
+
+
+@query(f"""SELECT event_id % {_FILES} AS file, row, CASE WHEN participant_id IS NULL THEN 'missing participant_id' ELSE 'missing value' END AS reason
+  FROM (SELECT t.*, row_number() OVER (PARTITION BY event_id % {_FILES} ORDER BY event_id) + 1 AS row FROM ({_TYPED}) t) WHERE participant_id IS NULL OR value IS NULL""")
+def ingest_numbered_rejects(spark, d):
+    """Events written as CSV files and read back in blocks: the rejects' places in their file."""
+    path = f"{session.shared_folder(spark)}/events-csv-{uuid.uuid4().hex}"
+    rows = event_csv(spark, d).withColumn("file", F.col("id").cast("long") % _FILES)
+    rows.repartition("file").sortWithinPartitions("file", F.col("id").cast("long")).write.partitionBy("file").option("header", True).csv(path)
+    raw = ingest.read_csv(spark, path, Table("events", "events", "day", (), EVENT_FIELDS))
+    found = ingest.rejected(ingest.typed(raw, EVENT_FIELDS))
+    return found.select(F.regexp_extract("__file", r"/file=(\d+)/", 1).cast("int").alias("file"), F.col("__row").alias("row"), "reason")
+
+
 @query("""SELECT DISTINCT participant_id, day_in_study FROM samples WHERE stream = 'hrv' AND (participant_id, day_in_study) NOT IN
   (SELECT (participant_id, day_in_study) FROM samples WHERE stream = 'glucose')""", "samples")
 def ingest_new_keys_anti(spark, d):

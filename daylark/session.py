@@ -26,15 +26,20 @@ def build(master: str | None = None, app: str = "daylark", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the folder in ``spark.checkpoint.dir``, which driver and executors share: lineage starts there.
-
-    Only a local master may leave the setting out; it then gets a temporary folder.
-    """
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; only a local master may leave it out."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='daylark-')}")
+        found = f"file://{tempfile.mkdtemp(prefix='daylark-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there: lineage starts anew, lost executors cost nothing done."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

@@ -9,7 +9,7 @@ from daylark import catalog
 from daylark.functions import missing, scalar
 from daylark.operators import daily, matching, panel, personal, profile
 from daylark.plans import catalogue
-from daylark.sources import ingest
+from daylark.sources import ingest, versions
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
@@ -52,9 +52,9 @@ def test_ingest_upserts_and_audits(spark, tmp_path):
     entry = ingest.ingest(spark, "height_weight", str(first), store).first()
     assert (entry.rows_inserted, entry.rows_rejected, entry.participants) == (2, 1, 2)
     ingest.ingest(spark, "height_weight", str(second), store)
-    got = {r.participant_id: (r.height_2022, r.weight_2022) for r in spark.read.parquet(f"{store}/height_weight").collect()}
+    got = {r.participant_id: (r.height_2022, r.weight_2022) for r in versions.read(spark, f"{store}/height_weight").collect()}
     assert got == {1: (160.0, 60.0), 2: (171.0, 70.0), 3: (180.0, 80.0)}
-    assert sorted(r[0] for r in spark.read.parquet(f"{store}/participants").collect()) == [1, 2, 3]
+    assert sorted(r[0] for r in versions.read(spark, f"{store}/participants").collect()) == [1, 2, 3]
     _, headers, known = ingest.preview(spark, str(first), catalog.lookup("height_weight"))
     assert len(headers) == 4 and len(known) == 3
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from daylark.sources import versions
 from daylark.streaming import daily
 
 
@@ -23,4 +24,4 @@ def test_upsert_stream_keeps_last(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     target = f"file://{tmp_path}/table"
     daily.upsert_stream(stream, target, ["k"], ["at"], str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r.k, r.v) for r in versions.read(spark, target).collect()) == [(1, "b"), (2, "c")]
