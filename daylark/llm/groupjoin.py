@@ -11,9 +11,10 @@ A document's tokens are the hashes of its distinct shingles; documents with equa
    texts): a node of h such tokens has to share ``h - n // 5`` of them with other groups, or it has no
    link outside its own. Nodes that are left enter the full matrix, where the bound holds with all tokens.
    For each of them, the groups that hold some of its rarest tokens (as many as it takes for one to be in
-   any link) are candidates, and those that hold enough of all its tokens qualify.
-3. Opening. A node is compared with the members of each group that qualifies, and a node that isn't tied to
-   its hub with those of its own group. Groups are opened in blocks of some ``BLOCK`` members.
+   any link) are candidates.
+3. Opening. Groups are kept in blocks of some ``BLOCK`` members with their token union. A candidate's block
+   qualifies if its union holds enough of the node's tokens; the node is then compared with its members. A node
+   that isn't tied to its hub is compared likewise with its own group.
 
 The bounds never lose a link; they tell which groups can't hold one.
 All comparisons count the shared tokens of both sets. Links are decided by ``100 * shared >= 80 * union``.
@@ -42,7 +43,7 @@ from daylark.llm.simhash import hashes
 WORDS, PERCENT = 5, 80
 #: Texts of at most so many tokens are bounded by all their tokens, longer ones by tokens below ``BELOW`` (5/16 of all hash values).
 SHORT, BELOW = 128, -(1 << 63) + 5 * (1 << 60)
-MINIMA, VOTES, BLOCK = 12, 6, 256
+MINIMA, VOTES, BLOCK = 12, 4, 256
 #: Rows of a node from which its component is looked up by broadcast.
 HOT = 1_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,8 +184,9 @@ def shared_between_groups(rows: DataFrame) -> DataFrame:
 def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between each query (g, node, label) and members of its ``g`` (g, node, label), one for each other label among them.
 
-    A label stands for nodes known to be connected. A task holds one block of members at a time and counts, for
-    each query in turn, the tokens that it shares with every member.
+    A label stands for nodes known to be connected. A task holds one block of members at a time with the union of their
+    tokens. A query that shares too few tokens with the union passes on, for others the block is opened: the tokens
+    shared with every member are counted.
     """
     blocks = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -215,6 +217,8 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int
                 every, owner, size, members_, labels_ = index
                 lo, hi = np.searchsorted(every, tokens), np.searchsorted(every, tokens, side="right")
                 n = hi - lo
+                if np.count_nonzero(n) < len(tokens) - len(tokens) * (100 - percent) // 100:
+                    continue  # the block's union holds too few of the tokens
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 shared = np.bincount(owner[at], minlength=len(size))
                 near = (100 * shared >= percent * (size + len(tokens) - shared)) & (labels_ != label)
@@ -227,8 +231,8 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int
     return rows.mapInArrow(run, "a long, b long")
 
 
-def qualifying(docs: DataFrame, homes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes that may link outside their group, (node, g) of the other groups that qualify, their token sets)."""
+def candidates(docs: DataFrame, homes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes that may link outside their group, (node, g) of the other groups that may hold a partner, their token sets)."""
     spare = F.floor(F.col("n") * (100 - percent) / 100).cast("long")
     first = stored(in_several(first_matrix(docs)).drop("n").join(homes.select("node", "n", "group"), "node"), "first-matrix")
     counted = shared_between_groups(first).where(f"n <= {SHORT} or token < {BELOW}").groupBy("node").agg(F.count(F.lit(1)).alias("s"))
@@ -242,9 +246,7 @@ def qualifying(docs: DataFrame, homes: DataFrame, percent: int) -> tuple[DataFra
     matrix = stored(own.select(F.col("group").alias("g"), F.explode("shared.token").alias("token")).distinct(), "matrix")
     probes = own.select("node", "n", "group", F.explode(F.slice("shared", F.lit(1), (F.size("shared") - _least("n", percent) + 1).cast("int"))).alias("x"))
     met = probes.select("node", "n", "group", "x.token").join(matrix, "token").where("g <> group").select("node", "g").distinct()
-    asked = met.join(own.select("node", "n", F.col("shared.token").alias("tokens")), "node").select("node", "n", "g", F.explode("tokens").alias("token"))
-    bound = asked.join(matrix, ["g", "token"]).groupBy("g", "node", "n").agg(F.count(F.lit(1)).alias("s"))
-    return own.select("node", "group"), stored(bound.where(F.col("s") >= _least("n", percent)).select("node", "g"), "qualified"), sets
+    return own.select("node", "group"), stored(met, "candidates"), sets
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +263,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> tuple[Da
     loose = labelled.where("label <> group")
     loose = loose.join(hubs, "group").withColumnRenamed("group", "g")
     within = opened(labelled.withColumnRenamed("group", "g").join(loose.select("g").distinct(), "g"), loose, sets, percent)
-    outside, asks, open_sets = qualifying(docs, homes, percent)
+    outside, asks, open_sets = candidates(docs, homes, percent)
     label = labelled.select("node", "label")
     across = opened(outside.withColumnRenamed("group", "g").join(label, "node"), asks.join(label, "node"), open_sets, percent)
     return homes, tied.unionByName(stored(within, "within")).unionByName(stored(across, "across"))
