@@ -32,6 +32,8 @@ LEAST, LONGEST, TOP, HELD_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Most words that are broadcast with their ids (some 100 bytes each), and a quarter of the pairs (16 bytes each).
 NAMES = 1_000_000
 BREAK, RARE = -1, -2
+#: Pairs that a task gathers before it counts them and passes the counts on.
+HELD_PAIRS = 2_000_000
 _CLEAN = bytes.maketrans(UPPER.encode() + b"\t" + b".,;:!?\n\x0b\x0c\r", UPPER.lower().encode() + b" " + b"\n" * 10)
 
 
@@ -171,7 +173,7 @@ def pair_counts(arrays: DataFrame, size: int, least: int) -> DataFrame:
             both = (ids[:-1] >= 0) & (ids[1:] >= 0)
             waiting.append((ids[:-1] * size + ids[1:])[both])
             n += len(waiting[-1])
-            if n > 8_000_000:
+            if n > HELD_PAIRS:
                 yield from counts()
                 waiting, n = [], 0
         if n:
