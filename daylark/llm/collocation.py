@@ -19,6 +19,7 @@ and the language aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ NAMES = 1_000_000
 BREAK, RARE = -1, -2
 #: Pairs that a task gathers before it counts them and passes the counts on.
 HELD_PAIRS = 2_000_000
+#: Texts that a task works on at a time.
+SLICE = 500
 _CLEAN = bytes.maketrans(UPPER.encode() + b"\t" + b".,;:!?\n\x0b\x0c\r", UPPER.lower().encode() + b" " + b"\n" * 10)
 
 
@@ -85,7 +88,7 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, size: int, most: int) -> Da
     shared = texts.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             out = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 table, words = shared.value.get(lang), words_of(text.as_py())
@@ -146,6 +149,12 @@ def _regrouped(found: DataFrame) -> DataFrame:
     return placed.select(F.col("x.pos").alias("pos"), F.col("x.id").alias("ids")).mapInArrow(run, "ids array<long>")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``SLICE`` texts, which bounds the arrays made of them."""
+    for at in range(0, len(batch), SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def _flat(column: pa.Array) -> np.ndarray:
     """All arrays of a batch in one, with a break after each."""
     sizes = np.diff(column.offsets.to_numpy())
@@ -168,7 +177,7 @@ def pair_counts(arrays: DataFrame, size: int, least: int) -> DataFrame:
             for at in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(f[at : at + 100_000])], names=["key", "f"])
 
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             ids = _flat(batch.column(0))
             both = (ids[:-1] >= 0) & (ids[1:] >= 0)
             waiting.append((ids[:-1] * size + ids[1:])[both])
@@ -194,7 +203,7 @@ def renamed(arrays: DataFrame, names: DataFrame, size: int, count: int, most: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = shared.value
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             flat, sizes = _flat(batch.column(0)), np.diff(batch.column(0).offsets.to_numpy())
             new = np.full(len(flat), BREAK)
             both = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
