@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daylark.functions.scalar import PHASES
@@ -34,6 +34,38 @@ def table_overview(tables: dict[str, tuple[DataFrame, bool]], person: str = "par
     return out
 
 
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose counts, and least and largest values of numbers and dates, Spark takes from file footers.
+
+    Only Spark's second reader does so: the source list is changed while the table is looked up, and set back.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", "")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+
+
+def footer_overview(spark: SparkSession, tables: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """(table_name, n_rows, day_min, day_max, populated) of Parquet tables by name, given as path and integer day column or None.
+
+    No data page is read: a table of any size costs one read of its footers. ``populated`` is 1 for a table with rows. The
+    row ``total`` has the sum of rows, the span over all tables and the number of populated ones. A table without rows counts 0.
+    """
+    every = None
+    for name, (path, day) in tables.items():
+        span = [F.min(day), F.max(day)] if day else []
+        found = footers(spark, path).agg(F.count(F.lit(1)).alias("n"), *[x.alias(c) for x, c in zip(span, ("low", "high"))])
+        ends = [F.col(c).cast("long") if day else F.lit(None).cast("long") for c in ("low", "high")]
+        one = found.select(F.lit(name).alias("table_name"), F.coalesce("n", F.lit(0)).alias("n"), ends[0].alias("low"), ends[1].alias("high"))
+        every = one if every is None else every.unionByName(one)
+    return every.rollup("table_name").agg(
+        F.sum("n").alias("n_rows"), F.min("low").alias("day_min"), F.max("high").alias("day_max"), F.count_if(F.col("n") > 0).alias("populated"), F.grouping("table_name").alias("__all"),
+    ).select(F.when(F.col("__all") == 1, "total").otherwise(F.col("table_name")).alias("table_name"), "n_rows", "day_min", "day_max", "populated")
+
+
 def missingness(panel: DataFrame, by: str, features: Sequence[str]) -> DataFrame:
     """Share of nulls per group and feature."""
     shares = panel.groupBy(by).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features])

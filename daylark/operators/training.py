@@ -7,15 +7,17 @@ medians, encodings and metrics are aggregates. Folds and splits keep a participa
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daylark.functions.scalar import PHASES, class_index, half_up
@@ -25,6 +27,8 @@ from daylark.operators.ridge import Ridge
 from daylark.session import checkpointed
 
 SEED = 42
+#: Fits that run side by side: each holds its estimator's state in executors and its model in the driver.
+AT_ONCE = 4
 
 
 def classifiers(width: int, rounds: int = 250, trees: int = 300, iterations: int = 60) -> dict[str, Callable[[], Estimator]]:
@@ -81,22 +85,59 @@ def evaluate(predicted: DataFrame) -> tuple[float, float]:
     return row["accuracy"], row["macro_f1"]
 
 
-def cross_validate(rows: DataFrame, folds: DataFrame, predictors: Sequence[str], names: Sequence[str], k: int, person: str = "participant_id", **sizes) -> DataFrame:
-    """(method, fold, accuracy, macro_f1) over all folds; medians and scales come from each fold's training rows."""
-    data = labelled(rows).join(folds.select(person, "fold"), person).cache()
-    out = []
-    for fold in range(k):
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], object]], at_once: int = AT_ONCE) -> list:
+    """Results of ``jobs`` in their order, ``at_once`` of them running at a time, each in a scheduler pool of its own.
+
+    A fit is a chain of small jobs that leaves executors idle; others fill them. In fair mode (``session.build`` sets it)
+    pools share executors evenly. After a failure no further job is started and the first error is raised.
+    """
+    failed = []
+
+    def guarded(at: int, job: Callable[[], object]):
+        if failed:
+            return None
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit {at % at_once}")
+        try:
+            return job()
+        except BaseException as error:
+            failed.append(error)
+            raise
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(guarded), at, job) for at, job in enumerate(jobs)]
+    if failed:
+        raise failed[0]
+    return [f.result() for f in running]
+
+
+def cross_validate(
+    rows: DataFrame, folds: DataFrame, predictors: Sequence[str], names: Sequence[str], k: int, person: str = "participant_id", at_once: int = AT_ONCE, **sizes
+) -> DataFrame:
+    """(method, fold, accuracy, macro_f1) over all folds; medians and scales come from each fold's training rows.
+
+    Each fold's vectors are written once to the shared folder, so that memory is bound by the ``at_once`` fits that run, not by
+    the grid. Folds without training or test rows are left out. The figures don't depend on ``at_once``.
+    """
+    spark = rows.sparkSession
+    data = checkpointed(labelled(rows).join(folds.select(person, "fold"), person))
+
+    def prepared(fold: int):
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
         if train.isEmpty() or test.isEmpty():
-            continue
+            return None
         design = Design(train, predictors)
-        fit_rows, test_rows = design(train).cache(), design(test).cache()
-        for name in names:
-            out.append((name, fold, *evaluate(classifiers(len(predictors), **sizes)[name]().fit(fit_rows).transform(test_rows))))
-        fit_rows.unpersist()
-        test_rows.unpersist()
-    data.unpersist()
-    return rows.sparkSession.createDataFrame(out, "method string, fold int, accuracy double, macro_f1 double")
+        return checkpointed(design(train).select("features", "label", "weight")), checkpointed(design(test).select("features", "label"))
+
+    vectors = side_by_side(spark, [lambda fold=fold: prepared(fold) for fold in range(k)], at_once)
+    cells = [(name, fold) for fold in range(k) if vectors[fold] for name in names]
+
+    def fitted(name: str, fold: int):
+        train, test = vectors[fold]
+        return evaluate(classifiers(len(predictors), **sizes)[name]().fit(train).transform(test))
+
+    scores = side_by_side(spark, [lambda cell=cell: fitted(*cell) for cell in cells], at_once)
+    out = [(name, fold, *score) for (name, fold), score in zip(cells, scores)]
+    return spark.createDataFrame(out, "method string, fold int, accuracy double, macro_f1 double")
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, predictors: Sequence[str], name: str, k: int, person: str = "participant_id", day: str = "day_in_study", **sizes) -> DataFrame:
@@ -183,23 +224,31 @@ def cluster_sizes(assigned: DataFrame, k: int, cluster: str = "cluster") -> Data
     return every.join(assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")), cluster, "left").na.fill(0, ["n"])
 
 
-def hormone_models(rows: DataFrame, split: str, targets: Sequence[str], predictors: Sequence[str], **sizes) -> tuple[DataFrame, dict]:
-    """Validation metrics per (target, method), and per target the model with the best R², the earlier on ties."""
+def hormone_models(rows: DataFrame, split: str, targets: Sequence[str], predictors: Sequence[str], at_once: int = AT_ONCE, **sizes) -> tuple[DataFrame, dict]:
+    """Validation metrics per (target, method), and per target the model with the best R², the earlier on ties.
+
+    Medians come from all training rows; a fit takes the rows that have its target. Fits run side by side over vectors that
+    are written once. A target without training or validation rows has no entry.
+    """
+    spark = rows.sparkSession
     design = Design(rows.where(F.col(split) == "train"), predictors)
-    data = design(rows).cache()
-    report, best = None, {}
-    for target in targets:
-        known = data.where(F.col(target).isNotNull())
-        train, val = known.where(F.col(split) == "train"), known.where(F.col(split) == "val")
-        for name, make in regressors(**sizes).items():
-            model = make().setLabelCol(target).fit(train)
-            one = metrics.regression_report(model.transform(val), target, "prediction").withColumns({"target": F.lit(target), "method": F.lit(name)})
-            found = one.collect()
-            one = rows.sparkSession.createDataFrame(found, one.schema)
-            r2 = found[0]["r2"]
-            if target not in best or r2 > best[target][0]:
-                best[target] = (r2, name, model)
-            report = one if report is None else report.unionByName(one)
+    data = checkpointed(design(rows).select("features", split, *targets))
+    parts = {t: [data.where(F.col(t).isNotNull() & (F.col(split) == part)) for part in ("train", "val")] for t in targets}
+    cells = [(t, name) for t in targets if not any(p.isEmpty() for p in parts[t]) for name in regressors(**sizes)]
+
+    def fitted(target: str, name: str):
+        train, val = parts[target]
+        model = regressors(**sizes)[name]().setLabelCol(target).fit(train)
+        return model, metrics.regression_report(model.transform(val), target, "prediction").first()
+
+    found = side_by_side(spark, [lambda cell=cell: fitted(*cell) for cell in cells], at_once)
+    best = {}
+    for (target, name), (model, row) in zip(cells, found):
+        if target not in best or row["r2"] > best[target][0]:
+            best[target] = (row["r2"], name, model)
+    figures = metrics.regression_report(data.limit(0).withColumn("prediction", F.lit(0.0)), targets[0], "prediction").schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in figures), "target string", "method string"])
+    report = spark.createDataFrame([(*row, *cell) for cell, (_, row) in zip(cells, found)], schema)
     return report, {t: (name, model, design) for t, (_, name, model) in best.items()}
 
 

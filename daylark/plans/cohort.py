@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from daylark import session
 from daylark.functions.scalar import cycle_day, cycle_day_from_anchor, sleep_minutes
 from daylark.operators import impute, matching, metrics, panel, personal, profile, training
 from daylark.plans import lens, modelling, relational
@@ -144,8 +145,10 @@ def dashboard_to_features(spark, d):
 
 @query("SELECT unnest(['" + "', '".join(personal.predictors()) + "']) AS feature")
 def predictor_selection(spark, d):
-    every = spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in personal.FEATURE_KEYS])).alias("feature"))
-    return every.where(~F.col("feature").isin(*personal.NOT_PREDICTORS))
+    """The columns of the study's panel that are a model's inputs."""
+    panel_columns = relational.study_panel(spark, d)
+    chosen = panel_columns.select(*personal.predictors([c for c in panel_columns.columns if c in personal.FEATURE_KEYS]))
+    return profile.feature_coverage(chosen, chosen.columns).select("feature")
 
 
 @query("""SELECT o_orderkey AS id, o_totalprice AS local_value, c.value AS cloud_value FROM (SELECT * FROM orders WHERE o_orderstatus = 'P')
@@ -230,3 +233,80 @@ def overall_metrics(spark, d):
     rows = table(spark, d, "labels").select("quality", "toxic").dropna()
     chance = F.when(F.col("quality") == F.col("toxic"), F.lit(0.8)).otherwise(F.lit(0.2))
     return metrics.overall(rows, "quality", "toxic", [0, 1], chance).select("n", "accuracy", "log_loss")
+
+
+# ---- a strategy per feature, counts from file metadata
+
+_MIXED = ("phase", "lh", "hrv_mean", "glucose_mean", "resp_rate_full", "bmi", "cramps", "fatigue")
+_MIXED_PLAN = impute.plan(_MIXED)
+_MEASURED, _SCALED = ("hrv_mean", "glucose_mean", "resp_rate_full", "bmi"), ("hrv_mean", "glucose_mean", "resp_rate_full", "bmi", "cramps")
+_MIXED_PANEL = f"""panel AS (SELECT participant_id, day_in_study, s.phase, {', '.join(f'{r(c)} AS {c}' if c in _MEASURED else c for c in _MIXED[1:7])},
+  'level ' || fatigue::INT AS fatigue FROM ({_PANEL}) p JOIN (SELECT participant_id, day_in_study, phase, lh, cramps, fatigue FROM selfreport) s USING (participant_id, day_in_study)),
+  train AS (SELECT * FROM panel WHERE {relational._SPLIT} = 'train')"""
+_AT = "md5(participant_id || ':' || day_in_study)"
+_USUAL = {c: f"(SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min({_AT}) LIMIT 1)" for c in ("cramps", "fatigue")}
+
+
+def _guarded(c):
+    return f"(CASE WHEN count({c}) > 0 THEN CASE WHEN stddev_samp({c}) <= 1e-9 OR stddev_samp({c}) IS NULL THEN 1.0 ELSE stddev_samp({c}) END END)"
+
+
+def _learned_sql(f):
+    number = f.name in _SCALED
+    fallback = {"continuous": r(f"quantile_cont({f.name}, 0.5)") + ", NULL", "categorical": f"{_USUAL.get(f.name)}, NULL" if number else f"NULL, {_USUAL.get(f.name)}"}.get(f.kind, "NULL, NULL")
+    spread = f"{r(f'avg({f.name})')}, {r(_guarded(f.name))}" if number else "NULL, NULL"
+    return f"SELECT '{f.name}', '{f.strategy}', {fallback}, {spread}, count({f.name}), count(*) - count({f.name}) FROM train"
+
+
+def _mixed(spark, d):
+    """Measured, ordinal (numbers and words), hormone and label columns in one table; stored, as statistics, reference and rows read it."""
+    words = F.concat(F.lit("level "), F.col("fatigue").cast("int").cast("string")).alias("fatigue")
+    return session.checkpointed(rounded(relational.study_panel(spark, d).select("participant_id", "day_in_study", *_MIXED[:-1], words)))
+
+
+@query(f"""SELECT feature, strategy, fallback_number::DOUBLE AS fallback_number, fallback_word::VARCHAR AS fallback_word, mean::DOUBLE AS mean, std::DOUBLE AS std, train_non_null, train_missing
+  FROM ({' UNION ALL '.join(map(_learned_sql, _MIXED_PLAN))}) AS t(feature, strategy, fallback_number, fallback_word, mean, std, train_non_null, train_missing)""",
+       "phase_panel body selfreport", _MIXED_PANEL)
+def imputation_statistics(spark, d):
+    """What each feature's strategy learns from training rows."""
+    found = impute.learned(_mixed(spark, d).where(relational.split_of() == "train"), ["participant_id", "day_in_study"], _MIXED_PLAN)
+    number = F.col("fallback").try_cast("double")
+    return rounded(found.select("feature", "strategy", number.alias("fallback_number"), F.when(number.isNull(), F.col("fallback")).alias("fallback_word"),
+                                "mean", "std", "train_non_null", "train_missing"))
+
+
+_SHARE = " + ".join(f"(a.z{k} IS NOT NULL AND b.z{k} IS NOT NULL)::INT" for k in range(len(_SCALED)))
+_APART = " + ".join(f"coalesce((a.z{k} - b.z{k}) * (a.z{k} - b.z{k}), 0)" for k in range(len(_SCALED)))
+_FILLED = (*_MEASURED, "cramps", "fatigue")
+_TIMES = "list_transform({0}, lambda x: len(list_filter({0}, lambda y: y = x)))"
+_OFTEN = lambda c: "near_{0}[list_position({1}, list_max({1}))]".format(c, _TIMES.format(f"near_{c}"))
+_KEY = f"CASE WHEN n > 0 THEN round(sqrt(gap / greatest(n, 1) * {len(_FILLED)}) * 1000000)::BIGINT * 2048 ELSE 4000000000000000 END + b.ref"
+
+
+@query(f"""SELECT participant_id, day_in_study, phase, lh, {', '.join(r(f'coalesce(p.{c}, list_avg(near_{c}), {c}_q)') + f' AS {c}' for c in _MEASURED)},
+  {', '.join(f'coalesce(p.{c}, {_OFTEN(c)}, {_USUAL[c]}) AS {c}' for c in ('cramps', 'fatigue'))} FROM panel p LEFT JOIN (
+  SELECT participant_id, day_in_study, {', '.join(f'min_by(b.{c}, key, 5) FILTER (b.{c} IS NOT NULL) AS near_{c}' for c in _FILLED)} FROM (
+  SELECT a.participant_id, a.day_in_study, b, {_KEY} AS key FROM (SELECT a, b, {_SHARE} AS n, {_APART} AS gap FROM scaled a, refs b WHERE a.gaps))
+  GROUP BY 1, 2) USING (participant_id, day_in_study), stats""", "phase_panel body selfreport", f"""{_MIXED_PANEL},
+  stats AS (SELECT {', '.join(f'avg({c}) AS {c}_m, {_guarded(c)} AS {c}_s, quantile_cont({c}, 0.5) AS {c}_q' for c in _SCALED)} FROM train),
+  scaled AS (SELECT panel.*, {', '.join(f'({c} - {c}_m) / {c}_s AS z{k}' for k, c in enumerate(_SCALED))}, {' OR '.join(f'{c} IS NULL' for c in _FILLED)} AS gaps FROM panel, stats),
+  refs AS (SELECT *, row_number() OVER (ORDER BY {_AT}, participant_id, day_in_study) AS ref FROM scaled WHERE {relational._SPLIT} = 'train' QUALIFY ref <= 1200)""")
+def impute_by_strategy(spark, d):
+    """Means and most frequent values of neighbours for measurements and ordinals; hormones and the label keep their gaps."""
+    rows = _mixed(spark, d)
+    return rounded(impute.impute(rows, rows.where(relational.split_of() == "train"), ["participant_id", "day_in_study"], _MIXED_PLAN))
+
+
+#: The integer column of each given table whose span stands for the span of days.
+_SPANS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+    "lineitem": "l_orderkey", "events": "event_id", "documents": None, "embeddings": None, "pages": None, "benchmark": None, "labels": None, "conversations": None,
+}
+
+
+@query(f"""SELECT coalesce(table_name, 'total') AS table_name, sum(n)::BIGINT AS n_rows, min(a)::BIGINT AS day_min, max(b)::BIGINT AS day_max, count(*) FILTER (n > 0) AS populated
+  FROM ({' UNION ALL '.join(f"SELECT '{t}', count(*), {f'min({c}), max({c})' if c else 'NULL, NULL'} FROM {t}" for t, c in _SPANS.items())}) AS t(table_name, n, a, b)
+  GROUP BY ROLLUP (table_name)""")
+def metadata_overview(spark, d):
+    """Rows and spans of every given table from file footers alone, and their totals."""
+    return profile.footer_overview(spark, {t: (f"{d}/{t}.parquet", c) for t, c in _SPANS.items()})

@@ -59,6 +59,21 @@ def diary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Self-reported columns: value (participant * a + day * b) mod m, missing where (participant + c * day) mod 7 is 3.
+SELF_REPORTS = {
+    "lh": (11, 13, 120, 1), "estrogen": (7, 17, 300, 2), "pdg": (5, 3, 20, 3), "cramps": (1, 4, 6, 4), "bloating": (2, 3, 6, 5),
+    "fatigue": (3, 2, 6, 6), "headaches": (4, 1, 6, 1), "sorebreasts": (5, 2, 6, 2), "moodswing": (3, 5, 6, 3), "stress": (2, 5, 6, 4),
+    "sleepissue": (1, 5, 6, 5),
+}
+
+
+def selfreport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel's days with hormones and ordinal self-reports, with gaps."""
+    p, d = F.col("participant_id"), F.col("day_in_study")
+    values = [F.when((p + c * d) % 7 != 3, (p * a + d * b) % m).cast("double").alias(n) for n, (a, b, m, c) in SELF_REPORTS.items()]
+    return phase_panel(spark, sf_dir).select("participant_id", "day_in_study", "phase", *values)
+
+
 def body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body surveys of the customers, each missing for some."""
     k, a = F.col("c_custkey"), F.abs("c_acctbal")
@@ -142,12 +157,15 @@ CTES = {
       ((participant_id * day_in_study) % 11)::DOUBLE AS cramps, ((participant_id + 2 * day_in_study) % 10)::DOUBLE AS fatigue,
       ((2 * participant_id + day_in_study) % 9)::DOUBLE AS headache, ((participant_id * 11 + day_in_study * 13) % 120)::DOUBLE AS lh,
       'note ' || day_in_study AS notes FROM phase_panel""",
+    "selfreport": "SELECT participant_id, day_in_study, phase, " + ", ".join(
+        f"CASE WHEN (participant_id + {c} * day_in_study) % 7 <> 3 THEN ((participant_id * {a} + day_in_study * {b}) % {m})::DOUBLE END AS {n}"
+        for n, (a, b, m, c) in SELF_REPORTS.items()) + " FROM phase_panel",
     "body": """SELECT c_custkey::INT AS participant_id, CASE WHEN c_custkey % 2 = 0 THEN (150 + c_custkey % 40)::DOUBLE END AS height_2022,
       CASE WHEN c_custkey % 3 <> 0 THEN 45 + abs(c_acctbal) % 50 END AS weight_2022,
       CASE WHEN c_custkey % 5 = 0 THEN (151 + c_custkey % 40)::DOUBLE END AS height_2024,
       CASE WHEN c_custkey % 4 = 0 THEN 46 + abs(c_acctbal) % 50 END AS weight_2024 FROM customer""",
 }
-_NEEDS = {"spine": ["samples"], "phase_panel": ["samples", "spine"], "diary": ["samples", "spine", "phase_panel"]}
+_NEEDS = {"spine": ["samples"], "phase_panel": ["samples", "spine"], "diary": ["samples", "spine", "phase_panel"], "selfreport": ["samples", "spine", "phase_panel"]}
 
 
 def sql(needs: str, query: str, ctes: str = "", recursive: str = "") -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daylark.functions import crypto
 from daylark.functions.scalar import PHASES, half_up
-from daylark.operators import impute, metrics, panel, profile, ridge, smoothing, splits, training
+from daylark.operators import impute, metrics, panel, personal, profile, ridge, smoothing, splits, training
 from daylark.operators.boosting import Boosting
 from daylark.plans import lens, relational
 from daylark.plans.lens import r, rounded, table
@@ -155,16 +155,30 @@ def cv_mean_std(spark, d):
     return metrics.over_folds(folds, ["l_linestatus"], ["hit"])
 
 
+HORMONES = ("lh", "estrogen", "pdg")
+
+
+def split_panel(spark, d):
+    """The whole panel with each row's split, and its fold in the pool of train and val, looked up in the stored assignments; written once."""
+    found = checkpointed(splits.stratified_split(people(spark, d), "participant_id", "dominant"))
+    folds = splits.stratified_folds(found.where("split <> 'test'"), "participant_id", "dominant").select("participant_id", "fold")
+    assigned = checkpointed(found.select("participant_id", "split").join(folds, "participant_id", "left"))
+    return checkpointed(relational.study_panel(spark, d).join(assigned, "participant_id")), assigned
+
+
 @query()
 def hormone_regression_metrics(spark, d):
-    rows = study_rows(spark, d).withColumn("split", relational.split_of())
-    return training.hormone_models(rows, "split", ["lh"], [p for p in PREDICTORS if p != "lh"], **SIZES)[0]
+    """Three hormones by three methods, from all predictors but the hormones."""
+    rows, _ = split_panel(spark, d)
+    return training.hormone_models(rows.drop("fold"), "split", HORMONES, [p for p in personal.predictors() if p not in HORMONES], **SIZES)[0]
 
 
 @query()
 def phase_cv_metrics(spark, d):
-    folds = splits.stratified_folds(people(spark, d), "participant_id", "dominant", 2)
-    return training.cross_validate(study_rows(spark, d), folds, PREDICTORS, ["forest", "logistic"], 2, **CLASSIFIER_SIZES)
+    """Five folds of the pool by three methods, from all predictors; the splits and folds are the stored ones."""
+    rows, assigned = split_panel(spark, d)
+    pool = rows.where("split <> 'test'").drop("fold")
+    return training.cross_validate(pool, assigned, personal.predictors(), ["boosting", "forest", "logistic"], 5, **CLASSIFIER_SIZES)
 
 
 @query()

@@ -200,6 +200,18 @@ def daily_features(spark, d):
     return daily.build_daily_features(tables)
 
 
+def study_panel(spark, d):
+    """The panel of all eight sides, the body table, hormones and self-reports."""
+    more = {"sleep_score": ("sleep", daily.SLEEP_SCORE), "resting_heart_rate": ("hrv", daily.RESTING),
+            "respiratory_rate_summary": ("respiratory", daily.RESPIRATORY), "stress_score": ("wrist", daily.STRESS)}
+    tables = {name: lens.scaled(spark, d, stream, columns) for name, (stream, columns) in more.items()} | {
+        "hormones_selfreport": lens.selfreport(spark, d), "hrv_details": lens.hrv(spark, d), "glucose": lens.glucose(spark, d),
+        "wrist_temperature": lens.wrist(spark, d), "height_weight": lens.body(spark, d),
+        "sleep": lens.sleep(spark, d).withColumn("sleep_start_day_in_study", F.col("day_in_study")),
+    }
+    return daily.build_daily_features(tables)
+
+
 _PANEL = f"""SELECT p.*, h.* EXCLUDE (participant_id, day_in_study), s.* EXCLUDE (participant_id, day_in_study),
   q.* EXCLUDE (participant_id, day_in_study), g.* EXCLUDE (participant_id, day_in_study), w.* EXCLUDE (participant_id, day_in_study),
   b.* EXCLUDE (participant_id) FROM phase_panel p LEFT JOIN ({_HRV}) h USING (participant_id, day_in_study)
