@@ -59,10 +59,11 @@ def footer_overview(spark: SparkSession, tables: Mapping[str, tuple[str, str | N
         span = [F.min(day), F.max(day)] if day else []
         found = footers(spark, path).agg(F.count(F.lit(1)).alias("n"), *[x.alias(c) for x, c in zip(span, ("low", "high"))])
         ends = [F.col(c).cast("long") if day else F.lit(None).cast("long") for c in ("low", "high")]
-        one = found.select(F.lit(name).alias("table_name"), F.coalesce("n", F.lit(0)).alias("n"), ends[0].alias("low"), ends[1].alias("high"))
+        one = found.select(F.lit(name).alias("table_name"), "n", ends[0].alias("low"), ends[1].alias("high"))
         every = one if every is None else every.unionByName(one)
+    # a table without a row group has no pushed count at all, so the sum's null is what stands for 0
     return every.rollup("table_name").agg(
-        F.sum("n").alias("n_rows"), F.min("low").alias("day_min"), F.max("high").alias("day_max"), F.count_if(F.col("n") > 0).alias("populated"), F.grouping("table_name").alias("__all"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.min("low").alias("day_min"), F.max("high").alias("day_max"), F.count_if(F.col("n") > 0).alias("populated"), F.grouping("table_name").alias("__all"),
     ).select(F.when(F.col("__all") == 1, "total").otherwise(F.col("table_name")).alias("table_name"), "n_rows", "day_min", "day_max", "populated")
 
 
