@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the working tables that this process has made; call it when their results have been written."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+def made() -> int:
+    """How many working tables this process holds; a mark for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, but: Sequence[str] = ()) -> None:
+    """Delete the working tables made after the mark ``since``, ``but`` those; call it when their results have been written."""
+    kept = [p for p in _MADE[since:] if p in but]
+    for name in [p for p in _MADE[since:] if p not in but]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[since:] = kept
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return stored_at(df, new_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def without(docs: DataFrame, id_col: str, mark: Column, gone: DataFrame, tied: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from itertools import islice
 from operator import eq
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,8 @@ class Document:
 
     @cached_property
     def n_upper(self) -> int:
-        return count_of(self.raw, _UPPER) + sum(map(str.isupper, self.beyond_ascii))
+        # Roman numerals and circled letters are upper case too, but no letters
+        return count_of(self.raw, _UPPER) + sum(category(c) == "Lu" for c in filter(str.isupper, self.beyond_ascii))
 
     @cached_property
     def n_letters(self) -> int:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -449,7 +450,7 @@ def brute_verdict(text):
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     n, repeats = len(words), brute_repeats(words)
     size = lambda parts: sum(len(x.encode()) for x in parts)
-    upper, alpha, chars = sum(map(str.isupper, text)), sum(map(str.isalpha, text)), sum(map(len, words))
+    upper, alpha, chars = sum(unicodedata.category(c) == "Lu" for c in text), sum(map(str.isalpha, text)), sum(map(len, words))
     failed = n < 20 or repeats > 0.3 * n
     rejected = (
         len(re.findall(r"[#*$%&|<>]", text)) > 0.3 * n or size(lines) - size(set(lines)) > 0.3 * len(text.encode()) or upper > 20 and upper > 0.5 * alpha
@@ -951,3 +952,13 @@ def test_working_tables_can_be_released(spark, docs):
     import os
 
     assert not os.path.exists(path) and not common._MADE
+
+
+def test_roman_numerals_and_circled_letters_do_not_shout(spark):
+    """They are upper case but no letters: such a text has no more capitals than the letters that it has."""
+    quiet = " ".join(["Ⅳ Ⓐ Ⅷ"] * 4 + [f"wort{k} ding{k} haus{k}" for k in range(20)])
+    loud = " ".join(["ÄÖÜ"] * 4 + [f"WORT{k} ÜBER{k} HAUS{k}" for k in range(20)])
+    found = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([(1, quiet), (2, loud)], "doc_id long, text string"), ["doc_id"]).collect()}
+    assert found == {1: brute_verdict(quiet)[-1], 2: brute_verdict(loud)[-1]} and not found[2]
+    marks = quality.Document("ⅣⒶⅧ Ab")
+    assert (marks.n_upper, marks.n_letters) == (1, 2)

@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table: each keeps a subset, with the columns of documents, by its operator."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from daylark.llm import exact_dedup, mixing, quality, simhash
+from daylark.llm import common, exact_dedup, mixing, quality, simhash
 from tests.llm.test_operators import brute_components, brute_print, brute_verdict, lower
 
 
@@ -78,3 +79,19 @@ def test_stages_take_an_empty_table(spark):
         docs = stage(spark, docs, "")
         assert docs.count() == 0 and docs.columns[-2:] == ["__gone", "mark"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_run_leaves_only_the_table_that_its_result_reads(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    other = common.stored(docs.select("doc_id"), "of-another-query")
+    before = common.made()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = common._MADE[before:]
+    assert len(left) == 1 and "mixing" in left[0] and other.count() == 60
+    shared = common.shared_dir(spark).removeprefix("file://")
+    kinds = {"-".join(n.split("-")[:-1]) for n in os.listdir(shared)}
+    assert not kinds & {"quality-rules", "exact-dedup", "near-dedup"}
+    assert out.count() > 0
+    common.release(spark, before)
+    assert common.made() == before
