@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from daylark.llm import exact_dedup, mixing, quality, simhash, sptok
-from daylark.llm.common import stored, table
+from daylark.llm.common import made, new_path, release, stored_at, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage read or made on the way is deleted once its own rows are written.
+
+    The result reads the rows of the last stage but one, whose table ``common.release`` deletes afterwards.
+    """
+    docs, start = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if stage is not tokens:
-            docs = stored(docs, name.replace(" ", "-"))
+            path = new_path(spark, name.replace(" ", "-"))
+            docs = stored_at(docs, path)
+            release(spark, start, [path])
     return docs
