@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import SPACES, crc_bucket, stored
+from daylark.llm.common import SPACES, crc_bucket, least_count, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: One in so many training documents sets the mixing weights.
@@ -342,18 +342,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def least_count(words: DataFrame, column: str, most: int) -> float:
-    """A count that at most ``most`` rows reach, from a histogram of the counts' sizes; infinite if all sizes have more."""
-    size = F.floor(F.log2(F.col(column).cast("double")) * 8).cast("int")
-    histogram = words.where(F.col(column) > 0).groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect()
-    total, least = 0, math.inf
-    for level, n in sorted(((r[0], r[1]) for r in histogram), reverse=True):
-        if total + n > most:
-            break
-        total, least = total + n, 2 ** (level / 8) * (1 - 1e-9)
-    return least
-
-
 def sliced(sums: np.ndarray) -> pa.RecordBatch:
     """The parts of a table that are not all zero, packed."""
     own = [(k, sums[k : k + SLICE]) for k in range(0, len(sums), SLICE)]

@@ -1,37 +1,48 @@
-"""SentencePiece encoding and decoding through a table of distinct chunks.
+"""SentencePiece encoding and decoding through one table of the corpus's distinct chunks.
 
 The model's pieces never hold a white-space marker after another character (checked when the model
 is loaded), so no merge crosses from a word into the next marker. A text is cut there: a chunk is a
-run of markers and the characters up to the next marker. Each task keeps a table of the distinct
-chunks it has met; a chunk is segmented once, and the ids of a text are joined back by position.
+run of markers and the characters up to the next marker. ``chunk_table`` counts the chunks of all
+texts and segments each distinct one once. Ids are joined back by position: those of the chunks
+counted most often (``HEAD_CHUNKS`` rows of at most ``HEAD_BYTES`` bytes of ids) are broadcast, and a
+text leaves a hole where another chunk stands; (text, places, chunk) of the holes are joined with the
+table and gathered per text, whose digest ties them to its rows. Texts themselves are never shuffled.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty
-string. Null ids pass through; repeated rows are encoded each. The text is split without limits on
-its length; the table is cleared when it reaches ``TABLE_CHUNKS`` entries. An empty table gives an
-empty result. Columns other than the keys and the text are not read.
+string. Null ids pass through; repeated rows are encoded each, and share the ids of their holes. The
+text is split without limits on its length. An empty table gives an empty result. Columns other than
+the keys and the text are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daylark.llm.common import least_count, stored
+
 MARK = "▁"
-#: Most entries of a task's chunk table, and most characters of a chunk that it keeps.
-TABLE_CHUNKS, TABLE_CHARS = 300_000, 64
+#: Rows of the table that are broadcast at most, and bytes of ids that such a row holds at most.
+HEAD_CHUNKS, HEAD_BYTES = 200_000, 256
+#: Longer chunks go by the digest of their characters where only their name is needed.
+NAME_CHARS = 64
+#: Distinct chunks that a counting task holds before it passes them on.
+HELD_CHUNKS = 400_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-class ChunkTable:
-    """Distinct chunks of one model, each keyed without its first marker: (ids joined by commas, ids)."""
+class Segmenter:
+    """A model that segments chunks, each given without its first marker."""
 
     def __init__(self, model: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -39,71 +50,158 @@ class ChunkTable:
         crossing = [p for p in pieces if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces cross white-space markers, so chunks can't be segmented alone: {crossing[:3]}")
-        lone = self.model.piece_to_id(MARK)
-        if [lone, *self.model.encode("a")] != self.model.encode(" a"):
+        self.lone = self.model.piece_to_id(MARK)
+        if [self.lone, *self.model.encode("a")] != self.model.encode(" a"):
             raise ValueError("the model doesn't put one marker before a text, or it drops spaces")
-        self.lone = (str(lone), (lone,))
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {"": self.lone}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The chunks of a text, each without its first marker (the first one has the model's own marker)."""
-        if MARK not in text and "  " not in text and text[:1] != " " and text[-1:] != " ":
-            return text.split(" ") if text else []
-        return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
-
-    def encode(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
-        """Per text its chunks' entries in order; chunks not met before are segmented in one call."""
-        cut = [self.chunks(t) for t in texts]
-        new = [c for c in set(chain.from_iterable(cut)) if c not in self.known]
-        entries = self.known
-        if len(entries) + len(new) > TABLE_CHUNKS:
-            entries = {c: entries[c] for c in set(chain.from_iterable(cut)) if c in entries}
-            entries[""] = self.lone
-            self.known = dict(entries)
-        for c, ids in zip(new, self.model.encode(new, num_threads=1)):
-            entries[c] = (",".join(map(str, ids)), tuple(ids))
-        found = [[entries[c] for c in own] for own in cut]
-        for c in new:
-            if len(c) > TABLE_CHARS:
-                del entries[c]
-        return found
+        #: How ids are kept; the largest value marks a hole.
+        self.kind = np.dtype("<u2" if len(pieces) < 0xFFFF else "<u4")
+        self.hole = np.array([np.iinfo(self.kind).max], self.kind).tobytes()
+        self.names = [str(k) for k in range(len(pieces))]
+
+    def segment(self, chunks: list[str]) -> list[bytes]:
+        found = self.model.encode(chunks, num_threads=1)
+        return [np.array(ids if c else [self.lone], self.kind).tobytes() for c, ids in zip(chunks, found)]
 
 
 @lru_cache(maxsize=2)
-def table_of(model: str) -> ChunkTable:
-    return ChunkTable(model)
+def segmenter(model: str) -> Segmenter:
+    return Segmenter(model)
 
 
-def encode_texts(
-    docs: DataFrame, keys: list[str], model: str, text_col: str = "text", with_ids: bool = False, batch_chars: int = 4_000_000
-) -> DataFrame:
-    """``keys`` with the number of ids, digests of ids and decoded text, and the ids themselves if asked for."""
-    wanted = docs.select(*keys, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
-    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    names = [*keys, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model)
+def chunks(text: str) -> list[str]:
+    """The chunks of a text, each without its first marker (the first one has the model's own marker)."""
+    if MARK not in text and "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ") if text else []
+    return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+
+
+def name(chunk: str) -> str:
+    """The chunk, or for a long one its digest after a marker that no chunk has at that place."""
+    return chunk if len(chunk) <= NAME_CHARS else f"#{MARK}{sha256(chunk.encode()).hexdigest()}"
+
+
+def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """(name, n, ids): every distinct chunk of all texts, how often it occurs, and its ids; segmented once each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def drain() -> pa.RecordBatch:
+            made = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(made, names=["chunk", "n"])
+
         for batch in batches:
-            column = batch.column(len(keys))
-            start = 0
-            while start < len(column):
-                texts, size = [], 0
-                while start + len(texts) < len(column) and size < batch_chars:
-                    texts.append(column[start + len(texts)].as_py() or "")
-                    size += len(texts[-1])
-                rows = []
-                for entries in table.encode(texts):
-                    ids = list(chain.from_iterable(e[1] for e in entries))
-                    joined = ",".join([e[0] for e in entries])
-                    text = table.model.decode(ids) if ids else ""
-                    rows.append((len(ids), sha256(joined.encode()).hexdigest(), sha256(text.encode()).hexdigest(), *[ids] * with_ids))
-                made = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-                own = [c.slice(start, len(texts)) for c in batch.columns[: len(keys)]]
-                yield pa.RecordBatch.from_arrays([*own, *made], names=names)
-                start += len(texts)
-
-    return wanted.mapInArrow(run, schema)
+            for text in batch.column(0):
+                found.update(chunks(text.as_py() or ""))
+                if len(found) > HELD_CHUNKS:
+                    yield drain()
+        yield drain()
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = segmenter(model)
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            made = [pa.array([name(c) for c in own], pa.string()), batch.column(1), pa.array(known.segment(own), pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["name", "n", "ids"])
+
+    counted = docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(segment, "name string, n long, ids binary")
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches of about 4,000,000 characters or one row, with their texts."""
+    for batch in batches:
+        start, texts, size = 0, [], 0
+        for text in batch.column(column):
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= 4_000_000:
+                yield batch.slice(start, len(texts)), texts
+                start, texts, size = start + len(texts), [], 0
+        if texts:
+            yield batch.slice(start, len(texts)), texts
+
+
+def filled(known: np.ndarray, hole: int, fixes: list[dict] | None) -> np.ndarray:
+    """The ids of a text: ``known`` with the ids of the other chunks put where the holes are, by their places."""
+    at = np.flatnonzero(known == hole)
+    if not len(at):
+        return known
+    by_place: dict[int, np.ndarray] = {}
+    for fix in fixes:
+        ids = np.frombuffer(fix["ids"], known.dtype)
+        by_place.update(dict.fromkeys(np.frombuffer(fix["places"], "<u4").tolist(), ids))
+    parts, start = [], 0
+    for end, place in zip(at.tolist(), sorted(by_place), strict=True):
+        parts += [known[start:end], by_place[place]]
+        start = end + 1
+    return np.concatenate([*parts, known[start:]])
+
+
+def join_ids(docs: DataFrame, keys: list[str], table: DataFrame, model: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``encode_texts`` with the ids of a stored ``chunk_table`` that holds every chunk of ``docs``."""
+    spark = docs.sparkSession
+    short = F.octet_length("ids") <= HEAD_BYTES
+    least = least_count(table.where(short), "n", HEAD_CHUNKS)
+    head = table.where(short & (F.col("n") >= least)).select("name", "ids").toArrow()
+    common = spark.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist())))
+    rows = docs.select(F.struct(*keys).alias("keys"), F.col(text_col).alias("text"))
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of each chunk that isn't broadcast, in each text that has one."""
+        head = common.value
+        for _, texts in texts_of(batches, 0):
+            out: tuple[list, ...] = ([], [], [])
+            for text in texts:
+                places: dict[str, list[int]] = {}
+                for k, c in enumerate(chunks(text)):
+                    if c not in head and (own := name(c)) not in head:
+                        places.setdefault(own, []).append(k)
+                if places:
+                    out[0].extend([sha256(text.encode()).digest()] * len(places))
+                    out[1].extend(places)
+                    out[2].extend(np.array(p, "<u4").tobytes() for p in places.values())
+            made = [pa.array(c, kind) for c, kind in zip(out, (pa.binary(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(made, names=["digest", "name", "places"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each text, packed, with a hole for each chunk that isn't broadcast."""
+        head, pack = common.value, zstandard.ZstdCompressor(level=1)
+        hole = segmenter(model).hole
+        for part, texts in texts_of(batches, 1):
+            packed = []
+            for text in texts:
+                own = [head.get(c) or head.get(name(c), hole) for c in chunks(text)]
+                packed.append(pack.compress(b"".join(own)))
+            made = [part.column(0), pa.array([sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["keys", "digest", "known"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unpack = segmenter(model), zstandard.ZstdDecompressor()
+        hole = int(np.iinfo(own.kind).max)
+        kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                made = []
+                for known, fixes in zip(part.column(1), part.column(2)):
+                    ids = filled(np.frombuffer(unpack.decompress(known.as_py()), own.kind), hole, fixes.as_py()).tolist()
+                    text = own.model.decode(ids) if ids else ""
+                    joined = ",".join(map(own.names.__getitem__, ids))
+                    made.append((len(ids), sha256(joined.encode()).hexdigest(), sha256(text.encode()).hexdigest(), *[ids] * with_ids))
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*made), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["keys", *names])
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kind = rows.schema["keys"].dataType.simpleString()
+    found = rows.select("text").mapInArrow(holes, "digest binary, name string, places binary").distinct()
+    fixes = found.join(table.select("name", "ids"), "name").groupBy("digest").agg(F.collect_list(F.struct("places", "ids")).alias("fixes"))
+    joined = rows.mapInArrow(look_up, f"keys {kind}, digest binary, known binary").join(fixes, "digest", "left").select("keys", "known", "fixes")
+    made = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "string", "array<int>")))
+    return joined.mapInArrow(assemble, f"keys {kind}, {made}").select("keys.*", *names)
+
+
+def encode_texts(docs: DataFrame, keys: list[str], model: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``keys`` with the number of ids, digests of ids and decoded text, and the ids themselves if asked for."""
+    return join_ids(docs, keys, stored(chunk_table(docs, model, text_col), "chunks"), model, text_col, with_ids)

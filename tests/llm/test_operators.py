@@ -733,13 +733,34 @@ def test_encoding_equals_the_library(spark, empty):
     assert sptok.encode_texts(empty, ["doc_id"], MODEL).count() == 0
 
 
-def test_chunk_table_is_bounded(monkeypatch):
-    monkeypatch.setattr(sptok, "TABLE_CHUNKS", 5)
-    table = sptok.ChunkTable(MODEL)
-    for k in range(20):
-        text = f"alpha{k} beta{k} gamma"
-        assert [i for e in table.encode([text])[0] for i in e[1]] == table.model.encode(text)
-        assert len(table.known) <= 9
+def test_each_chunk_is_segmented_once_and_ids_come_from_the_table(spark, monkeypatch):
+    texts = ["alpha beta  alpha gamma" + " " * 3 + "z" * 90, "beta " * 40 + "rare", None, "", "z" * 90 + " alpha", *["same rare words"] * 30]
+    docs = frame(spark, texts).repartition(5)
+    table = sptok.stored(sptok.chunk_table(docs, MODEL), "chunks-test")
+    want = Counter(sptok.name(c) for t in texts for c in sptok.chunks(t or ""))
+    rows = table.collect()
+    assert len(rows) == len(want) and {r.name: r.n for r in rows} == want
+    monkeypatch.setattr(sptok, "HEAD_CHUNKS", 2)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = {r.doc_id: r.ids for r in sptok.join_ids(docs, ["doc_id"], table, MODEL, with_ids=True).collect()}
+    assert [found[k] for k in range(len(texts))] == [model.encode(t or "") for t in texts]
+    mark = np.array([7], "<u2").tobytes()
+    other = table.withColumn("ids", F.when(F.col("name") == "rare", F.lit(mark)).otherwise(F.col("ids")))
+    changed = {r.doc_id: r.ids for r in sptok.join_ids(docs, ["doc_id"], other, MODEL, with_ids=True).collect()}
+    assert changed[1] == [*model.encode(("beta " * 40)[:-1]), 7]
+    assert changed[0] == found[0] and all(changed[k] == [*model.encode("same"), 7, *model.encode("words")] for k in range(5, 35))
+
+
+@pytest.mark.parametrize("head", [0, 3])
+def test_encoding_by_holes_equals_the_library(spark, monkeypatch, head):
+    monkeypatch.setattr(sptok, "HEAD_CHUNKS", head)
+    monkeypatch.setattr(sptok, "HELD_CHUNKS", 7)
+    rng = random.Random(head)
+    bits = ["a", "the", " ", "  ", "▁", "\n", "é", "😀", "日本", "<s>", "q" * 70]
+    texts = [*TEXTS, *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(120))]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = {r.doc_id: r for r in sptok.encode_texts(frame(spark, texts), ["doc_id"], MODEL, with_ids=True).collect()}
+    assert [rows[k].ids for k in range(len(texts))] == [model.encode(t or "") for t in texts]
 
 
 # ---- 9 SimHash
