@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document that is left, with their count and digests."""
-    return sptok.encode_texts(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return sptok.encode_texts(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, from_files=True)
 
 
 STAGES = [

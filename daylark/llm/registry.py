@@ -114,7 +114,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sptok.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"], model)
+    return sptok.encode_texts(table(spark, sf_dir, "documents"), ["doc_id"], model, from_files=True)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 The model's pieces never hold a white-space marker after another character (checked when the model
 is loaded), so no merge crosses from a word into the next marker. A text is cut there: a chunk is a
-run of markers and the characters up to the next marker. ``chunk_table`` counts the chunks of all
-texts and segments each distinct one once. Ids are joined back by position: those of the chunks
-counted most often (``HEAD_CHUNKS`` rows of at most ``HEAD_BYTES`` bytes of ids) are broadcast, and a
-text leaves a hole where another chunk stands; (text, places, chunk) of the holes are joined with the
-table and gathered per text, whose digest ties them to its rows. Texts themselves are never shuffled.
+run of markers and the characters up to the next marker. Each distinct chunk of the corpus is
+segmented once. Frequent ones (``HEAD_CHUNKS`` of ``HEAD_BYTES`` bytes at most) are segmented first
+and broadcast. A text leaves a hole where another chunk stands; the holes' (row, places, chunk) are
+sorted by chunk, each run of equal chunks is segmented once, and the ids go back to the rows, by
+place. Which chunks are frequent decides only the way they take, never an id. Texts are never shuffled.
+
+Rows are numbered each of the two times that they are read, so they must come in the same order both
+times, as the rows of files do; rows of any other origin are written first (``from_files=False``). A
+text whose holes and ids don't match raises an error.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty
-string. Null ids pass through; repeated rows are encoded each, and share the ids of their holes. The
-text is split without limits on its length. An empty table gives an empty result. Columns other than
-the keys and the text are not read.
+string. Null ids pass through; repeated rows are encoded each. The text is split without limits on
+its length. An empty table gives an empty result. Columns other than the keys and the text are not
+read. A chunk of more than ``HEAD_BYTES`` bytes isn't broadcast however often it occurs: its rows pass
+through one task, as a stream.
 """
 
 from __future__ import annotations
@@ -29,14 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daylark.llm.common import least_count, stored
+from daylark.llm.common import least_count, made, release, stored
 
 MARK = "▁"
-#: Rows of the table that are broadcast at most, and bytes of ids that such a row holds at most.
+#: Chunks that are broadcast at most, and bytes of such a chunk at most.
 HEAD_CHUNKS, HEAD_BYTES = 200_000, 256
-#: Longer chunks go by the digest of their characters where only their name is needed.
-NAME_CHARS = 64
-#: Distinct chunks that a counting task holds before it passes them on.
+#: Distinct chunks that a counting task holds before it passes on those met again.
 HELD_CHUNKS = 400_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -75,21 +78,16 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
 
 
-def name(chunk: str) -> str:
-    """The chunk, or for a long one its digest after a marker that no chunk has at that place."""
-    return chunk if len(chunk) <= NAME_CHARS else f"#{MARK}{sha256(chunk.encode()).hexdigest()}"
-
-
-def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """(name, n, ids): every distinct chunk of all texts, how often it occurs, and its ids; segmented once each."""
+def frequent(docs: DataFrame, model: str, text_col: str = "text") -> dict[str, bytes]:
+    """The chunks met most often, with their ids. A chunk that no task meets twice isn't frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def drain() -> pa.RecordBatch:
-            made = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            own = [(c, n) for c, n in found.items() if n > 1 and len(c.encode()) <= HEAD_BYTES]
             found.clear()
-            return pa.RecordBatch.from_arrays(made, names=["chunk", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["chunk", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -101,12 +99,32 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFram
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model)
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            made = [pa.array([name(c) for c in own], pa.string()), batch.column(1), pa.array(known.segment(own), pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["name", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.segment(batch.column(0).to_pylist()), pa.binary())], names=["chunk", "ids"])
+
+    spark, start = docs.sparkSession, made()
+    counts = docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "chunk-counts")
+    head = counts.where(F.col("n") >= least_count(counts, "n", HEAD_CHUNKS)).select("chunk").mapInArrow(segment, "chunk string, ids binary").toArrow()
+    release(spark, start)
+    return dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist()))
+
+
+def segmented(holes: DataFrame, model: str) -> DataFrame:
+    """(number, chunk, places) with the ids; ``fresh`` marks the row at which a chunk was segmented, one for each distinct chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, ids = segmenter(model), None, b""
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            fresh = [c != before for c, before in zip(names, [last, *names])]
+            new = iter(own.segment([c for c, f in zip(names, fresh) if f]))
+            column = [ids := next(new) if f else ids for f in fresh]
+            last = names[-1] if names else last
+            columns = [*batch.columns, pa.array(column, pa.binary()), pa.array(fresh, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "chunk", "places", "ids", "fresh"])
 
-    counted = docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(segment, "name string, n long, ids binary")
+    dealt = holes.repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, "number long, chunk string, places binary, ids binary, fresh boolean")
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -126,10 +144,10 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
 def filled(known: np.ndarray, hole: int, fixes: list[dict] | None) -> np.ndarray:
     """The ids of a text: ``known`` with the ids of the other chunks put where the holes are, by their places."""
     at = np.flatnonzero(known == hole)
-    if not len(at):
+    if not len(at) and not fixes:
         return known
     by_place: dict[int, np.ndarray] = {}
-    for fix in fixes:
+    for fix in fixes or ():
         ids = np.frombuffer(fix["ids"], known.dtype)
         by_place.update(dict.fromkeys(np.frombuffer(fix["places"], "<u4").tolist(), ids))
     parts, start = [], 0
@@ -139,43 +157,47 @@ def filled(known: np.ndarray, hole: int, fixes: list[dict] | None) -> np.ndarray
     return np.concatenate([*parts, known[start:]])
 
 
-def join_ids(docs: DataFrame, keys: list[str], table: DataFrame, model: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``encode_texts`` with the ids of a stored ``chunk_table`` that holds every chunk of ``docs``."""
-    spark = docs.sparkSession
-    short = F.octet_length("ids") <= HEAD_BYTES
-    least = least_count(table.where(short), "n", HEAD_CHUNKS)
-    head = table.where(short & (F.col("n") >= least)).select("name", "ids").toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist())))
-    rows = docs.select(F.struct(*keys).alias("keys"), F.col(text_col).alias("text"))
+def holes_of(rows: DataFrame, common) -> DataFrame:
+    """(number, chunk, places) over (number, text): where each chunk that isn't broadcast stands in each text."""
 
-    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The places of each chunk that isn't broadcast, in each text that has one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = common.value
-        for _, texts in texts_of(batches, 0):
+        for part, texts in texts_of(batches, 1):
             out: tuple[list, ...] = ([], [], [])
-            for text in texts:
+            for number, text in zip(part.column(0).to_pylist(), texts):
                 places: dict[str, list[int]] = {}
                 for k, c in enumerate(chunks(text)):
-                    if c not in head and (own := name(c)) not in head:
-                        places.setdefault(own, []).append(k)
-                if places:
-                    out[0].extend([sha256(text.encode()).digest()] * len(places))
-                    out[1].extend(places)
-                    out[2].extend(np.array(p, "<u4").tobytes() for p in places.values())
-            made = [pa.array(c, kind) for c, kind in zip(out, (pa.binary(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(made, names=["digest", "name", "places"])
+                    if c not in head:
+                        places.setdefault(c, []).append(k)
+                out[0].extend([number] * len(places))
+                out[1].extend(places)
+                out[2].extend(np.array(p, "<u4").tobytes() for p in places.values())
+            made = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(made, names=["number", "chunk", "places"])
+
+    return rows.select("number", "text").mapInArrow(run, "number long, chunk string, places binary")
+
+
+def encode_texts(
+    docs: DataFrame, keys: list[str], model: str, text_col: str = "text", with_ids: bool = False, from_files: bool = False
+) -> DataFrame:
+    """``keys`` with the number of ids, digests of ids and decoded text, and the ids themselves if asked for.
+
+    ``from_files`` says that ``docs`` are rows of files with no shuffle after the scan, so that they aren't written first.
+    """
+    rows = docs.select(F.struct(*keys).alias("keys"), F.col(text_col).alias("text"))
+    rows = (rows if from_files else stored(rows, "texts")).select("keys", F.monotonically_increasing_id().alias("number"), "text")
+    common = docs.sparkSession.sparkContext.broadcast(frequent(rows, model))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of each text, packed, with a hole for each chunk that isn't broadcast."""
         head, pack = common.value, zstandard.ZstdCompressor(level=1)
         hole = segmenter(model).hole
-        for part, texts in texts_of(batches, 1):
+        for part, texts in texts_of(batches, 2):
             packed = []
             for text in texts:
-                own = [head.get(c) or head.get(name(c), hole) for c in chunks(text)]
-                packed.append(pack.compress(b"".join(own)))
-            made = [part.column(0), pa.array([sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["keys", "digest", "known"])
+                packed.append(pack.compress(b"".join([head.get(c, hole) for c in chunks(text)])))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["keys", "number", "known"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, unpack = segmenter(model), zstandard.ZstdDecompressor()
@@ -195,13 +217,8 @@ def join_ids(docs: DataFrame, keys: list[str], table: DataFrame, model: str, tex
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kind = rows.schema["keys"].dataType.simpleString()
-    found = rows.select("text").mapInArrow(holes, "digest binary, name string, places binary").distinct()
-    fixes = found.join(table.select("name", "ids"), "name").groupBy("digest").agg(F.collect_list(F.struct("places", "ids")).alias("fixes"))
-    joined = rows.mapInArrow(look_up, f"keys {kind}, digest binary, known binary").join(fixes, "digest", "left").select("keys", "known", "fixes")
+    found = segmented(holes_of(rows, common), model).select("number", "places", "ids")
+    fixes = found.groupBy("number").agg(F.collect_list(F.struct("places", "ids")).alias("fixes"))
+    joined = rows.mapInArrow(look_up, f"keys {kind}, number long, known binary").join(fixes, "number", "left").select("keys", "known", "fixes")
     made = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "string", "array<int>")))
     return joined.mapInArrow(assemble, f"keys {kind}, {made}").select("keys.*", *names)
-
-
-def encode_texts(docs: DataFrame, keys: list[str], model: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``keys`` with the number of ids, digests of ids and decoded text, and the ids themselves if asked for."""
-    return join_ids(docs, keys, stored(chunk_table(docs, model, text_col), "chunks"), model, text_col, with_ids)

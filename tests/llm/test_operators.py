@@ -733,22 +733,30 @@ def test_encoding_equals_the_library(spark, empty):
     assert sptok.encode_texts(empty, ["doc_id"], MODEL).count() == 0
 
 
-def test_each_chunk_is_segmented_once_and_ids_come_from_the_table(spark, monkeypatch):
-    texts = ["alpha beta  alpha gamma" + " " * 3 + "z" * 90, "beta " * 40 + "rare", None, "", "z" * 90 + " alpha", *["same rare words"] * 30]
-    docs = frame(spark, texts).repartition(5)
-    table = sptok.stored(sptok.chunk_table(docs, MODEL), "chunks-test")
-    want = Counter(sptok.name(c) for t in texts for c in sptok.chunks(t or ""))
-    rows = table.collect()
-    assert len(rows) == len(want) and {r.name: r.n for r in rows} == want
-    monkeypatch.setattr(sptok, "HEAD_CHUNKS", 2)
+def test_each_chunk_is_segmented_once_and_ids_go_to_their_places(spark, monkeypatch):
+    texts = ["alpha beta  alpha gamma" + " " * 3 + "z" * 300, "beta " * 40 + "rare", None, "", "z" * 300 + " alpha", *["same rare words"] * 30]
+    rows = sptok.stored(frame(spark, texts).repartition(5), "texts-test").withColumn("number", F.col("doc_id") + 7)
+    want = Counter(c for t in texts for c in sptok.chunks(t or ""))
+    monkeypatch.setattr(sptok, "HEAD_CHUNKS", 3)
+    head = sptok.frequent(rows, MODEL)
+    assert 0 < len(head) <= 3 and all(want[c] >= 30 for c in head)
+    found = sptok.segmented(sptok.holes_of(rows, spark.sparkContext.broadcast(head)), MODEL).collect()
+    assert Counter(r.chunk for r in found if r.fresh) == Counter(set(want) - set(head))  # one time each
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    found = {r.doc_id: r.ids for r in sptok.join_ids(docs, ["doc_id"], table, MODEL, with_ids=True).collect()}
-    assert [found[k] for k in range(len(texts))] == [model.encode(t or "") for t in texts]
-    mark = np.array([7], "<u2").tobytes()
-    other = table.withColumn("ids", F.when(F.col("name") == "rare", F.lit(mark)).otherwise(F.col("ids")))
-    changed = {r.doc_id: r.ids for r in sptok.join_ids(docs, ["doc_id"], other, MODEL, with_ids=True).collect()}
-    assert changed[1] == [*model.encode(("beta " * 40)[:-1]), 7]
-    assert changed[0] == found[0] and all(changed[k] == [*model.encode("same"), 7, *model.encode("words")] for k in range(5, 35))
+    places = {(r.number - 7, k): (r.chunk, r.ids) for r in found for k in np.frombuffer(r.places, "<u4").tolist()}
+    assert places.keys() == {(d, k) for d, t in enumerate(texts) for k, c in enumerate(sptok.chunks(t or "")) if c not in head}
+    lone = model.encode(" a")[:1]
+    assert all(sptok.chunks(texts[d])[k] == c and np.frombuffer(ids, "<u2").tolist() == (model.encode(c) if c else lone) for (d, k), (c, ids) in places.items())
+
+
+def test_ids_that_do_not_match_the_holes_are_an_error():
+    known, fix = np.array([5, 65535, 6], "<u2"), {"places": np.array([1], "<u4").tobytes(), "ids": np.array([8, 9], "<u2").tobytes()}
+    assert sptok.filled(known, 65535, [fix]).tolist() == [5, 8, 9, 6]
+    for bad in (None, [], [fix, {**fix, "places": np.array([2], "<u4").tobytes()}]):
+        with pytest.raises(ValueError):
+            sptok.filled(known, 65535, bad)
+    with pytest.raises(ValueError):
+        sptok.filled(known[:1], 65535, [fix])
 
 
 @pytest.mark.parametrize("head", [0, 3])
@@ -759,7 +767,7 @@ def test_encoding_by_holes_equals_the_library(spark, monkeypatch, head):
     bits = ["a", "the", " ", "  ", "▁", "\n", "é", "😀", "日本", "<s>", "q" * 70]
     texts = [*TEXTS, *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(120))]
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    rows = {r.doc_id: r for r in sptok.encode_texts(frame(spark, texts), ["doc_id"], MODEL, with_ids=True).collect()}
+    rows = {r.doc_id: r for r in sptok.encode_texts(frame(spark, texts).repartition(4), ["doc_id"], MODEL, with_ids=True).collect()}
     assert [rows[k].ids for k in range(len(texts))] == [model.encode(t or "") for t in texts]
 
 
