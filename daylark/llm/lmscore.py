@@ -2,11 +2,11 @@
 
 A lower-cased text and its end are coded in order. Bytes are written in units of six bits: each of the 63
 most frequent bytes of the training documents is one unit, another byte an escape and two units. A unit is
-six binary decisions. For each decision three predictors look up log odds under a hashed context: the last
-3 and 5 units, across words, and the beginning of the current word. They are combined by weights that a
-gate selects by the bit's place in its unit. After each bit the weights take a gradient step, and an
-adaptive table over the mixed odds and the bit's place, which refines the probability, moves towards the
-bit. The score is the log probability of the whole text and its end; ``bits_per_byte`` follows.
+six binary decisions. For each decision six predictors look up log odds under a hashed context: the last
+1, 2, 3, 4 and 6 units, across words, and the beginning of the current word. They are combined by weights
+that a gate selects by the bit's place in its unit and by how often training met the longest context and
+the word's beginning. After each bit the weights take a gradient step, and an adaptive table over the
+mixed odds and the bit's place, which refines the probability, moves towards the bit. The score is the log probability of the whole text and its end; ``bits_per_byte`` follows.
 
 A text is coded in blocks of ``BLOCK`` units. Each block sees the units before it, starts from the
 fitted weights and refining table, and takes its first unit as a word's beginning; so blocks of all
@@ -44,17 +44,20 @@ from daylark.llm.common import SPACES, crc_bucket, least_count, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: One in so many training documents sets the mixing weights.
-MIXING_SHARE = 32
-ORDERS = (3, 5)
+MIXING_SHARE = 16
+ORDERS = (1, 2, 3, 4, 6)
 BACK, PREDICTORS = max(ORDERS), len(ORDERS) + 1
 #: Rows of each predictor's table as powers of two, at most; the last one is for beginnings of words.
-MOST_BITS = (19, 20, 20)
-BLOCK, LANES, LANE_STEP = 2048, 1536, 128
+MOST_BITS = (12, 16, 19, 20, 20, 20)
+BLOCK, LANES, LANE_STEP = 8192, 1536, 128
 STEPS = 17  #: buckets of the refining table over log odds from -8 to 8
-PRIOR = 0.4
+PRIOR = 0.05
 #: Log odds are kept as whole numbers of this part.
 UNIT = 16
-FIT_RATE, RATE, REFINE_RATE = 0.02, 0.005, 0.02
+#: Gates: whether a row was met at least so often, for the longest context and for the word's beginning.
+SEEN = (1, 4)
+GATES = (len(SEEN) + 1) ** 2
+FIT_RATE, RATE, REFINE_RATE = 0.02, 0.01, 0.02
 SLICE = 1 << 16  #: table entries in one row of a table of counts
 HEAD_WORDS = 200_000
 _C = np.uint32(0x9E3779B1)
@@ -66,8 +69,8 @@ class Alphabet:
     """Units of bytes, from how often each byte occurs (256 counts): ties go to the smaller byte."""
 
     def __init__(self, counts: np.ndarray):
-        self.rank = np.empty(256, np.int64)
-        self.rank[np.lexsort((np.arange(256), -np.asarray(counts)))] = np.arange(256)
+        self.rank = np.empty(256, np.uint8)
+        self.rank[np.lexsort((np.arange(256), -np.asarray(counts)))] = np.arange(256, dtype=np.uint8)
         self.space = np.zeros(64, bool)
         self.space[[r for r in self.rank[list(SPACES)] if r < ESCAPE]] = True
 
@@ -75,9 +78,10 @@ class Alphabet:
         """The units of bytes, and at which unit each byte starts (with the number of units at the end)."""
         rank = self.rank[data]
         rare = rank >= ESCAPE
-        at = np.concatenate([[0], np.cumsum(np.where(rare, 3, 1))])
+        at = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(1 + 2 * rare.view(np.int8), out=at[1:])
         out = np.empty(at[-1], np.uint8)
-        out[at[:-1]] = np.where(rare, ESCAPE, rank)
+        out[at[:-1]] = np.minimum(rank, ESCAPE)
         first, left = at[:-1][rare], rank[rare] - ESCAPE
         out[first + 1], out[first + 2] = left >> 6, left & 63
         return out, at
@@ -123,7 +127,8 @@ def blocks(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray,
     size = np.diff(at)
     whole = np.zeros(len(data) + BACK * len(texts), np.uint8)  # every text after ``BACK`` zeros
     first = at[:-1] + BACK * np.arange(1, len(texts) + 1)
-    whole[np.arange(len(data)) + np.repeat(BACK * np.arange(1, len(texts) + 1), size)] = data
+    for k, n in enumerate(size.tolist()):
+        whole[first[k] : first[k] + n] = data[at[k] : at[k + 1]]
     number = -(-size // BLOCK)
     owner = np.repeat(np.arange(len(texts)), number)
     offset = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * BLOCK
@@ -176,7 +181,7 @@ def add_counts(counts: np.ndarray, places: Places, texts: list[bytes], alphabet:
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Per row of 8 counts: log odds of one against zero at the 7 inner nodes, from entry 1 on."""
+    """Per row of 8 counts: log odds of one against zero at the 7 inner nodes, from entry 1 on; how often it was met in entry 0."""
     leaves = counts.reshape(-1, 8).astype(np.float32)
     out = np.zeros(leaves.shape, np.int8)
     level = leaves
@@ -185,12 +190,13 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
         odds = np.log((pairs[:, :, 1] + np.float32(PRIOR)) / (pairs[:, :, 0] + np.float32(PRIOR)))
         out[:, 1 << depth : 2 << depth] = np.rint(np.clip(odds * UNIT, -127, 127))
         level = pairs.sum(axis=2)
+    out[:, 0] = np.searchsorted(SEEN, level[:, 0], side="right")
     return out
 
 
 @dataclass
 class Model:
-    """Log odds (``Places.entries``), start weights (place in the half, predictor, half) and refining table (6 * STEPS)."""
+    """Log odds (``Places.entries``), start weights (place in the half, gate, predictor, half) and refining table (6 * STEPS)."""
 
     alphabet: Alphabet
     bits: tuple[int, ...]
@@ -207,7 +213,7 @@ class Model:
 
 
 def fresh(alphabet: Alphabet, bits: tuple[int, ...], odds: np.ndarray) -> Model:
-    weights = np.full((3, PREDICTORS, 2), 0.5 / UNIT, np.float32)
+    weights = np.full((3, GATES, PREDICTORS, 2), 1.5 / PREDICTORS / UNIT, np.float32)
     middle = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
     return Model(alphabet, bits, odds, weights, np.tile(middle, 6).astype(np.float32))
 
@@ -226,7 +232,7 @@ class Coder:
 
     def __init__(self, model: Model, lanes: int, rate: float):
         self.rows, self.places, self.rate = model.odds.view(np.int64), Places(model.bits), np.float32(rate / UNIT / UNIT)
-        self.weights = np.repeat(model.weights[:, :, :, None], lanes, axis=3)
+        self.weights = np.repeat(model.weights[..., None], lanes, axis=-1)
         self.refine = np.tile(model.refine - np.float32(0.5), lanes)
         self.spent = np.zeros(lanes)
         self.lay_out(lanes)
@@ -238,6 +244,8 @@ class Coder:
         self.at, self.x8 = np.empty_like(self.nodes), np.empty(self.nodes.shape, np.int8)
         self.x, self.wx = np.empty((2, *self.nodes.shape), np.float32)
         self.z, self.e = np.empty((2, 2, m), np.float32)
+        lanes = self.weights.shape[-1]
+        self.own = np.arange(m) + lanes * (np.array([[0], [1]]) + 2 * np.arange(PREDICTORS)[:, None, None])
 
     def code(self, group, outcomes: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each block; ``outcomes`` (2, 6 * STEPS) counts bits per bucket."""
@@ -252,8 +260,14 @@ class Coder:
             half = half.reshape(2, m)
             entries = self.rows.take(self.places.rows(both)).view(np.int8).ravel()
             chance = np.ones((2, m), np.float32)
+            seen = entries.reshape(PREDICTORS, 2, m, 8)[-2:, ..., 0].astype(np.int64)
+            seen[0] *= len(SEEN) + 1
+            seen[0] += seen[1]
+            seen[0] *= 2 * PREDICTORS * self.weights.shape[-1]
+            gate = self.own + seen[0]
             for place in range(3):
-                w = self.weights[place, :, :, :m]
+                gated = self.weights[place].reshape(-1)
+                w = gated.take(gate)
                 sign = _SIGNS[place].take(half)
                 if place:
                     np.add(self.nodes, _NODES[place].take(half), out=self.at)
@@ -294,6 +308,7 @@ class Coder:
                 e[:, n:] = 0  # blocks that have ended learn no more
                 x *= e
                 w -= x
+                gated[gate] = w
             self.spent[:n] += np.log(chance[0, :n] * chance[1, :n]) - 6 * math.log(2)
         return self.spent
 

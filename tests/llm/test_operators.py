@@ -531,15 +531,15 @@ def brute_units(alphabet, text):
 
 
 def brute_contexts(alphabet, units, t):
-    """Hashes of the three contexts of unit ``t``, by whole numbers."""
+    """Hashes of the six contexts of unit ``t``, by whole numbers."""
     out, mix = [], 0
-    for back in range(1, 6):
+    for back in range(1, 7):
         mix = (mix + (units[t - back] if t >= back else 0) + 1) * GOLD & MASK
-        if back in (3, 5):
+        if back != 5:
             out.append(mix)
     spaces = {int(alphabet.rank[b]) for b in b" \t\n\x0b\x0c\r"} - set(range(63, 256))
     word = 0
-    for u in units[t - t % lmscore.BLOCK : t]:
+    for u in units[t - t % 8192 : t]:
         word = 0 if u in spaces else (word + u + 1) * GOLD & MASK
     return [*out, word]
 
@@ -557,24 +557,25 @@ def brute_halves(alphabet, bits, units, t):
     return (brute_rows(bits, contexts), high), (brute_rows(bits, [(h + high + 1) * GOLD & MASK for h in contexts]), low)
 
 
-def brute_score(model, text):
+def brute_score(model, counts, text):
     """log10 probability of a text and its end, one decision after another."""
     units, total = brute_units(model.alphabet, text), 0.0
     for t in range(len(units)):
-        if t % lmscore.BLOCK == 0:
+        if t % 8192 == 0:
             weights, refine = model.weights.astype(float), model.refine.astype(float)
         for half, (rows, part) in enumerate(brute_halves(model.alphabet, model.bits, units, t)):
-            node = 1
+            seen = [(n > 0) + (n > 3) for n in (int(counts[r : r + 8].sum()) for r in rows[-2:])]
+            gate, node = 3 * seen[0] + seen[1], 1
             for place in range(3):
                 x = [float(model.odds[r + node]) for r in rows]
-                mixed = min(8, max(-8, sum(weights[place, k, half] * x[k] for k in range(3))))
-                bucket = (half * 3 + place) * lmscore.STEPS + int(mixed * (lmscore.STEPS - 1) / 16 + lmscore.STEPS / 2)
+                mixed = min(8, max(-8, sum(weights[place, gate, k, half] * x[k] for k in range(6))))
+                bucket = (half * 3 + place) * 17 + int(mixed + 8.5)
                 bit, p = part >> (2 - place) & 1, 1 / (1 + math.exp(-mixed))
                 chance = (p + refine[bucket]) / 2
                 total += math.log10(chance if bit else 1 - chance)
-                refine[bucket] += (bit - refine[bucket]) * lmscore.REFINE_RATE
-                for k in range(3):
-                    weights[place, k, half] += (bit - p) * lmscore.RATE / 256 * x[k]
+                refine[bucket] += (bit - refine[bucket]) * 0.02
+                for k in range(6):
+                    weights[place, gate, k, half] += (bit - p) * 0.01 / 256 * x[k]
                 node = 2 * node + bit
     return total
 
@@ -585,7 +586,7 @@ def mixing_model():
     words = [b"amber", b"birch", "cède".encode(), b"dogwood", b"elm,", b"42"]
     texts = [b" ".join(rng.choice(words) for _ in range(rng.randrange(0, 700))) for _ in range(12)]
     alphabet = lmscore.Alphabet(np.bincount(np.frombuffer(b"\xff".join(texts), np.uint8), minlength=256) + 9 * (np.arange(256) > 230))
-    bits = (11, 12, 12)
+    bits = (8, 11, 11, 12, 12, 12)
     places = lmscore.Places(bits)
     counts = np.zeros(places.entries, np.int32)
     lmscore.add_counts(counts, places, texts, alphabet)
@@ -604,21 +605,21 @@ def test_lm_counts_against_brute_force(mixing_model):
             for rows, part in brute_halves(model.alphabet, model.bits, units, t):
                 for r in rows:
                     want[r + part] += 1
-    assert (counts == want).all() and counts.sum() == 6 * total
+    assert (counts == want).all() and counts.sum() == 12 * total
     row = int(np.flatnonzero(counts.reshape(-1, 8).sum(axis=1) > 20)[0])
     leaves, odds = counts.reshape(-1, 8)[row], lmscore.log_odds(counts)[row]
     for node in range(1, 8):
         depth = node.bit_length()
         under = [sum(leaves[k] for k in range(8) if (k | 8) >> (3 - depth) == node * 2 + side) for side in (0, 1)]
-        assert odds[node] == round(16 * max(-127 / 16, min(127 / 16, math.log((under[1] + 0.4) / (under[0] + 0.4)))))
+        assert odds[node] == round(16 * max(-127 / 16, min(127 / 16, math.log((under[1] + 0.05) / (under[0] + 0.05)))))
 
 
 def test_lm_scores_against_brute_force(mixing_model):
-    model, _, texts = mixing_model
-    odd = [b"", b"amber", texts[0][:500], b"unheard of \xf0\x9f\x98\x80\n\n\tbirch \x00\x01", b"z" * 2050 + b" elm, 42", texts[3] + b" " + texts[4]]
+    model, counts, texts = mixing_model
+    odd = [b"", b"amber", texts[0][:500], b"unheard of \xf0\x9f\x98\x80\n\n\tbirch \x00\x01", b"z" * 2050 + b" elm, 42", b"elm, birch " * 800, texts[3] + b" " + texts[4]]
     got = model.log10(odd)
     for k, text in enumerate(odd):
-        assert got[k] == pytest.approx(brute_score(model, text), rel=2e-4, abs=1e-3)
+        assert got[k] == pytest.approx(brute_score(model, counts, text), rel=2e-4, abs=1e-3)
     assert model.log10(odd[::-1])[::-1] == pytest.approx(got, rel=1e-12)  # neighbours don't matter
 
 
