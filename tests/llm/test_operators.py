@@ -539,7 +539,7 @@ def brute_contexts(alphabet, units, t):
             out.append(mix)
     spaces = {int(alphabet.rank[b]) for b in b" \t\n\x0b\x0c\r"} - set(range(63, 256))
     word = 0
-    for u in units[t - t % 8192 : t]:
+    for u in units[t - t % 2048 : t]:
         word = 0 if u in spaces else (word + u + 1) * GOLD & MASK
     return [*out, word]
 
@@ -561,7 +561,7 @@ def brute_score(model, counts, text):
     """log10 probability of a text and its end, one decision after another."""
     units, total = brute_units(model.alphabet, text), 0.0
     for t in range(len(units)):
-        if t % 8192 == 0:
+        if t % 2048 == 0:
             weights, refine = model.weights.astype(float), model.refine.astype(float)
         for half, (rows, part) in enumerate(brute_halves(model.alphabet, model.bits, units, t)):
             seen = [(n > 0) + (n > 3) for n in (int(counts[r : r + 8].sum()) for r in rows[-2:])]
