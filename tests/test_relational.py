@@ -1,6 +1,9 @@
 """Every relational query against its oracle, and literal fixtures for the tie and null rules."""
 
 import datetime
+import math
+import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +192,20 @@ def test_top_k_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, matching.top_k(points, points.where("id % 5 = 0"), 3).collect()))
     monkeypatch.setattr(matching, "BLOCK_BYTES", 300)
     assert sorted(map(tuple, matching.top_k(points, points.where("id % 5 = 0"), 3).collect())) == whole and len(whole) == 36
+
+
+def test_top_k_compares_in_arrays_with_the_distances_of_sums(spark, monkeypatch):
+    """No pair is a row, ties go to the smaller id, a point without a vector comes last, and near copies keep their order."""
+    rng = random.Random(3)
+    made = [(k, [float(rng.randrange(3)) + 1e4 + rng.randrange(3) * 1e-7 for _ in range(4)] if k != 33 else None) for k in range(120)]
+    points = spark.createDataFrame(made, "id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(matching, "POINTS_AT_ONCE", 7)
+    monkeypatch.setattr(matching, "QUERIES_AT_ONCE", 5)
+    for k in (1, 5, 119):
+        found = matching.top_k(points, points.where("id % 10 = 0"), k)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        want = []
+        for q, v in made[::10]:
+            far = sorted((math.inf if w is None else math.sqrt(reduce(lambda x, ab: x + (ab[0] - ab[1]) * (ab[0] - ab[1]), zip(w, v), 0.0)), p) for p, w in made if p != q)
+            want += [(q, p, None if d == math.inf else d, n + 1) for n, (d, p) in enumerate(far[:k])]
+        assert sorted(map(tuple, found.collect()), key=lambda r: (r[0], r[3])) == want
