@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from daylark.operators import profile
 from daylark.operators.boosting import Boosting, BoostingModel, best_split
 
 
@@ -127,3 +129,20 @@ def test_model_is_saved_in_a_pipeline(spark, tmp_path):
     assert isinstance(loaded.stages[0], BoostingModel)
     key = lambda rows: sorted((tuple(r.features), r.probabilities) for r in rows.collect())
     assert key(loaded.transform(frame(spark, x, y))) == key(model.transform(frame(spark, x, y)))
+
+
+def test_sums_of_gradients_beyond_a_double_are_exact(spark):
+    rows = [([k % 3], float(k * 2.0**40), 1.0, [0.0]) for k in range(4000)]
+    state = spark.createDataFrame(rows, "bins array<int>, y double, w double, scores array<double>").repartition(7)
+    grown = [(np.full(3, -1, np.int64), np.zeros(3, np.int64), np.zeros(3))]
+    g, n = Boosting(rounds=1, depth=1)._histogram(state, [], grown, 0, {(0, 0)}, [np.array([0.5, 1.5])], 1.0)[0, 0]
+    assert g.tolist() == [[float(sum(k * 2**40 for k in range(4000) if k % 3 == b)) for b in range(3)]] and n.sum() == 4000
+
+
+def test_medians_and_cuts_read_their_rows_once(spark):
+    table = spark.range(1000).select((F.col("id") % 7).cast("double").alias("a"), F.sqrt("id").alias("b"))
+    long = table.select(F.posexplode(F.array("a", "b")).alias("feature", "value"))
+    for found in (profile.medians(table, ["a", "b"]), profile.quantile_thresholds(long, ["feature"], "value", 24)):
+        found.collect()
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("Range (0, 1000") == 1
