@@ -181,10 +181,26 @@ def shared_between_groups(rows: DataFrame) -> DataFrame:
     return rows.join(known, "token")
 
 
+def united(above: dict[int, int], a: int, b: int) -> bool:
+    """Whether ``a`` and ``b`` were apart in the forest ``above``; they are together from now on."""
+    ends = []
+    for x in (a, b):
+        root = x
+        while (up := above.get(root, root)) != root:
+            root = up
+        while x != root:
+            above[x], x = root, above[x]
+        ends.append(root)
+    if ends[0] != ends[1]:
+        above[ends[0]] = ends[1]
+    return ends[0] != ends[1]
+
+
 def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between each query (g, node, label) and members of its ``g`` (g, node, label), one for each other label among them.
+    """Links (a, b) between queries (g, node, label) and members of their ``g`` (g, node, label) that connect what all such links connect.
 
-    A label stands for nodes known to be connected. A task holds one block of members at a time with the union of their
+    A label stands for nodes known to be connected. While a block is open, a link between labels that its links so far have
+    connected isn't written again, so a block writes fewer links than it meets labels, however many pairs link. A task holds one block of members at a time with the union of their
     tokens. A query that shares too few tokens with the union passes on, for others the block is opened: the tokens
     shared with every member are counted.
     """
@@ -195,14 +211,14 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int
     rows = sides.join(sets, "node").select("g", "block", "asks", "node", "label", "tokens").repartition("g", "block").sortWithinPartitions("g", "block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, labels, held, index = None, [], [], [], None
+        key, nodes, labels, held, index, joined = None, [], [], [], None, {}
         for batch in batches:
             found = []
             plain = [batch.column(k).to_pylist() for k in range(5)]
             for k, (g, block, asks, node, label) in enumerate(zip(*plain)):
                 tokens = batch.column(5)[k].values.to_numpy()
                 if (g, block) != key:
-                    key, nodes, labels, held, index = (g, block), [], [], [], None
+                    key, nodes, labels, held, index, joined = (g, block), [], [], [], None, {}
                 if not asks:
                     nodes.append(node)
                     labels.append(label)
@@ -223,8 +239,8 @@ def opened(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int
                 shared = np.bincount(owner[at], minlength=len(size))
                 near = (100 * shared >= percent * (size + len(tokens) - shared)) & (labels_ != label)
                 if near.any():
-                    _, first = np.unique(labels_[near], return_index=True)
-                    found += [(node, m) for m in members_[near][first].tolist()]
+                    others, first = np.unique(labels_[near], return_index=True)
+                    found += [(node, m) for other, m in zip(others.tolist(), members_[near][first].tolist()) if united(joined, label, other)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
 

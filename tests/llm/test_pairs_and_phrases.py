@@ -98,6 +98,17 @@ def test_jaccard_without_groups_finds_all_links_by_the_bound(spark, monkeypatch)
     assert joined(spark, rows) == components(rows)
 
 
+def test_links_of_a_block_grow_with_its_labels(spark):
+    """40 sets that all link, and none of them tied: a spanning forest of their 780 pairs."""
+    sets = spark.createDataFrame([(k, [*range(100), 1000 + k]) for k in range(40)], "node long, tokens array<long>")
+    rows = sets.select(F.lit(0).cast("long").alias("g"), "node", F.col("node").alias("label"))
+    found = groupjoin.opened(rows, rows, sets, 80).collect()
+    root = list(range(40))
+    for a, b in found:
+        root = [root[b] if x == root[a] else x for x in root]
+    assert len(set(root)) == 1 and len(found) == 39
+
+
 def test_jaccard_odd_rows_and_empty_table(spark):
     assert joined(spark, ODD) == components(ODD)
     assert joined(spark, []) == []
