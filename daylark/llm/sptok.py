@@ -6,7 +6,8 @@ run of markers and the characters up to the next marker. Each distinct chunk of
 segmented once. Frequent ones (``HEAD_CHUNKS`` of ``HEAD_BYTES`` bytes at most) are segmented first
 and broadcast. A text leaves a hole where another chunk stands; the holes' (row, places, chunk) are
 sorted by chunk, each run of equal chunks is segmented once, and the ids go back to the rows, by
-place. Which chunks are frequent decides only the way they take, never an id. Texts are never shuffled.
+place. Which chunks are frequent decides only the way they take, never an id. Texts are never shuffled:
+what goes to the ids is each frequent chunk's rank (0 for a hole). Rows are packed on their way (``shares_of``).
 
 Rows are numbered each of the two times that they are read, so they must come in the same order both
 times, as the rows of files do; rows of any other origin are written first (``from_files=False``). A
@@ -23,15 +24,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daylark.llm.common import least_count, made, release, stored
@@ -41,6 +42,10 @@ MARK = "▁"
 HEAD_CHUNKS, HEAD_BYTES = 200_000, 256
 #: Distinct chunks that a counting task holds before it passes on those met again.
 HELD_CHUNKS = 400_000
+#: Shares that rows are dealt to when packed, and bytes of rows that a task holds before it packs them.
+SHARES, HELD_BYTES = 256, 16 << 20
+HOLES = "number long, chunk string, places binary"
+Make = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -79,7 +84,7 @@ def chunks(text: str) -> list[str]:
 
 
 def frequent(docs: DataFrame, model: str, text_col: str = "text") -> dict[str, bytes]:
-    """The chunks met most often, with their ids. A chunk that no task meets twice isn't frequent."""
+    """The chunks met most often, with their ids, by falling counts. A chunk that no task meets twice isn't frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -99,18 +104,70 @@ def frequent(docs: DataFrame, model: str, text_col: str = "text") -> dict[str, b
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.segment(batch.column(0).to_pylist()), pa.binary())], names=["chunk", "ids"])
+            ids = pa.array(known.segment(batch.column(0).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["chunk", "n", "ids"])
 
     spark, start = docs.sparkSession, made()
     counts = docs.select(text_col).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     counts = stored(counts, "chunk-counts")
-    head = counts.where(F.col("n") >= least_count(counts, "n", HEAD_CHUNKS)).select("chunk").mapInArrow(segment, "chunk string, ids binary").toArrow()
+    head = counts.where(F.col("n") >= least_count(counts, "n", HEAD_CHUNKS)).mapInArrow(segment, "chunk string, n long, ids binary").toArrow()
     release(spark, start)
+    head = head.sort_by([("n", "descending"), ("chunk", "ascending")]).select(["chunk", "ids"])
     return dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist()))
 
 
-def segmented(holes: DataFrame, model: str) -> DataFrame:
-    """(number, chunk, places) with the ids; ``fresh`` marks the row at which a chunk was segmented, one for each distinct chunk."""
+def packed(rows: pa.Table, share: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The rows of each share as a compressed Arrow stream."""
+    order = np.argsort(share, kind="stable")
+    shares, first = np.unique(share[order], return_index=True)
+    ordered = rows.take(pa.array(order))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for own, start, end in zip(shares.tolist(), first, [*first[1:], len(order)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_table(ordered.slice(start, end - start).combine_chunks())
+        yield own, sink.getvalue().to_pybytes()
+
+
+def shares_of(rows: DataFrame, make: Make, share: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(share, data): what ``make`` gives of the batches of ``rows``, packed for their way to the task of their share.
+
+    Small values of many rows compress by columns to half of what they take row by row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def drain() -> pa.RecordBatch:
+            own = np.concatenate([share(b) for b in held]) % SHARES
+            shares, data = zip(*packed(pa.Table.from_batches(held), own))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(shares, pa.int64()), pa.array(data, pa.binary())], names=["share", "data"])
+
+        for batch in make(batches):
+            if len(batch):
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield drain()
+        if held:
+            yield drain()
+
+    return rows.mapInArrow(run, "share long, data binary")
+
+
+def dealt(shares: DataFrame, kinds: str, *order: str | Column) -> DataFrame:
+    """The rows in ``shares``, a share in one task, sorted by ``order`` in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    return shares.repartition("share").mapInArrow(run, kinds).sortWithinPartitions(*order)
+
+
+def segmenting(model: str) -> Make:
+    """(number, chunk, places), equal chunks one after the other, with the ids; ``fresh`` marks the row at which a chunk was segmented."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, ids = segmenter(model), None, b""
@@ -123,8 +180,12 @@ def segmented(holes: DataFrame, model: str) -> DataFrame:
             columns = [*batch.columns, pa.array(column, pa.binary()), pa.array(fresh, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["number", "chunk", "places", "ids", "fresh"])
 
-    dealt = holes.repartition("chunk").sortWithinPartitions("chunk")
-    return dealt.mapInArrow(run, "number long, chunk string, places binary, ids binary, fresh boolean")
+    return run
+
+
+def segmented(holes: DataFrame, model: str) -> DataFrame:
+    """``holes`` with the ids of their chunks, each distinct chunk segmented once."""
+    return holes.mapInArrow(segmenting(model), f"{HOLES}, ids binary, fresh boolean")
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -158,7 +219,10 @@ def filled(known: np.ndarray, hole: int, fixes: list[dict] | None) -> np.ndarray
 
 
 def holes_of(rows: DataFrame, common) -> DataFrame:
-    """(number, chunk, places) over (number, text): where each chunk that isn't broadcast stands in each text."""
+    """(number, chunk, places) over (number, text): where each chunk that isn't broadcast stands in each text.
+
+    All rows of a chunk are in one task, one after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = common.value
@@ -173,9 +237,13 @@ def holes_of(rows: DataFrame, common) -> DataFrame:
                 out[1].extend(places)
                 out[2].extend(np.array(p, "<u4").tobytes() for p in places.values())
             made = [pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.string(), pa.binary()))]
+            del out
             yield pa.RecordBatch.from_arrays(made, names=["number", "chunk", "places"])
 
-    return rows.select("number", "text").mapInArrow(run, "number long, chunk string, places binary")
+    def share(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([crc32(c.encode()) for c in batch.column(1).to_pylist()], np.int64)
+
+    return dealt(shares_of(rows.select("number", "text"), run, share), HOLES, "chunk")
 
 
 def encode_texts(
@@ -190,35 +258,74 @@ def encode_texts(
     common = docs.sparkSession.sparkContext.broadcast(frequent(rows, model))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each text, packed, with a hole for each chunk that isn't broadcast."""
-        head, pack = common.value, zstandard.ZstdCompressor(level=1)
-        hole = segmenter(model).hole
+        """The ranks of each text's chunks from 1 on, 0 for each chunk that isn't broadcast, in three planes of bytes."""
+        ranks = {c: k for k, c in enumerate(common.value, 1)}
         for part, texts in texts_of(batches, 2):
-            packed = []
+            planes: tuple[list, ...] = ([], [], [])
             for text in texts:
-                packed.append(pack.compress(b"".join([head.get(c, hole) for c in chunks(text)])))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["keys", "number", "known"])
+                own = np.array([ranks.get(c, 0) for c in chunks(text)], "<u4").view(np.uint8).reshape(-1, 4)
+                for k, plane in enumerate(planes):
+                    plane.append(own[:, k].tobytes())
+            none = pa.nulls(len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(p, pa.binary()) for p in planes], none, none], names=columns)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of the holes, in the columns that the texts' ranks have."""
+        for batch in segmenting(model)(batches):
+            none = pa.nulls(len(batch), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), key_kind), batch.column(0), none, none, none, batch.column(2), batch.column(3)], names=columns)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, unpack = segmenter(model), zstandard.ZstdDecompressor()
-        hole = int(np.iinfo(own.kind).max)
+        """Texts in the order of their numbers, each followed by the ids of its holes."""
+        own = segmenter(model)
+        head, hole = [own.hole, *common.value.values()], int(np.iinfo(own.kind).max)
         kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
+
+        def encoded(planes: tuple[bytes, ...], fixes: list[dict]) -> tuple:
+            ranks = np.zeros((len(planes[0]), 4), np.uint8)
+            for k, plane in enumerate(planes):
+                ranks[:, k] = np.frombuffer(plane, np.uint8)
+            known = b"".join(map(head.__getitem__, ranks.view("<u4").ravel().tolist()))
+            ids = filled(np.frombuffer(known, own.kind), hole, fixes).tolist()
+            text = own.model.decode(ids) if ids else ""
+            joined = ",".join(map(own.names.__getitem__, ids))
+            return len(ids), sha256(joined.encode()).hexdigest(), sha256(text.encode()).hexdigest(), *[ids] * with_ids
+
+        def result(keys: list[pa.Array], made: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *[pa.array(list(c), kind) for c, kind in zip(zip(*made), kinds)]], names=["keys", *names])
+
+        number, key, planes, fixes = None, None, None, []  # the text that may go on in the next batch
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                made = []
-                for known, fixes in zip(part.column(1), part.column(2)):
-                    ids = filled(np.frombuffer(unpack.decompress(known.as_py()), own.kind), hole, fixes.as_py()).tolist()
-                    text = own.model.decode(ids) if ids else ""
-                    joined = ",".join(map(own.names.__getitem__, ids))
-                    made.append((len(ids), sha256(joined.encode()).hexdigest(), sha256(text.encode()).hexdigest(), *[ids] * with_ids))
-                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*made), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["keys", *names])
+            numbers = batch.column(1).to_pylist()
+            starts = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            places, ids = (batch.column(k).to_pylist() for k in (5, 6))
+            keys, made = [], []
+            for start, end in zip([-1, *starts], [*starts, len(batch)]):
+                if start >= 0:
+                    if planes is not None:
+                        keys.append(key)
+                        made.append(encoded(planes, fixes))
+                        if len(made) == 500:
+                            yield result(keys, made)
+                            keys, made = [], []
+                    number, key, planes, fixes = numbers[start], batch.column(0).slice(start, 1), tuple(batch.column(k)[start].as_py() for k in (2, 3, 4)), []
+                if any(n != number for n in numbers[max(start, 0) : end]):
+                    raise ValueError("ids for a row that wasn't read again: rows must come in the same order both times")
+                fixes += [{"places": p, "ids": i} for p, i in zip(places[start + 1 : end], ids[start + 1 : end])]
+            if made:
+                yield result(keys, made)
+        if planes is not None:
+            yield result([key], [encoded(planes, fixes)])
+
+    def share(batch: pa.RecordBatch) -> np.ndarray:
+        numbers = batch.column(1).to_numpy()
+        return numbers + (numbers >> 33)  # a row's place in its partition, and the partition
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-    kind = rows.schema["keys"].dataType.simpleString()
-    found = segmented(holes_of(rows, common), model).select("number", "places", "ids")
-    fixes = found.groupBy("number").agg(F.collect_list(F.struct("places", "ids")).alias("fixes"))
-    joined = rows.mapInArrow(look_up, f"keys {kind}, number long, known binary").join(fixes, "number", "left").select("keys", "known", "fixes")
+    columns = ["keys", "number", "low", "mid", "high", "places", "ids"]
+    kind, key_kind = rows.schema["keys"].dataType.simpleString(), rows.select("keys").limit(0).toArrow().schema.field(0).type
+    both = shares_of(rows, look_up, share).unionAll(shares_of(holes_of(rows, common), found, share))
+    kinds = f"keys {kind}, number long, low binary, mid binary, high binary, places binary, ids binary"
     made = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "string", "string", "array<int>")))
-    return joined.mapInArrow(assemble, f"keys {kind}, {made}").select("keys.*", *names)
+    texts = dealt(both, kinds, "number", F.col("low").isNull())
+    return texts.mapInArrow(assemble, f"keys {kind}, {made}").select("keys.*", *names)

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -772,6 +773,21 @@ def test_encoding_by_holes_equals_the_library(spark, monkeypatch, head):
     assert [rows[k].ids for k in range(len(texts))] == [model.encode(t or "") for t in texts]
 
 
+def test_rows_are_packed_to_half_on_their_way_and_all_arrive_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sptok, "HELD_BYTES", 1 << 20)
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=8)) for _ in range(40)) for _ in range(1500)]
+    rows = sptok.stored(frame(spark, texts).repartition(2), "texts-test").withColumn("number", F.col("doc_id"))
+    holes = sptok.holes_of(rows, spark.sparkContext.broadcast({})).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.number, k, r.chunk) for r in holes for k in np.frombuffer(r.places, "<u4").tolist()) == sorted(
+        (d, k, c) for d, t in enumerate(texts) for k, c in enumerate(t.split())
+    )
+    assert all(a.chunk <= b.chunk for a, b in itertools.pairwise(holes) if a.task == b.task)
+    batch = pa.RecordBatch.from_pylist([{"number": r.number, "chunk": r.chunk, "places": r.places} for r in sorted(holes, key=lambda r: r.number)])
+    sent = list(sptok.packed(pa.Table.from_batches([batch]), np.arange(len(batch)) % 16))
+    assert len(sent) == 16 and sum(len(data) for _, data in sent) < 12 * len(batch)  # 24 bytes a row before
+
+
 # ---- 9 SimHash
 
 
