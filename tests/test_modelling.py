@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daylark.functions import crypto
 from daylark.operators import impute, metrics, ridge, smoothing, splits, training
 from daylark.functions.scalar import PHASES
+from daylark.plans import modelling
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +204,12 @@ def test_importances_and_cluster_sizes(spark):
     assert {r.importance for r in training.importances(gains.withColumn("gain", F.lit(0.0))).collect()} == {0.0}
     sizes = training.cluster_sizes(spark.createDataFrame([(0,), (2,), (2,)], "cluster int"), 3)
     assert {r.cluster: r.n for r in sizes.collect()} == {0: 1, 1: 0, 2: 2}
+
+
+def test_the_panel_is_built_once_for_weights_and_fits(spark):
+    rows, train, _ = modelling._fitted(spark, "/root/testdata/sf0.001")
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan and "Aggregate" not in plan and "Join" not in plan  # all of them before
+    n = {r["phase"]: r["count"] for r in rows.groupBy("phase").count().collect()}
+    weights = {r["phase"]: r["weight"] for r in rows.select("phase", "weight").distinct().collect()}
+    assert weights == {p: sum(n.values()) / (4.0 * n[p]) for p in n}
