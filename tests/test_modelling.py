@@ -213,3 +213,16 @@ def test_the_panel_is_built_once_for_weights_and_fits(spark):
     n = {r["phase"]: r["count"] for r in rows.groupBy("phase").count().collect()}
     weights = {r["phase"]: r["weight"] for r in rows.select("phase", "weight").distinct().collect()}
     assert weights == {p: sum(n.values()) / (4.0 * n[p]) for p in n}
+
+
+def test_the_leaderboard_joins_rolling_values_to_a_written_panel(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(rows, value):
+        raise Seen(rows._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(modelling.panel, "rolling_last_observed", stop)
+    with pytest.raises(Seen) as found:
+        modelling.benchmark_leaderboard(spark, "/root/testdata/sf0.001")
+    assert "parquet" not in str(found.value) and "Join" not in str(found.value)  # both before
