@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import compress, repeat
 
 import numpy as np
@@ -49,7 +50,7 @@ ORDERS = (1, 2, 3, 4, 6)
 BACK, PREDICTORS = max(ORDERS), len(ORDERS) + 1
 #: Rows of each predictor's table as powers of two, at most; the last one is for beginnings of words.
 MOST_BITS = (12, 16, 19, 20, 20, 20)
-BLOCK, LANES, LANE_STEP = 2048, 1536, 128
+BLOCK, LANES, LANE_STEP, SLAB = 2048, 3072, 128, 16
 STEPS = 17  #: buckets of the refining table over log odds from -8 to 8
 PRIOR = 0.05
 #: Log odds are kept as whole numbers of this part.
@@ -75,16 +76,15 @@ class Alphabet:
         self.space[[r for r in self.rank[list(SPACES)] if r < ESCAPE]] = True
 
     def units(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The units of bytes, and at which unit each byte starts (with the number of units at the end)."""
-        rank = self.rank[data]
-        rare = rank >= ESCAPE
-        at = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(1 + 2 * rare.view(np.int8), out=at[1:])
-        out = np.empty(at[-1], np.uint8)
-        out[at[:-1]] = np.minimum(rank, ESCAPE)
-        first, left = at[:-1][rare], rank[rare] - ESCAPE
+        """The units of bytes, and which bytes take three units."""
+        rank = self.rank.take(data)
+        rare = np.flatnonzero(rank >= ESCAPE)
+        first, left = rare + 2 * np.arange(len(rare)), rank[rare] - ESCAPE
+        out, whole = np.empty(len(data) + 2 * len(rare), np.uint8), np.ones(len(data) + 2 * len(rare), bool)
+        whole[first + 1] = whole[first + 2] = False
+        out[whole] = np.minimum(rank, ESCAPE, out=rank)
         out[first + 1], out[first + 2] = left >> 6, left & 63
-        return out, at
+        return out, rare
 
 
 def table_bits(n_bytes: int) -> tuple[int, ...]:
@@ -100,19 +100,27 @@ class Places:
 
     def __post_init__(self):
         self.shift = np.array([32 - b for b in self.bits], np.uint32)[:, None]
-        self.first = np.cumsum([0, *(1 << b for b in self.bits[:-1])])[:, None]
+        self.first = np.cumsum([0, *(1 << b for b in self.bits[:-1])]).astype(np.uint32)[:, None]
         self.entries = 8 * sum(1 << b for b in self.bits)
 
-    def rows(self, contexts: np.ndarray) -> np.ndarray:
-        """The row of 8 entries of each context."""
-        return (contexts >> self.shift) + self.first
+    def entry(self, contexts: np.ndarray, entries: int, which: np.ndarray, out: np.ndarray) -> None:
+        """Put where an entry of each context is in a table whose rows have so many of them to ``out``; contexts are used up."""
+        contexts >>= self.shift
+        contexts += self.first
+        contexts *= np.uint32(entries)
+        contexts += which
+        out[:] = contexts
 
 
-def halves(contexts: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of the units' high halves, then of their low halves given the high ones; and the halves (three bits)."""
-    high = unit >> np.uint32(3)
-    low = (contexts + (high + np.uint32(1))) * _C
-    return np.concatenate([contexts, low], axis=1), np.concatenate([high, unit & np.uint32(7)]).astype(np.int64)
+def halves(contexts: np.ndarray, unit: np.ndarray, both: np.ndarray, half: np.ndarray) -> None:
+    """Contexts of the units' high halves, then of their low halves given the high ones, and the halves (three bits); put to the last two."""
+    m = len(unit)
+    np.right_shift(unit, np.uint32(3), out=half[:m])
+    np.add(half[:m], np.uint32(1), out=half[m:])
+    both[:, :m], low = contexts, both[:, m:]
+    np.add(contexts, half[m:], out=low)
+    low *= _C
+    np.bitwise_and(unit, np.uint32(7), out=half[m:])
 
 
 def blocks(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
@@ -122,8 +130,9 @@ def blocks(texts: list[bytes], alphabet: Alphabet) -> Iterator[tuple[np.ndarray,
     the latter two may go on beyond n, up to a multiple of ``LANE_STEP``.
     """
     end = bytes([_END])
-    data, at = alphabet.units(np.frombuffer(b"".join([t + end for t in texts]), np.uint8))
-    at = at[np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])]
+    data, rare = alphabet.units(np.frombuffer(end.join([*texts, b""]), np.uint8))
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+    at += 2 * np.searchsorted(rare, at)
     size = np.diff(at)
     whole = np.zeros(len(data) + BACK * len(texts), np.uint8)  # every text after ``BACK`` zeros
     first = at[:-1] + BACK * np.arange(1, len(texts) + 1)
@@ -143,41 +152,44 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray, is_space: np
     longest = int(length[0])
     alive = np.searchsorted(-length, -np.arange(longest))
     word = np.zeros(len(start), np.uint32)
-    one = np.uint32(1)
-    for slab in range(0, longest, 128):
-        end = min(slab + 128, longest)
-        near = whole[np.minimum(start + np.arange(slab - BACK, end)[:, None], len(whole) - 1)]
-        goes_on, wide = (~is_space[near]).astype(np.uint32), near.astype(np.uint32)
+    lanes = lambda t: min(len(start), -(-int(alive[t]) // LANE_STEP) * LANE_STEP)
+    for slab in range(0, longest, SLAB):
+        end, most = min(slab + SLAB, longest), lanes(slab)
+        near = whole.take(start[:most] + np.arange(slab - BACK, end)[:, None], mode="clip")
+        unit = near.astype(np.uint32)
+        after = unit + np.uint32(1)  # what a unit adds to a hash
+        goes_on = (~is_space).astype(np.uint32).take(near)
+        goes_on *= _C
+        contexts = np.empty((end - slab, PREDICTORS, most), np.uint32)
+        mix, k = np.zeros((end - slab, most), np.uint32), 0
+        for back in range(1, BACK + 1):
+            mix += after[BACK - back : BACK - back + end - slab]
+            mix *= _C
+            if back == ORDERS[k]:
+                contexts[:, k] = mix
+                k += 1
         for t in range(slab, end):
-            n, at = int(alive[t]), t - slab + BACK
-            m = min(len(start), -(-n // LANE_STEP) * LANE_STEP)
-            contexts = np.empty((PREDICTORS, m), np.uint32)
-            mix, k = np.zeros(m, np.uint32), 0
-            for back in range(1, BACK + 1):
-                mix += wide[at - back, :m]
-                mix += one
-                mix *= _C
-                if back == ORDERS[k]:
-                    contexts[k] = mix
-                    k += 1
+            m, at = lanes(t), t - slab
+            now = word[:m]
             if t:
-                now = word[:m]
-                now += wide[at - 1, :m]
-                now += one
-                now *= _C
-                now *= goes_on[at - 1, :m]
-            contexts[-1] = word[:m]
-            yield n, contexts, wide[at, :m]
+                now += after[at + BACK - 1, :m]
+                now *= goes_on[at + BACK - 1, :m]
+            contexts[at, -1, :m] = now
+            yield int(alive[t]), contexts[at, :, :m], unit[at + BACK, :m]
 
 
 def add_counts(counts: np.ndarray, places: Places, texts: list[bytes], alphabet: Alphabet) -> None:
     """Count each unit of the texts in its contexts: its high half, and its low half after the high one."""
     for owner, group in blocks(texts, alphabet):
         ones = np.ones(2 * PREDICTORS * len(owner), np.int32)
+        m = -1
         for n, contexts, unit in group:
-            both, half = halves(contexts[:, :n], unit[:n])
-            at = ((places.rows(both) << 3) + half).ravel()
-            np.add.at(counts, at, ones[: len(at)])
+            if m != n:
+                m = n
+                both, half, at = np.empty((PREDICTORS, 2 * n), np.uint32), np.empty(2 * n, np.uint32), np.empty((PREDICTORS, 2 * n), np.intp)
+            halves(contexts[:, :n], unit[:n], both, half)
+            places.entry(both, 8, half, at)
+            np.add.at(counts, at.ravel(), ones[: at.size])
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -204,6 +216,19 @@ class Model:
     weights: np.ndarray
     refine: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "paths"}
+
+    @cached_property
+    def paths(self) -> np.ndarray:
+        """Per row and first two bits of a half, in four bytes: log odds at the three nodes on the way, and how often the row was met."""
+        rows = self.odds.reshape(-1, 8)
+        out = np.empty((len(rows), 4, 4), np.int8)
+        for two in range(4):
+            for place, entry in enumerate((1, 2 + (two >> 1), 4 + two, 0)):
+                out[:, two, place] = rows[:, entry]
+        return out.view(np.int32).ravel()
+
     def log10(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
         total = np.zeros(len(texts))
@@ -218,98 +243,99 @@ def fresh(alphabet: Alphabet, bits: tuple[int, ...], odds: np.ndarray) -> Model:
     return Model(alphabet, bits, odds, weights, np.tile(middle, 6).astype(np.float32))
 
 
-#: Per place and half of a unit: the node of the bits before, and 1 for a zero bit or -1 for a one.
-_NODES = np.array([[(v >> (3 - place)) | (1 << place) for v in range(8)] for place in range(3)])
-_SIGNS = np.array([[1 - 2 * (v >> (2 - place) & 1) for v in range(8)] for place in range(3)], np.int8)
+#: Per half of a unit: 1 for a zero bit or -1 for a one, by place; no bit at the fourth place. Four floats in one item.
+_SIGNS = np.array([[*(1 - 2 * (v >> (2 - place) & 1) for place in range(3)), 0] for v in range(8)], np.float32).view(np.complex128).ravel()
 
 
 class Coder:
     """Codes a group of blocks side by side; each block has its own weights and refining table.
 
-    Inputs are turned by the sign of the bit, so that what is mixed are the odds against the bit. The
-    high and the low half of a unit have their own weights and buckets, so both are coded in one go.
+    All six bits of a unit are coded in one go, as each place of either half has its own weights and
+    buckets. The three places of a half and a fourth, at which nothing is mixed or learnt, lie side by side:
+    four log odds come as one item of four bytes, four weights or signs as one of sixteen.
     """
 
     def __init__(self, model: Model, lanes: int, rate: float):
-        self.rows, self.places, self.rate = model.odds.view(np.int64), Places(model.bits), np.float32(rate / UNIT / UNIT)
-        self.weights = np.repeat(model.weights[..., None], lanes, axis=-1)
-        self.refine = np.tile(model.refine - np.float32(0.5), lanes)
+        self.paths, self.places, self.rate, self.lanes, self.m = model.paths, Places(model.bits), np.float32(rate / UNIT / UNIT), lanes, -1
+        self.weights = np.zeros((GATES, PREDICTORS, 2, lanes, 4), np.float32)
+        self.weights[..., :3] = np.moveaxis(model.weights, 0, -1)[..., None, :]
+        self.refine = np.zeros((lanes, 2, 4, STEPS), np.float32)
+        self.refine[:, :, :3] = model.refine.reshape(2, 3, STEPS) - np.float32(0.5)
         self.spent = np.zeros(lanes)
-        self.lay_out(lanes)
+
+    def learnt(self) -> np.ndarray:
+        """Weights as those of a model, per block (the last axis)."""
+        return np.moveaxis(self.weights[..., :3], -1, 0)
 
     def lay_out(self, m: int) -> None:
-        """Where the entries and buckets of m units' halves are, and buffers."""
-        self.buckets = np.arange(m) * (6 * STEPS) + np.array([[0], [3 * STEPS]]) + np.arange(0, 3 * STEPS, STEPS)[:, None, None]
-        self.nodes = np.arange(0, 16 * PREDICTORS * m, 8).reshape(PREDICTORS, 2, m)
-        self.at, self.x8 = np.empty_like(self.nodes), np.empty(self.nodes.shape, np.int8)
-        self.x, self.wx = np.empty((2, *self.nodes.shape), np.float32)
-        self.z, self.e = np.empty((2, 2, m), np.float32)
-        lanes = self.weights.shape[-1]
-        self.own = np.arange(m) + lanes * (np.array([[0], [1]]) + 2 * np.arange(PREDICTORS)[:, None, None])
+        """Where the weights and buckets of m units' halves are, and buffers."""
+        self.m = m
+        self.buckets = (np.arange(m)[:, None] * 8 + np.array([[[0]], [[4]]]) + np.arange(4)).ravel() * STEPS
+        self.own = (np.arange(m) + self.lanes * (np.array([[0], [1]]) + 2 * np.arange(PREDICTORS)[:, None, None])).reshape(PREDICTORS, 2 * m)
+        self.both, self.half = np.empty(self.own.shape, np.uint32), np.empty(2 * m, np.uint32)
+        self.found, self.at, self.w = np.empty(self.own.shape, np.int32), np.empty_like(self.own), np.empty(self.own.shape, np.complex128)
+        self.signs, self.bucket, self.refined = np.empty(2 * m, np.complex128), np.empty(8 * m, np.intp), np.empty(8 * m, np.float32)
+        self.x, self.wx = np.empty((2, PREDICTORS, 8 * m), np.float32)
+        self.z, self.e = np.empty((2, 8 * m), np.float32)
 
     def code(self, group, outcomes: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of each block; ``outcomes`` (2, 6 * STEPS) counts bits per bucket."""
         keep, step, width = np.float32(1 - REFINE_RATE), np.float32(REFINE_RATE / 2), np.float32((STEPS - 1) / 16)
-        middle = np.float32((STEPS - 1) / 2 + 0.5)
+        middle, one = np.float32((STEPS - 1) / 2 + 0.5), np.float32(1)
+        weights, refine = self.weights.view(np.complex128).ravel(), self.refine.ravel()  # views
         for n, contexts, unit in group:
             m = len(unit)
-            if self.z.shape[1] != m:
+            if self.m != m:
                 self.lay_out(m)
-            x8, x, wx, z, e = self.x8, self.x, self.wx, self.z, self.e
-            both, half = halves(contexts, unit)
-            half = half.reshape(2, m)
-            entries = self.rows.take(self.places.rows(both)).view(np.int8).ravel()
-            chance = np.ones((2, m), np.float32)
-            seen = entries.reshape(PREDICTORS, 2, m, 8)[-2:, ..., 0].astype(np.int64)
+                found, at, x, wx, z, e, bucket, refined = self.found, self.at, self.x, self.wx, self.z, self.e, self.bucket, self.refined
+                w, sign = self.w.view(np.float32), self.signs.view(np.float32)
+            halves(contexts, unit, self.both, self.half)
+            _SIGNS.take(self.half, out=self.signs, mode="clip")
+            self.half >>= np.uint32(1)
+            self.places.entry(self.both, 4, self.half, at)
+            self.paths.take(at, out=found, mode="clip")
+            x[:] = found.view(np.int8)
+            seen = found[-2:] >> np.int32(24)
             seen[0] *= len(SEEN) + 1
             seen[0] += seen[1]
-            seen[0] *= 2 * PREDICTORS * self.weights.shape[-1]
-            gate = self.own + seen[0]
-            for place in range(3):
-                gated = self.weights[place].reshape(-1)
-                w = gated.take(gate)
-                sign = _SIGNS[place].take(half)
-                if place:
-                    np.add(self.nodes, _NODES[place].take(half), out=self.at)
-                    entries.take(self.at, out=x8, mode="clip")
-                    np.multiply(x8, sign, out=x8)
-                else:  # no bit is known yet: the first node
-                    np.multiply(entries.reshape(PREDICTORS, 2, m, 8)[..., 1], sign, out=x8)
-                x[:] = x8
-                turn = sign.astype(np.float32)
-                np.multiply(w, x, out=wx)
-                np.add(wx[0], wx[1], out=z)
-                for k in range(2, PREDICTORS):
-                    z += wx[k]
-                np.minimum(z, np.float32(8), out=z)
-                np.maximum(z, np.float32(-8), out=z)
-                np.multiply(z, turn, out=e)
-                e *= width
-                e += middle
-                bucket = e.astype(np.int64)
-                bucket += self.buckets[place]
-                if outcomes is not None:
-                    own, zero = bucket[:, :n] % (6 * STEPS), sign[:, :n] > 0
-                    outcomes += np.stack([np.bincount(own[zero], minlength=6 * STEPS), np.bincount(own[~zero], minlength=6 * STEPS)])
-                np.exp(z, out=e)
-                e += np.float32(1)
-                np.reciprocal(e, out=e)  # the probability of the bit
-                refined = self.refine.take(bucket)
-                np.multiply(refined, turn, out=z)
-                np.subtract(e, z, out=z)
-                z += np.float32(0.5)
-                chance *= z  # twice the probability of the bit after refining
-                refined *= keep
-                turn *= step
-                refined -= turn
-                self.refine[bucket] = refined
-                np.subtract(np.float32(1), e, out=e)
-                e *= self.rate
-                e[:, n:] = 0  # blocks that have ended learn no more
-                x *= e
-                w -= x
-                gated[gate] = w
-            self.spent[:n] += np.log(chance[0, :n] * chance[1, :n]) - 6 * math.log(2)
+            seen[0] *= 2 * PREDICTORS * self.lanes
+            np.add(self.own, seen[0], out=at)
+            weights.take(at, out=self.w, mode="clip")
+            np.multiply(w, x, out=wx)
+            np.add(wx[0], wx[1], out=z)
+            for k in range(2, PREDICTORS):
+                z += wx[k]
+            np.clip(z, np.float32(-8), np.float32(8), out=z)
+            np.multiply(z, width, out=e)
+            e += middle
+            bucket[:] = e
+            bucket += self.buckets
+            if outcomes is not None:
+                own, bits = (part.reshape(2, m, 4)[:, :n, :3] for part in (bucket % (8 * STEPS), sign))
+                own = own - STEPS * np.array([[[0]], [[1]]])  # without the fourth place of the first half
+                outcomes += np.stack([np.bincount(own[bits == side], minlength=6 * STEPS) for side in (1, -1)])
+            z *= sign  # odds against the bit
+            np.exp(z, out=e)
+            e += one
+            np.reciprocal(e, out=e)  # the probability of the bit
+            refine.take(bucket, out=refined, mode="clip")
+            np.multiply(refined, sign, out=z)
+            np.subtract(e, z, out=z)
+            z += np.float32(0.5)  # twice the probability of the bit after refining
+            chance = z[::4] * z[1::4]
+            chance *= z[2::4]
+            np.subtract(one, e, out=e)
+            e *= self.rate
+            e *= sign
+            e.reshape(2, m, 4)[:, n:] = 0  # blocks that have ended learn no more
+            refined *= keep
+            sign *= step
+            refined -= sign
+            refine[bucket] = refined
+            x *= e
+            w -= x
+            weights[at] = self.w
+            self.spent[:n] += np.log(chance[:n] * chance[m : m + n]) - 6 * math.log(2)
         return self.spent
 
 
@@ -428,7 +454,7 @@ def fit(docs: DataFrame, shape: np.ndarray) -> Model:
                 for owner, group in blocks(texts, alphabet):
                     coder, size = Coder(shared.value, len(owner), FIT_RATE), np.zeros(len(owner), np.int64)
                     coder.code(measured(group, size), outcomes)
-                    moved += (np.rint(coder.weights.astype(np.float64) * fixed).astype(np.int64) * size).sum(axis=-1).ravel()
+                    moved += (np.rint(coder.learnt().astype(np.float64) * fixed).astype(np.int64) * size).sum(axis=-1).ravel()
                     n_units += int(size.sum())
         yield sliced(np.concatenate([moved, [n_units], outcomes.ravel()]))
 
@@ -463,7 +489,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, n, ends = known.value
-        at, base, end_base = {t: k for k, t in enumerate(tokens)}, np.log10(n + 1.0), math.log10(ends + 1)
+        at, base, end_base = {t: k for k, t in enumerate(tokens)}, np.log10(np.append(n, 0) + 1.0), math.log10(ends + 1)
         one = np.zeros(1, np.int64)
         for batch in batches:
             start = 0
@@ -473,16 +499,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 score = model.value.log10(texts)
                 tokens, times, heads, sums = [], [], [], []
                 for key, raw, lm in zip(part.column(0).to_pylist(), texts, score.tolist()):
-                    own = Counter(raw.split())
-                    found = np.fromiter(map(at.get, own, repeat(-1)), np.int64, len(own))
-                    n = np.fromiter(own.values(), np.int64, len(own))
+                    words = raw.split()
+                    found = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
                     unknown = found < 0
+                    others = Counter(compress(words, unknown.tolist()))
                     heads.append(len(tokens))
                     tokens.append(b" %d" % key)  # no word: matches nothing, and lands with its own hash
-                    tokens += compress(own, unknown.tolist())
-                    times += [one, n[unknown]]
-                    found, n = found[~unknown], n[~unknown]
-                    sums.append((own.total() + 1, n.sum() + (end_base > 0), n @ base[found] + end_base, lm, len(raw) + 1))
+                    tokens += others
+                    times += [one, np.fromiter(others.values(), np.int64, len(others))]
+                    n_known = len(words) - np.count_nonzero(unknown)
+                    sums.append((len(words) + 1, n_known + (end_base > 0), base[found].sum() + end_base, lm, len(raw) + 1))
                 size = np.diff([*heads, len(tokens)])
                 owner = np.repeat(np.arange(len(heads)), size)
                 columns = np.zeros((5, len(tokens)))
