@@ -50,7 +50,7 @@ ORDERS = (1, 2, 3, 4, 6)
 BACK, PREDICTORS = max(ORDERS), len(ORDERS) + 1
 #: Rows of each predictor's table as powers of two, at most; the last one is for beginnings of words.
 MOST_BITS = (12, 16, 19, 20, 20, 20)
-BLOCK, LANES, LANE_STEP, SLAB = 2048, 3072, 128, 16
+BLOCK, LANES, LANE_STEP, SLAB = 2048, 4608, 128, 16
 STEPS = 17  #: buckets of the refining table over log odds from -8 to 8
 PRIOR = 0.05
 #: Log odds are kept as whole numbers of this part.
@@ -153,17 +153,25 @@ def steps(whole: np.ndarray, start: np.ndarray, length: np.ndarray, is_space: np
     alive = np.searchsorted(-length, -np.arange(longest))
     word = np.zeros(len(start), np.uint32)
     lanes = lambda t: min(len(start), -(-int(alive[t]) // LANE_STEP) * LANE_STEP)
+    go_on = (~is_space).astype(np.uint32) * _C
+    most = -1
     for slab in range(0, longest, SLAB):
-        end, most = min(slab + SLAB, longest), lanes(slab)
-        near = whole.take(start[:most] + np.arange(slab - BACK, end)[:, None], mode="clip")
-        unit = near.astype(np.uint32)
-        after = unit + np.uint32(1)  # what a unit adds to a hash
-        goes_on = (~is_space).astype(np.uint32).take(near)
-        goes_on *= _C
-        contexts = np.empty((end - slab, PREDICTORS, most), np.uint32)
-        mix, k = np.zeros((end - slab, most), np.uint32), 0
-        for back in range(1, BACK + 1):
-            mix += after[BACK - back : BACK - back + end - slab]
+        end = min(slab + SLAB, longest)
+        if most != lanes(slab):  # buffers, made anew where fewer blocks are left
+            most = lanes(slab)
+            where, near = np.empty((SLAB + BACK, most), np.intp), np.empty((SLAB + BACK, most), np.uint8)
+            unit, after, goes_on = np.empty((3, SLAB + BACK, most), np.uint32)
+            contexts, mix = np.empty((SLAB, PREDICTORS, most), np.uint32), np.empty((SLAB, most), np.uint32)
+        np.add(start[:most], np.arange(slab - BACK, slab + SLAB)[:, None], out=where)
+        whole.take(where, mode="clip", out=near)
+        unit[:] = near
+        np.add(unit, np.uint32(1), out=after)  # what a unit adds to a hash
+        go_on.take(near, mode="clip", out=goes_on)
+        np.multiply(after[BACK - 1 : BACK - 1 + SLAB], _C, out=mix)
+        contexts[:, 0] = mix
+        k = 1
+        for back in range(2, BACK + 1):
+            mix += after[BACK - back : BACK - back + SLAB]
             mix *= _C
             if back == ORDERS[k]:
                 contexts[:, k] = mix

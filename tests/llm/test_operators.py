@@ -633,6 +633,27 @@ def test_lm_probabilities_sum_to_one(mixing_model):
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_codes_a_unit_with_one_look_up(mixing_model):
+    model, _, texts = mixing_model
+    odds, paths = model.odds.reshape(-1, 8), model.paths.view(np.int8).reshape(-1, 4, 4)
+    for half in range(8):
+        nodes = [1, 2 + (half >> 2), 4 + (half >> 1), 0]
+        assert (paths[:, half >> 1] == odds[:, nodes]).all()
+
+    class Table:
+        calls = 0
+
+        def take(self, *args, **kwargs):
+            self.calls += 1
+            return model.paths.take(*args, **kwargs)
+
+    owner, group = next(lmscore.blocks(texts, model.alphabet))
+    coder, group = lmscore.Coder(model, len(owner), 0.01), list(group)
+    coder.paths = table = Table()
+    coder.code(group)
+    assert table.calls == len(group) and coder.learnt().shape == (*model.weights.shape, len(owner))
+
+
 def test_lm_prefers_seen_words_and_takes_any_text(spark, docs, empty):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["amber", "birch", "cedar", "dogwood"]) for _ in range(40)) for _ in range(60)]
