@@ -146,3 +146,18 @@ def test_medians_and_cuts_read_their_rows_once(spark):
         found.collect()
         final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert final.count("Range (0, 1000") == 1
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_ranges_do_not_depend_on_how_values_arrive(spark, broadcast):
+    """A plan may work out a group's ranges twice, and did with a sketch that keeps other values when they come in another order."""
+    values = spark.range(30000).select(F.lit("a").alias("feature"), F.rand(3).alias("value"))
+    edges = [profile.range_edges(profile.counted(values, ["feature"], "value").repartition(n, F.xxhash64("__v", F.lit(n))), ["feature"]).first()["__edges"] for n in (1, 3, 7)]
+    assert edges[0] == edges[1] == edges[2] and len(edges[0]) == profile.RANGES - 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = profile.medians(values, ["value"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "percentile_approx" not in plan and found.first().value == pytest.approx(np.median([r.value for r in values.select("value").collect()]), abs=0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

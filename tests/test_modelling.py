@@ -226,3 +226,14 @@ def test_the_leaderboard_joins_rolling_values_to_a_written_panel(spark, monkeypa
     with pytest.raises(Seen) as found:
         modelling.benchmark_leaderboard(spark, "/root/testdata/sf0.001")
     assert "parquet" not in str(found.value) and "Join" not in str(found.value)  # both before
+
+
+def test_imputation_reads_tables_anew(spark, tmp_path):
+    """Other rows under the path of a run before: its cached panel was found again."""
+    small = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{small}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    found = []
+    for part in ("user_id % 2 = 0", "user_id % 2 = 1"):
+        spark.read.parquet(f"{small}/events.parquet").where(part).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        found.append({r.participant_id % 2 for r in modelling.knn_impute(spark, str(tmp_path)).collect()})
+    assert found == [{0}, {1}]
