@@ -161,3 +161,22 @@ def test_ranges_do_not_depend_on_how_values_arrive(spark, broadcast):
         assert "percentile_approx" not in plan and found.first().value == pytest.approx(np.median([r.value for r in values.select("value").collect()]), abs=0)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sums_of_few_tasks_are_those_of_a_shuffle(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(0, 3, 2).tolist(), float(rng.normal() * 2.0**44), 1.0, [0.0]) for _ in range(500)]
+    state = spark.createDataFrame(rows, "bins array<int>, y double, w double, scores array<double>").repartition(5)
+    grown = [(np.full(3, -1, np.int64), np.zeros(3, np.int64), np.zeros(3))]
+    edges = [np.array([0.5, 1.5])] * 2
+    one, other = (Boosting(rounds=1, depth=1)._histogram(state, [], grown, 0, {(0, 0)}, edges, 1.0, few)[0, 0] for few in (True, False))
+    assert (one[0] == other[0]).all() and (one[1] == other[1]).all() and one[1][0].sum() == 500
+
+
+def test_few_rows_are_summed_in_few_tasks(spark, monkeypatch):
+    seen = []
+    whole = Boosting._histogram
+    monkeypatch.setattr(Boosting, "_histogram", lambda self, state, *rest: seen.append(state.rdd.getNumPartitions()) or whole(self, state, *rest))
+    rng = np.random.default_rng(4)
+    Boosting(2, rounds=1, depth=1).fit(frame(spark, rng.normal(size=(50, 2)), rng.integers(0, 2, 50), parts=7))
+    assert seen == [1]

@@ -76,3 +76,30 @@ def test_models_have_all_inputs_and_participants_keep_their_split(spark):
     assert rows.count() == relational.study_panel(spark, SMALL).count()
     assert rows.groupBy("participant_id").agg(F.countDistinct("split").alias("n")).where("n <> 1").isEmpty()
     assert assigned.where("(split = 'test') <> (fold is null)").isEmpty()
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.fixture
+def sizes(monkeypatch):
+    """The sizes that a query asks the operators' models for, before any fit."""
+    asked = []
+
+    def kept(whole):
+        def stop(*args, **given):
+            asked.append({k: v for k, v in given.items() if k in ("rounds", "trees", "iterations")})
+            raise Seen
+
+        return stop
+
+    for name in ("regressors", "classifiers"):
+        monkeypatch.setattr(training, name, kept(getattr(training, name)))
+    return asked
+
+
+def test_hormone_models_of_the_query_have_the_sizes_of_the_study(spark, sizes):
+    with pytest.raises(Seen):
+        modelling.hormone_regression_metrics(spark, SMALL)
+    assert sizes and all(s == {} for s in sizes)
