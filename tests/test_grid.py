@@ -103,3 +103,12 @@ def test_hormone_models_of_the_query_have_the_sizes_of_the_study(spark, sizes):
     with pytest.raises(Seen):
         modelling.hormone_regression_metrics(spark, SMALL)
     assert sizes and all(s == {} for s in sizes)
+
+
+def test_prediction_uses_the_sizes_of_the_study(spark, sizes, monkeypatch):
+    with pytest.raises(Seen):
+        modelling.predict_phase(spark, SMALL)
+    monkeypatch.setattr(training, "classifiers", lambda width, **given: {"forest": lambda: (sizes.append(given), type("Fit", (), {"fit": lambda self, rows: None})())[1]})
+    with pytest.raises(Seen):
+        modelling.predict_phase(spark, SMALL)
+    assert len(sizes) >= 3 and all(s == {} for s in sizes)
