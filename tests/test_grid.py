@@ -112,3 +112,12 @@ def test_prediction_uses_the_sizes_of_the_study(spark, sizes, monkeypatch):
     with pytest.raises(Seen):
         modelling.predict_phase(spark, SMALL)
     assert len(sizes) >= 3 and all(s == {} for s in sizes)
+
+
+def test_leaderboard_uses_the_sizes_of_the_study(spark, sizes, monkeypatch):
+    with pytest.raises(Seen):
+        modelling.benchmark_leaderboard(spark, SMALL)
+    monkeypatch.setattr(training, "cross_validate", lambda *args, **given: None)
+    with pytest.raises(Seen):
+        modelling.benchmark_leaderboard(spark, SMALL)
+    assert len(sizes) >= 2 and all(s == {} for s in sizes)
