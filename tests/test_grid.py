@@ -121,3 +121,9 @@ def test_leaderboard_uses_the_sizes_of_the_study(spark, sizes, monkeypatch):
     with pytest.raises(Seen):
         modelling.benchmark_leaderboard(spark, SMALL)
     assert len(sizes) >= 2 and all(s == {} for s in sizes)
+
+
+def test_cross_validation_uses_the_sizes_of_the_study(spark, sizes):
+    with pytest.raises(Seen):
+        modelling.phase_cv_metrics(spark, SMALL)
+    assert sizes and all(s == {} for s in sizes)
